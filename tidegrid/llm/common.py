@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +73,47 @@ def star_step(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Links that one task joins up by itself: 16 MB of ids. Longer lists go by star passes.
+ONE_TASK = 1_000_000
+
+
+def _joined_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over all links of the partition."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (p := parent.setdefault(root, root)) != root:
+            root = p
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for b in batches:
+        for u, v in zip(b.u.tolist(), b.v.tolist(), strict=True):
+            x, y = top(u), top(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"id": list(parent), "component": [top(x) for x in parent]}, dtype="int64")
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every id in edges (a, b), component being the smallest id that can be reached.
 
-    Alternates large-star and small-star passes until the edges stay the same; each pass is written to the shared
-    folder. All passes are joins and aggregates by node, so no component is ever held by one task or the driver.
+    Few links are joined up by one task. More of them by alternating large-star and small-star passes until they stay
+    the same, each written to the shared folder: joins and aggregates by node, so no task and no driver ever holds a
+    component. The result has the smallest ids of components too.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    n = now.count()
+    if n <= one_task:
+        return written(now.coalesce(1).mapInPandas(_joined_up, "id long, component long"), "components")
     before = None
     while True:
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == (n, mark) or n == 0:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        if before == (n, mark):
+            ends = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(ends)
         before = (n, mark)
         after = written(star_step(star_step(now, True), False), "cc")
         discard(now)
