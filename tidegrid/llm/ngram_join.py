@@ -15,9 +15,9 @@ cheapest allocation that is still certain is used:
 Signatures are packed into binary bins by hash, so a bin's size follows from the number of bins. In a bin, documents
 with the same signature make up a run. Short runs give pairs; a pair goes on only if it has as many common signatures
 as the bound asks for. Runs over LONG_RUN go on without the spared ones. Those that are left come from large
-groups of near copies: a representative of each run is compared with the others, similar documents join up, and only
-pairs across components that are still apart are compared, until none is left, so nothing is lost and no group is
-expanded into all its pairs. Every candidate is verified on the exact sets.
+groups of near copies: a representative of each run is compared with the others, similar documents join up, and then
+all pairs across components that are still apart are compared, so nothing is lost and no group is expanded into all
+its pairs. Every candidate is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ LONG_RUN = 12
 BIN = 400_000  # signatures in a bin, on average
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; longer lists are joined by a shuffle
 BAND = 1.5
-AT_ONCE = 1_000  # documents whose signatures are packed together
+AT_ONCE = 500  # documents whose signatures are packed together
+STARS = 2  # rounds in which long runs are compared with representatives before all that is still apart
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +252,7 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc", "grp", "whole").orderBy(F.desc("run"), "sig")
     left = ranked.withColumn("place", F.row_number().over(order)).where("not whole or place > spare").select("sig", "doc", "n")
     left = written(left, "long_runs")
-    star = _representatives(left, 0)
+    star = _representatives(left.withColumns({"part": F.col("doc"), "degree": F.lit(0)}))
     pairs = written(short.union(star).distinct(), "pairs")
     ids = written(pairs.select(F.col("a").alias("own_id")).union(pairs.select(F.col("b").alias("own_id"))).union(left.select(F.col("doc").alias("own_id"))).distinct(), "candidates")
     sets = written(with_ids(docs, ids, "left_semi").transform(sets_of).join(first.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
@@ -259,38 +260,40 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     discard(found, known, others)
     if left.isEmpty():
         return links
-    for again in range(1, 100):
+    for turn in range(STARS + 1):
         parts = connected_components(links).withColumnRenamed("id", "doc")
         placed = left.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-        apart = placed.groupBy("sig", "part").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("parts"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"))
-        apart = written(apart.where("parts > 1"), "apart")
-        still, across = apart.agg(F.count("*"), F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()
-        if not still:
+        several = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
+        apart = written(placed.join(several, "sig"), "apart")
+        if apart.isEmpty():
             return links
-        placed = written(placed.join(apart.select("sig"), "sig"), "placed")
-        last = across <= 200_000 or again >= 6
-        if last:
-            other = placed.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-            more = placed.withColumnRenamed("doc", "a").join(other, "sig").where("a < b and part <> part_b").where(F.greatest("n", "n_b") * PERCENT <= F.least("n", "n_b") * 100).select("a", "b").distinct()
-        else:
-            more = _representatives(placed, again)
-        links = written(links.union(verified(more, sets)), "links")
-        if last:
-            return links
-    raise AssertionError
+        if turn < STARS:
+            degrees = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count("*").alias("degree"))
+            links = written(links.union(verified(_representatives(apart.join(degrees, "doc", "left").na.fill(0, ["degree"])), sets)), "links")
+    return written(links.union(_across(apart, sets)), "links")
 
 
-def _representatives(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): of each run one document, by an order that is the same for all runs and another one each turn, with each other one (of another component)."""
-    order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), *[c for c in ("doc", "n", "part") if c in members.columns])
-    chosen = members.groupBy("sig").agg(F.min(order).alias("rep"))
-    both = members.join(chosen, "sig").where(F.col("doc") != F.col("rep.doc"))
-    if "part" in members.columns:
-        both = both.where(F.col("part") != F.col("rep.part"))
+def _representatives(members: DataFrame) -> DataFrame:
+    """(a, b): of each run one document with each other one of another component: the one with most links so far, then by an order that is the same for all runs."""
+    order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("doc").alias("h"), "doc", "n", "part")
+    both = members.join(members.groupBy("sig").agg(F.min(order).alias("rep")), "sig").where(F.col("part") != F.col("rep.part"))
     both = both.where(F.greatest("n", "rep.n") * PERCENT <= F.least("n", "rep.n") * 100)
     return both.select(F.least("doc", "rep.doc").alias("a"), F.greatest("doc", "rep.doc").alias("b")).distinct()
 
 
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that meet in a run: each pair is tested in the first run that both are in, inside the join."""
+    lists = members.groupBy("doc").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    own = members.join(lists, "doc").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    a = own.select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("sigs").alias("sigs_a"), F.col("set").alias("set_a"))
+    b = own.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("sigs").alias("sigs_b"), F.col("set").alias("set_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (F.greatest("n_a", "n_b") * PERCENT <= F.least("n_a", "n_b") * 100)
+    first = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig")
+    # common / (n_a + n_b - common) >= PERCENT / 100, with common on one side.
+    similar = F.size(F.array_intersect("set_a", "set_b")) * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
+    return a.join(b, "sig").where(near & first & similar).select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 

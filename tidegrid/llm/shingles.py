@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-KEPT = 1_000_000
+KEPT = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
