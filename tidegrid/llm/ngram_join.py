@@ -34,12 +34,12 @@ from .common import connected_components, discard, text_of, written
 from .shingles import mixed, shingle_sets
 
 PERCENT = 75
-LONG_RUN = 12
+LONG_RUN = 64
 BIN = 400_000  # signatures in a bin, on average
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; longer lists are joined by a shuffle
 BAND = 1.5
 AT_ONCE = 500  # documents whose signatures are packed together
-STARS = 2  # rounds in which long runs are compared with representatives before all that is still apart
+BLOCK_DOCS, BLOCK_SHINGLES = 1_024, 500_000  # at most in a block of a family, about
 
 
 @lru_cache(maxsize=1)
@@ -252,7 +252,7 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc", "grp", "whole").orderBy(F.desc("run"), "sig")
     left = ranked.withColumn("place", F.row_number().over(order)).where("not whole or place > spare").select("sig", "doc", "n")
     left = written(left, "long_runs")
-    star = _representatives(left.withColumns({"part": F.col("doc"), "degree": F.lit(0)}))
+    star = _representatives(left)
     pairs = written(short.union(star).distinct(), "pairs")
     ids = written(pairs.select(F.col("a").alias("own_id")).union(pairs.select(F.col("b").alias("own_id"))).union(left.select(F.col("doc").alias("own_id"))).distinct(), "candidates")
     sets = written(with_ids(docs, ids, "left_semi").transform(sets_of).join(first.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
@@ -260,38 +260,111 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     discard(found, known, others)
     if left.isEmpty():
         return links
-    for turn in range(STARS + 1):
-        parts = connected_components(links).withColumnRenamed("id", "doc")
-        placed = left.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-        several = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
-        apart = written(placed.join(several, "sig"), "apart")
-        if apart.isEmpty():
-            return links
-        if turn < STARS:
-            degrees = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count("*").alias("degree"))
-            links = written(links.union(verified(_representatives(apart.join(degrees, "doc", "left").na.fill(0, ["degree"])), sets)), "links")
-    return written(links.union(_across(apart, sets)), "links")
+    parts = connected_components(links).withColumnRenamed("id", "doc")
+    placed = left.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+    several = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
+    apart = written(placed.join(several, "sig"), "apart")
+    return links if apart.isEmpty() else written(links.union(_across(apart, sets)), "links")
 
 
 def _representatives(members: DataFrame) -> DataFrame:
-    """(a, b): of each run one document with each other one of another component: the one with most links so far, then by an order that is the same for all runs."""
-    order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("doc").alias("h"), "doc", "n", "part")
-    both = members.join(members.groupBy("sig").agg(F.min(order).alias("rep")), "sig").where(F.col("part") != F.col("rep.part"))
+    """(a, b): of each run one document, by an order that is the same for all runs, with each other one."""
+    order = F.struct(F.xxhash64("doc").alias("h"), "doc", "n")
+    both = members.join(members.groupBy("sig").agg(F.min(order).alias("rep")), "sig").where(F.col("doc") != F.col("rep.doc"))
     both = both.where(F.greatest("n", "rep.n") * PERCENT <= F.least("n", "rep.n") * 100)
     return both.select(F.least("doc", "rep.doc").alias("a"), F.greatest("doc", "rep.doc").alias("b")).distinct()
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the components that meet in a run: each pair is tested in the first run that both are in, inside the join."""
-    lists = members.groupBy("doc").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-    own = members.join(lists, "doc").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
-    a = own.select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"), F.col("sigs").alias("sigs_a"), F.col("set").alias("set_a"))
-    b = own.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"), F.col("sigs").alias("sigs_b"), F.col("set").alias("set_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (F.greatest("n_a", "n_b") * PERCENT <= F.least("n_a", "n_b") * 100)
-    first = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == F.col("sig")
-    # common / (n_a + n_b - common) >= PERCENT / 100, with common on one side.
-    similar = F.size(F.array_intersect("set_a", "set_b")) * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
-    return a.join(b, "sig").where(near & first & similar).select("a", "b")
+    """Links (a, b) between components (part) that meet in runs (sig, doc, n, part).
+
+    Documents that runs hold together are a family, dealt over blocks of bounded size; blocks that share a run are
+    compared. Of two components one isn't the family's largest, so only members of the others look for partners.
+    """
+    first = members.groupBy("sig").agg(F.min("doc").alias("b"))
+    families = connected_components(members.join(first, "sig").select(F.col("doc").alias("a"), "b")).select(F.col("id").alias("doc"), F.col("component").alias("family"))
+    docs = members.select("doc", "n", "part").distinct().join(families, "doc")
+    size = docs.groupBy("family", "part").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("family").agg(
+        F.max(F.struct("c", "part"))["part"].alias("largest"), F.ceil(F.greatest(F.sum("c") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    )
+    docs = written(docs.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("blocks"), "blocks")
+    packed_blocks = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("family", "block").applyInPandas(_pack, "family long, block long, doc binary, part binary, n binary, small binary, sets binary"), "packed_blocks")
+    where = members.select("sig", "doc").join(docs.select("doc", "family", "block"), "doc").select("sig", "family", "block").distinct()
+    pairs = where.join(where.select("sig", F.col("block").alias("other")), "sig").where("block <= other").select("family", "block", "other").distinct()
+    other = packed_blocks.select("family", F.col("block").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "part", "n", "small", "sets")])
+    return pairs.join(packed_blocks, ["family", "block"]).join(other, ["family", "other"]).mapInPandas(_compare, "a long, b long")
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("doc")
+    small = (pdf.part != pdf.largest).to_numpy()
+    columns = [pdf[c].to_numpy(np.int64).tobytes() for c in ("doc", "part", "n")]
+    sets = b"".join(np.asarray(x, np.int64).tobytes() for x in pdf["set"])
+    return pd.DataFrame([(pdf.family.iloc[0], pdf.block.iloc[0], *columns, small.tobytes(), sets)], columns=["family", "block", "doc", "part", "n", "small", "sets"])
+
+
+def common_counts(x: np.ndarray, x_rows: np.ndarray, y: np.ndarray, y_rows: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Sizes of the intersections of all rows of x with all rows of y, given as shingles and the rows they are in.
+
+    Shingles that many rows hold go through a matrix product, a few thousand at a time; the others pair by pair.
+    """
+    both = np.intersect1d(x, y)
+    keep = [np.isin(v, both) for v in (x, y)]
+    x, x_rows, y, y_rows = x[keep[0]], x_rows[keep[0]], y[keep[1]], y_rows[keep[1]]
+    x_at, y_at = np.searchsorted(both, x), np.searchsorted(both, y)
+    p, q = np.bincount(x_at, minlength=len(both)), np.bincount(y_at, minlength=len(both))
+    out = np.zeros(shape, np.float32)
+    dense = np.flatnonzero(p * q > 64)
+    for k in range(0, len(dense), 4_096):
+        place = np.full(len(both), -1)
+        place[dense[k : k + 4_096]] = np.arange(len(dense[k : k + 4_096]))
+        sides = []
+        for at, rows, n in ((x_at, x_rows, shape[0]), (y_at, y_rows, shape[1])):
+            m = np.zeros((n, len(dense[k : k + 4_096])), np.float32)
+            ok = place[at] >= 0
+            m[rows[ok], place[at[ok]]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    sparse = p * q <= 64
+    xs, ys = sparse[x_at], sparse[y_at]
+    order = np.argsort(y_at[ys], kind="stable")
+    ys_at, ys_rows = y_at[ys][order], y_rows[ys][order]
+    begin, times = np.searchsorted(ys_at, x_at[xs]), q[x_at[xs]]
+    if len(times):
+        partner = ys_rows[np.repeat(begin - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+        np.add.at(out, (np.repeat(x_rows[xs], times), partner), 1)
+    return out
+
+
+def _compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of blocks: as many links across components as it takes to join those that are similar anywhere."""
+    for b in batches:
+        for row in b.itertuples(index=False):
+            sides = []
+            for end in ("", "_b"):
+                doc, part, n, flat = (np.frombuffer(getattr(row, c + end), np.int64) for c in ("doc", "part", "n", "sets"))
+                sides.append((doc, part, n, flat, np.repeat(np.arange(len(doc)), n), np.frombuffer(getattr(row, "small" + end), np.bool_)))
+            (doc, part, n, flat, rows, small), (doc_b, part_b, n_b, flat_b, rows_b, small_b) = sides
+            if not small.any() and not small_b.any():
+                continue
+            common = common_counts(flat, rows, flat_b, rows_b, (len(doc), len(doc_b)))
+            similar = common * (100 + PERCENT) >= (n[:, None] + n_b[None]) * PERCENT
+            similar &= (part[:, None] != part_b[None]) & (small[:, None] | small_b[None])
+            parent: dict[int, int] = {}
+
+            def top(x: int, parent: dict[int, int] = parent) -> int:
+                while (p := parent.setdefault(x, x)) != x:
+                    parent[x] = parent[p]
+                    x = parent[x]
+                return x
+
+            links = []
+            for i, j in zip(*np.nonzero(similar), strict=True):
+                x, y = top(int(part[i])), top(int(part_b[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((int(doc[i]), int(doc_b[j])))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 PREFIXES = (3, 4, 5)
-MAX_LABELLED = 10_000
+MAX_LABELLED = 5_000
 #: Twice the log likelihood ratio that a feature needs: chance exceeds it about once in 300,000.
 RATIO = 22.0
 MOST_FEATURES = 256
@@ -123,7 +123,7 @@ def fit_chain(docs: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, fol
 
 
 def features_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, keys array<long>, dense array<double>) of each row."""
+    """(doc_id, keys binary (unsigned 32-bit integers), dense array<double>) of each row."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,12 +131,12 @@ def features_of(docs: DataFrame) -> DataFrame:
             for t in b.text:
                 words = _words(t.lower())
                 distinct = set(words)
-                rows.append((np.array(sorted({k for w in distinct for k in keys(w)}), np.int64), np.array(make_up(t, words, distinct))))
+                rows.append((np.array(sorted({k for w in distinct for k in keys(w)}), np.uint32).tobytes(), np.array(make_up(t, words, distinct))))
             out = pd.DataFrame({"keys": [r[0] for r in rows], "dense": [r[1] for r in rows]})
             out.insert(0, "doc_id", b.doc_id.array)
             yield out
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, keys array<long>, dense array<double>")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, keys binary, dense array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_labelled: int = MAX_LABELLED) -> list[Linear] | None:
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_lab
         return None
     rows = rows.sort_values("doc_id", ignore_index=True)
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in rows.doc_id])
-    return fit_chain([np.asarray(k, np.int64) for k in rows["keys"]], np.stack(rows.dense.to_numpy()), rows[list(categories)].to_numpy(), fold)
+    return fit_chain([np.frombuffer(k, np.uint32) for k in rows["keys"]], np.stack(rows.dense.to_numpy()), rows[list(categories)].to_numpy(), fold)
 
 
 class _Hits(dict):
