@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT = 400_000
+KEPT = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -163,6 +163,9 @@ class TextEncoder:
         self.line = piece_ids("\n")
 
     def split(self, text: str) -> bytes:
+        word = text.lstrip(" ") if text[:1] == " " and text[1:2] != " " else text
+        if word.isalpha() and len(text) <= 64 and (word.isascii() or max(word) < "\u0250"):  # letters after at most one space are one piece
+            return self.piece_ids(text)
         found = self.find(text)
         if len(found) == 1 and len(text) <= 64:  # a word, which the caller keeps
             return self.piece_ids(text)

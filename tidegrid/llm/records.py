@@ -112,15 +112,24 @@ def read_shard(folder: str, name: str, order: np.ndarray | None = None) -> Itera
                 yield None if flags & 1 else doc_id, np.frombuffer(payload, f"<u{width}", offset=HEAD.size).astype(np.uint32)
 
 
+#: The bytes that stand for themselves in a byte-level vocabulary; the others follow from U+0100 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: b for b in PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PLAIN)))}
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str, pattern: str) -> tuple[TextEncoder, int]:
-    """Encodes by the tokenizers library, each word of the text once: the library too cuts at the pattern, so a text's ids are those of its pieces in turn."""
+    """Encodes by the tokenizers library's model, each word of the text once: the library too cuts at the pattern and maps bytes to letters, so a text's ids are those of its pieces in turn."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return TextEncoder(pattern, lambda p: np.array(t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()), t.get_vocab_size()
+    tokens = t.model.tokenize
+
+    def ids(piece: str) -> bytes:
+        return np.array([x.id for x in tokens(piece.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes()
+
+    return TextEncoder(pattern, ids), t.get_vocab_size()
 
 
 def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int, n_shards: int) -> DataFrame:
