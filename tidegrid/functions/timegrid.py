@@ -134,7 +134,7 @@ class Resolution:
 
 
 class ResolutionTree:
-    """Each resolution hangs under the smallest listed one that divides it; the root is their greatest common divisor.
+    """The root is the resolutions' greatest common divisor; each other one hangs under the smallest listed one, except the root, that divides it, or else the root.
 
     parents maps each resolution to the one it is derived from (the root to None); a root that isn't listed is synthetic.
     """
@@ -145,7 +145,7 @@ class ResolutionTree:
         self.parents: dict[Resolution, Resolution | None] = {self.root: None}
         for r in self.listed:
             if r != self.root:
-                self.parents[r] = next((p for p in self.listed if p < r and r.seconds % p.seconds == 0), self.root)
+                self.parents[r] = next((p for p in self.listed if self.root < p < r and r.seconds % p.seconds == 0), self.root)
 
     def children(self, parent: Resolution) -> list[Resolution]:
         return [r for r, p in self.parents.items() if p == parent]

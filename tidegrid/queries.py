@@ -200,7 +200,7 @@ def _level(name: str, parent: str, parent_s: int, r: int) -> str:
 {name} AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM {name}p GROUP BY source, step)"""
 
 
-_SEGMENTS = f"WITH {_PIECES}, a AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM p GROUP BY source, step), {_level('b', 'a', HOUR, 2 * HOUR)}, {_level('c2', 'a', HOUR, 6 * HOUR)}, {_level('d', 'a', HOUR, DAY)} " + " UNION ALL ".join(
+_SEGMENTS = f"WITH {_PIECES}, a AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM p GROUP BY source, step), {_level('b', 'a', HOUR, 2 * HOUR)}, {_level('c2', 'b', 2 * HOUR, 6 * HOUR)}, {_level('d', 'b', 2 * HOUR, DAY)} " + " UNION ALL ".join(
     f"SELECT source, {r}::BIGINT AS resolution_s, i0 AS seg_start, i1 AS seg_end, round(s.w, 4) AS length, s.n::BIGINT AS count, round(s.mean, 4) AS mean, round(s.m2, 3) AS m2, i1 = step + INTERVAL '{r} seconds' AS complete FROM {t}" for t, r in (("a", HOUR), ("b", 2 * HOUR), ("c2", 6 * HOUR), ("d", DAY))
 )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
-from ..functions.timegrid import ResolutionTree, micros
+from ..functions.timegrid import ResolutionTree, from_micros, micros
 from ..schema import ID, MOMENTS
 
 
@@ -124,7 +124,8 @@ def stream_segments(series: DataFrame, tree: ResolutionTree, step: bool = False,
             state.update((*s.last, [r for r, _ in held], [x[0] for _, x in held], [x[1] for _, x in held], [float(n) for _, x in held for n in x[2:]]))
         yield pd.DataFrame(out, columns=OUT.fieldNames())
 
-    return rows.groupBy(*ID).applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    out = rows.groupBy(*ID).applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    return out.select(*ID, "resolution_s", from_micros(F.col("start_us")).alias("seg_start"), from_micros(F.col("end_us")).alias("seg_end"), "length", "count", *MOMENTS)
 
 
 def append_segments(segments: DataFrame, folder: str, checkpoint: str):
