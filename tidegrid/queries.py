@@ -510,3 +510,79 @@ def partial_autocorrelation(spark, sf):
 
     m = gapfill.linear_fill(gapfill.regular(moments.bucket_moments(by_type(spark, sf), HOUR).select("source", "ts", "mean"), ["source"], HOUR), ["source"], ["mean"])
     return m.groupBy("source").applyInPandas(run, "source string, lag int, score double, selected boolean, ci double")
+
+
+def _matrix(spark, sf, most: int = 2_000) -> np.ndarray:
+    """The embeddings as a matrix; kernels over pairs of rows take evenly spaced ones where there are more than they are meant for."""
+    x = np.stack(read(spark, sf, "embeddings").orderBy("vec_id").select("embedding").toPandas().embedding.to_numpy()).astype(float)
+    return x[np.unique(np.linspace(0, len(x) - 1, min(len(x), most)).astype(int))]
+
+
+@query()
+def knn_impute(spark, sf):
+    x = _matrix(spark, sf)[:, :8]
+    x[np.arange(len(x)) % 7 == 0, 3] = np.nan
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(kernels.impute_nearest(x)[:, 3])], "row int, value double")
+
+
+@query()
+def synthetic_samples(spark, sf):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(kernels.synthetic_samples(_matrix(spark, sf), 100))], "row int, value array<double>")
+
+
+@query()
+def joint_information(spark, sf):
+    x = _matrix(spark, sf, 500)
+    scores_ = kernels.joint_scores(x[:, :6], x[:, 6] + x[:, 0])
+    keep = kernels.selected(np.maximum(scores_, 1e-12), 0.9)
+    return spark.createDataFrame([(i, float(s), i in keep) for i, s in enumerate(scores_)], "feature int, score double, selected boolean")
+
+
+@query()
+def hierarchical_clusters(spark, sf):
+    x = _matrix(spark, sf, 300)
+    return spark.createDataFrame([(m, i, int(c)) for m in clustering.LINKAGES for i, c in enumerate(clustering.cut(clustering.linkage(x, m), 5))], "method string, row int, cluster int")
+
+
+@query()
+def validity_scores(spark, sf):
+    x = _matrix(spark, sf)
+    labels = clustering.lloyd(x, 10)
+    return spark.createDataFrame([(n, float(f(x, labels))) for n, f in clustering.SCORES.items()], "name string, score double")
+
+
+@query()
+def quantile_regression(spark, sf):
+    x = _matrix(spark, sf)
+    p = kernels.MultiQuantileRegression([0.1, 0.5, 0.9]).fit_predict(x[:, 1:5], x[:, :1])
+    return spark.createDataFrame([(i, *map(float, r[0])) for i, r in enumerate(p)], "row int, q10 double, q50 double, q90 double")
+
+
+@query()
+def multiple_correlation(spark, sf):
+    x = _matrix(spark, sf)
+    return spark.createDataFrame([(j, kernels.multiple_correlation(np.delete(x, j, 1), x[:, j])) for j in range(8)], "feature int, r double")
+
+
+@query()
+def knee_of_shares(spark, sf):
+    share = np.sort(kernels.principal_components(_matrix(spark, sf))[1])[::-1]
+    return spark.createDataFrame([(int(a), float(b)) for a, b in [kernels.knee(share)]], "x int, y double")
+
+
+@query()
+def extractor_score(spark, sf):
+    return fitted(spark, sf)[0].extractor_score(spark)
+
+
+@query()
+def plot_frame(spark, sf):
+    t, s = fitted(spark, sf)
+    return t.plot_frame(t.transform(s), P)
+
+
+@query()
+def generated_series(spark, sf):
+    from .sources.files import generated
+
+    return generated(spark, 100, "2021-01-01", 8_760, HOUR)
