@@ -74,7 +74,8 @@ def folded(order: Sequence[str], weight: str = "length") -> Column:
     Parts are merged one by one in the given order; the 3rd and 4th moment leave out the cross terms with the lower
     ones, so another order or grouping gives another result. Parts of weight 0 change nothing.
     """
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(weight).alias("w"), F.col("count").cast("long").alias("n"), *MOMENTS)))
+    part = F.struct(*order, F.col(weight).alias("w"), F.col("count").cast("long").alias("n"), *MOMENTS)
+    parts = F.array_sort(F.collect_list(F.when(F.col(weight).isNotNull(), part)))
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(m) for m in MOMENTS])
 
     def merge(a: Column, b: Column) -> Column:

@@ -61,14 +61,16 @@ def pieces(series: DataFrame, resolution_s: int, function: str = "linear", arriv
 
 
 def _merged(parts: DataFrame, step: str, start: str, end: str) -> DataFrame:
-    agg = parts.groupBy(*ID, step).agg(F.min(start).alias("seg_start"), F.max(end).alias("seg_end"), folded([start]).alias("s"))
+    """Parts that count (all columns null where they don't) merged in time order, by step."""
+    agg = parts.groupBy(*ID, step).agg(F.min(start).alias("seg_start"), F.max(end).alias("seg_end"), folded([start]).alias("s")).where("seg_start is not null")
     return agg.select(*ID, F.col(step).alias("step"), "seg_start", "seg_end", F.col("s.w").alias("length"), F.col("s.n").alias("count"), *[F.col(f"s.{m}").alias(m) for m in MOMENTS])
 
 
 def segments(series: DataFrame, tree: ResolutionTree, function: str = "linear", arrival: str | None = None, open_too: bool = True) -> DataFrame:
     """Segments of all resolutions of the tree: finished ones (complete), and the one still open at each series' end.
 
-    A bucket's segment is complete once a sample at or after its end has come.
+    A bucket's segment is complete once a sample at or after its end has come. A level that others are derived from
+    goes through one exchange that all of them read, so the samples are cut and merged once.
     """
     out, levels = None, {}
     for r in tree:
@@ -76,11 +78,13 @@ def segments(series: DataFrame, tree: ResolutionTree, function: str = "linear",
         if parent is None:
             own = _merged(pieces(series, r.seconds, function, arrival), "step", "i0", "i1")
         else:
-            finer = levels[parent].where("complete").withColumn("up", bucket("step", r.seconds))
+            # Open segments drop out inside the aggregation: as a filter they would move below the shared exchange and split it.
+            done = F.col("seg_end") == after("step", parent.seconds)
+            finer = levels[parent].select(*ID, bucket("step", r.seconds).alias("up"), *[F.when(done, F.col(c)).alias(c) for c in ("seg_start", "seg_end", "length", "count", *MOMENTS)])
             own = _merged(finer, "up", "seg_start", "seg_end")
-        own = own.withColumn("complete", F.col("seg_end") == after("step", r.seconds))
-        levels[r] = own
-        rows = own.select(*ID, F.lit(r.seconds).cast("long").alias("resolution_s"), "seg_start", "seg_end", "length", "count", *MOMENTS, "complete")
+        levels[r] = own = own.repartition(*ID) if tree.children(r) else own
+        complete = F.col("seg_end") == after("step", r.seconds)
+        rows = own.select(*ID, F.lit(r.seconds).cast("long").alias("resolution_s"), "seg_start", "seg_end", "length", "count", *MOMENTS, complete.alias("complete"))
         rows = rows if open_too else rows.where("complete")
         out = rows if out is None else out.unionByName(rows)
     return out
