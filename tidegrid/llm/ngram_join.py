@@ -79,11 +79,12 @@ def segments(group: int, level: int) -> int:
     return max(2, int(tops()[group] * 8 // 15) + 1) << (2 * level)
 
 
-def allocation(own: np.ndarray, group: int) -> tuple[int, list[tuple[np.ndarray, np.ndarray, bool, int]]]:
+def allocation(own: np.ndarray, group: int, places: np.ndarray | None = None) -> tuple[int, list[tuple[np.ndarray, np.ndarray, bool, int]]]:
     """(q, [(segment of each element, sizes, with deletions, level)]): what a sorted set gives to a group."""
     most, parts, first = most_differing(group), [], 0
     for level in range(40):
-        seg = (mixed(own, 7 + level) % np.uint64(segments(group, level))).astype(np.int64)
+        hashed = places if places is not None and level == 0 else mixed(own, 7 + level)
+        seg = (hashed % np.uint64(segments(group, level))).astype(np.int64)
         sizes = np.bincount(seg)
         q = int((sizes > 0).sum())
         first = first or q
@@ -93,23 +94,26 @@ def allocation(own: np.ndarray, group: int) -> tuple[int, list[tuple[np.ndarray,
     return first, parts
 
 
-def signatures(own: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(64-bit signatures, 1 for those with an element left out else 0)."""
-    value = mixed(own, 3)
-    for seg, sizes, deletions, level in allocation(own, group)[1]:
+def signatures(own: np.ndarray, group: int, value: np.ndarray | None = None, places: np.ndarray | None = None) -> tuple[int, list[tuple[np.ndarray, int]]]:
+    """(q, [(64-bit signatures, 1 for those with an element left out else 0)]). value and places: hashes of own, if known already."""
+    out: list[tuple[np.ndarray, int]] = []
+    value = mixed(own, 3) if value is None else value
+    q, parts = allocation(own, group, places)
+    for seg, sizes, deletions, level in parts:
         with np.errstate(over="ignore"):
             total = np.zeros(len(sizes), np.uint64)
             np.add.at(total, seg, value)
             place = np.arange(len(sizes), dtype=np.uint64) + np.uint64(group << 48 | level << 40)
             full = np.flatnonzero(sizes)
-            yield mixed(total[full] ^ mixed(place[full], 5)), 0
+            out.append((mixed(total[full] ^ mixed(place[full], 5)), 0))
             if deletions:
                 some = np.flatnonzero(sizes[seg] > 1)
-                yield mixed((total[seg[some]] - value[some]) ^ mixed(place[seg[some]], 5)), 1
+                out.append((mixed((total[seg[some]] - value[some]) ^ mixed(place[seg[some]], 5)), 1))
+    return q, out
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, key (128 bits of the set; null if empty), and q for each group."""
+    """Per row: doc_id, n_shingles, key (128 bits of the set; null if empty)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,25 +124,29 @@ def describe(docs: DataFrame) -> DataFrame:
                     sums = [np.concatenate(([0], np.cumsum(mixed(flat, s)))).astype(np.uint64) for s in (1, 2)]
                     keys = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)
                 n = np.diff(at)
-                own_groups = [groups(int(x)) if x else [] for x in n]
-                q = [[allocation(flat[a:z], g)[0] for g in gs] for a, z, gs in zip(at[:-1], at[1:], own_groups, strict=True)]
-                yield pd.DataFrame({"doc_id": part.doc_id.array, "n_shingles": n, "key": [x.tobytes() if m else None for x, m in zip(keys, n, strict=True)], "groups": own_groups, "q": q})
+                yield pd.DataFrame({"doc_id": part.doc_id.array, "n_shingles": n, "key": [x.tobytes() if m else None for x, m in zip(keys, n, strict=True)]})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, key binary, groups array<int>, q array<int>")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, key binary")
 
 
 def packed(docs: DataFrame, n_bins: int) -> DataFrame:
-    """(bin, sig, doc, info): arrays as bytes; sig is what the bin leaves of the signature, doc is in steps, info group * 2 + left out."""
+    """(bin, sig, doc, info): arrays as bytes; sig is what the bin leaves of the signature, doc is in steps, info group * 2 + left out.
+
+    Rows of negative bins carry each document's q (as sig) in each of its groups (as info).
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), AT_ONCE):
                 part = b[k : k + AT_ONCE]
                 flat, at = shingle_sets(part.text)
-                sigs, ids, info = [], [], []
+                sigs, ids, info, held = [], [], [], []
+                values, places = mixed(flat, 3), mixed(flat, 7)
                 for doc, a, z in zip(part.doc_id.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     for g in groups(z - a) if z > a else ():
-                        for s, left_out in signatures(flat[a:z], g):
+                        q, found = signatures(flat[a:z], g, values[a:z], places[a:z])
+                        held.append((doc, q, g))
+                        for s, left_out in found:
                             sigs.append(s)
                             ids.append((doc, len(s)))
                             info.append(g * 2 + left_out)
@@ -153,16 +161,23 @@ def packed(docs: DataFrame, n_bins: int) -> DataFrame:
                 sig, doc, kind, home = sig[order].astype(np.uint32), doc[order], kind[order], home[order]
                 starts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
                 rows = [(int(home[i]), sig[i:j].tobytes(), np.diff(doc[i:j], prepend=0).tobytes(), kind[i:j].tobytes()) for i, j in zip(starts, np.append(starts[1:], len(home)), strict=True)]
+                h_doc, h_q, h_group = (np.array(x, np.int64) for x in zip(*held, strict=True))
+                rows.append((-1 - int(h_doc[0] % n_bins), h_q.astype(np.uint32).tobytes(), np.diff(h_doc, prepend=0).tobytes(), h_group.astype(np.uint8).tobytes()))
                 yield pd.DataFrame(rows, columns=["bin", "sig", "doc", "info"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "bin long, sig binary, doc binary, info binary")
 
 
 def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bin: pairs (long_run false; x < y documents, info the group) and members of long runs (x signature, y document, info as packed)."""
+    """One bin: pairs (kind 0; x < y documents, info the group) and members of long runs (kind 1; x signature, y document, info as packed).
+
+    Of a negative bin what it carries (kind 2; x document, y q, info the group).
+    """
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.sig])
     doc = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in pdf.doc])
     info = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["info"]])
+    if pdf.bin.iloc[0] < 0:
+        return pd.DataFrame({"kind": 2, "x": doc, "y": sig.astype(np.int64), "info": info.astype(np.int64)})
     order = np.argsort(sig, kind="stable")
     sig, doc, info = sig[order], doc[order], info[order]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
@@ -183,7 +198,7 @@ def runs(pdf: pd.DataFrame) -> pd.DataFrame:
     ys.append(doc[member])
     kinds.append(info[member].astype(np.int64))
     x = np.concatenate(xs)
-    return pd.DataFrame({"long_run": np.arange(len(x)) >= n_pairs, "x": x, "y": np.concatenate(ys), "info": np.concatenate(kinds)})
+    return pd.DataFrame({"kind": (np.arange(len(x)) >= n_pairs).astype(int), "x": x, "y": np.concatenate(ys), "info": np.concatenate(kinds)})
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -231,17 +246,18 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     total, top = described.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
     n_bins = max(1, (total or 0) // BIN)
     chosen = with_ids(docs.where("doc_id is not null"), others, "left_anti")
-    found = written(packed(chosen, n_bins).groupBy("bin").applyInPandas(runs, "long_run boolean, x long, y long, info long"), "runs")
+    found = written(packed(chosen, n_bins).groupBy("bin").applyInPandas(runs, "kind int, x long, y long, info long"), "runs")
 
-    members = found.where("long_run").select(F.col("x").alias("sig"), F.col("y").alias("doc"), F.shiftright("info", 1).cast("int").alias("grp"), (F.col("info") % 2 == 0).alias("whole"))
+    members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("doc"), F.shiftright("info", 1).cast("int").alias("grp"), (F.col("info") % 2 == 0).alias("whole"))
     sizes = members.groupBy("sig").agg(F.count("*").alias("run"))
-    known = first.where("doc_id = rep").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("groups", "q")).alias("z")).select("doc", "n", F.col("z.groups").alias("grp"), F.col("z.q").alias("q")).groupBy("doc", "grp").agg(F.max("n").alias("n"), F.max("q").alias("q"))
+    n = first.where("doc_id = rep").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("n"))
+    known = found.where("kind = 2").select(F.col("x").alias("doc"), F.col("info").cast("int").alias("grp"), F.col("y").cast("int").alias("q")).groupBy("doc", "grp").agg(F.max("q").alias("q")).join(n, "doc")
     known = known.join(F.broadcast(_group_constants(spark, top or 0)), "grp").withColumn("spare", F.greatest(F.col("q") - F.col("most") - 1, F.lit(0)))
     frequent = members.where("whole").groupBy("doc", "grp").agg(F.count("*").alias("frequent"))
     known = written(known.join(frequent, ["doc", "grp"], "left").na.fill(0, ["frequent"]), "known")
 
     # Short runs: pairs with as many common signatures as similar sets have at least.
-    counted = found.where("not long_run").groupBy("x", "y", "info").agg(F.count("*").alias("common"))
+    counted = found.where("kind = 0").groupBy("x", "y", "info").agg(F.count("*").alias("common"))
     k = {s: known.select(F.col("doc").alias(c), F.col("grp").alias("info"), F.col("n").alias(f"n_{s}"), F.col("q").alias(f"q_{s}"), F.col("frequent").alias(f"f_{s}")) for s, c in (("a", "x"), ("b", "y"))}
     bound = F.greatest("q_a", "q_b") - F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
     fits = (F.greatest("n_a", "n_b") * PERCENT <= F.least("n_a", "n_b") * 100) & (F.col("common") + F.least("f_a", "f_b") >= bound)
