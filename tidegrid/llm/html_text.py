@@ -5,8 +5,8 @@ every host on how many different pages a subtree occurs; one that recurs on many
 deleted, along with elements whose tag, role, class or id says that they are furniture. Of what is left, the article
 (or the main part, or else the body) is the text.
 
-Paragraphs, headings and the article itself are never taken for template inside an article: they are what is asked
-for, even where a host shows one article or one passage on many pages.
+Paragraphs, headings, lists and tables, and what holds them, are never taken for template inside an article: they are
+what is asked for, even where a host shows one article or one passage on many pages.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 NAMES = re.compile(
     r"^(ad|ads|advert\w*|adslot|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|widget\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup|modal|overlay|newsletter\w*|subscribe|subscription|signup|login|search\w*|form|comment\w*|disqus\w*|replies|respond|share|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toc|skip|copyright|legal|disclaimer)$"
 )
-CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span a body html".split())
+CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span a body html ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd td".split())
 
 _tokens = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _attributes = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
@@ -50,12 +51,13 @@ _raw_ends: dict[str, re.Pattern] = {}
 
 
 class Element:
-    __slots__ = ("furniture", "hash", "parts", "tag", "looks")
+    __slots__ = ("furniture", "hash", "looks", "parts", "prose", "tag")
 
     def __init__(self, tag: str, looks: str = "", furniture: bool = False):
         self.tag, self.looks, self.furniture = tag, looks, furniture
         self.parts: list = []
         self.hash = 0
+        self.prose = False
 
 
 def _furniture(tag: str, attributes: str) -> tuple[str, bool]:
@@ -137,25 +139,26 @@ def hashed(root: Element) -> Element:
         todo.extend(p for p in e.parts if not isinstance(p, str))
     for e in reversed(order):
         text = "\x01".join(t for p in e.parts if (t := _space.sub(" ", p).strip() if isinstance(p, str) else str(p.hash)))
+        e.prose = e.tag in PROSE or any(p.prose for p in e.parts if not isinstance(p, str))
         e.hash = xxhash.xxh64_intdigest(f"{e.tag}\x02{e.looks}\x02{text}") - 2**63
     return root
 
 
 def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees that may be template: all elements, but no content elements inside (or around) an article."""
+    """Hashes of the subtrees that may be template: all elements, but inside an article none that is or holds content."""
     out: set[int] = set()
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
         inside = inside or e.tag in ("article", "main")
-        if e.tag not in ("html", "body", "article", "main", "br", "head", "meta") and not (inside and e.tag in CONTENT):
+        if e.tag not in ("html", "body", "article", "main", "br", "head", "meta") and not (inside and (e.prose or e.tag in CONTENT)):
             out.add(e.hash)
         todo.extend((p, inside) for p in e.parts if not isinstance(p, str))
     return out
 
 
 def _visible(e: Element, template: frozenset[int], inside: bool) -> bool:
-    return not e.furniture and not (e.hash in template and e.tag not in ("html", "body", "article", "main") and not (inside and e.tag in CONTENT))
+    return not e.furniture and not (e.hash in template and e.tag not in ("html", "body", "article", "main") and not (inside and (e.prose or e.tag in CONTENT)))
 
 
 def regions(root: Element, template: frozenset[int]) -> list[Element]:
