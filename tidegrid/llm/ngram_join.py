@@ -305,7 +305,7 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     )
     docs = written(docs.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("blocks"), "blocks")
     packed_blocks = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("family", "block").applyInPandas(_pack, "family long, block long, doc binary, part binary, n binary, small binary, sets binary"), "packed_blocks")
-    where = members.select("sig", "doc").join(docs.select("doc", "family", "block"), "doc").select("sig", "family", "block").distinct()
+    where = written(members.select("sig", "doc").join(docs.select("doc", "family", "block"), "doc").select("sig", "family", "block").distinct(), "runs_of_blocks")
     pairs = where.join(where.select("sig", F.col("block").alias("other")), "sig").where("block <= other").select("family", "block", "other").distinct()
     other = packed_blocks.select("family", F.col("block").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "part", "n", "small", "sets")])
     return pairs.join(packed_blocks, ["family", "block"]).join(other, ["family", "other"]).mapInPandas(_compare, "a long, b long")
