@@ -322,3 +322,54 @@ def test_profile_cells_are_bounded(spark):
     with pytest.raises(ValueError):
         t.fit(files.generated(spark, 2, "2021-01-01", 48, 3600))
     assert ID == ["source", "value_type", "category"]
+
+
+def test_matrix_queries_take_every_row(spark, tmp_path):
+    from tidegrid.queries import QUERIES
+
+    n = 2_100
+    x = np.random.default_rng(7).normal(size=(n, 9)).astype("float32")
+    x[:, 1:] += x[:, :1] * np.arange(8)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "embeddings.parquet")
+    x = x.astype(float)
+    got = {q: QUERIES[q](spark, str(tmp_path)).collect() for q in ("knn_impute", "synthetic_samples", "joint_information", "hierarchical_clusters", "validity_scores", "quantile_regression", "multiple_correlation", "knee_of_shares")}
+    assert len(got["knn_impute"]) == len(got["quantile_regression"]) == n and len(got["hierarchical_clusters"]) == n * len(clustering.LINKAGES)
+    holes = x[:, :8].copy()
+    holes[::7, 3] = np.nan
+    d = np.where(np.isnan(holes[:, 3]), np.inf, ((x[:, [0, 1, 2, 4, 5, 6, 7]] - x[7, [0, 1, 2, 4, 5, 6, 7]]) ** 2).sum(1))
+    assert {r.row: r.value for r in got["knn_impute"]}[7] == pytest.approx(x[np.argsort(d)[:5], 3].mean())
+    y, z = x[:, 6] + x[:, 0], x[:, :6]
+    alone = [kernels.mutual_information(z[:, j], y) for j in range(2)]
+    pair = [min(alone[j] if m == j else kernels.mutual_information(z[:, j], y) + kernels.mutual_information(z[:, m], y, z[:, j]) for j in range(6) if j != m) for m in (5,)]
+    assert {r.feature: r.score for r in got["joint_information"]}[5] == pytest.approx(pair[0])
+    assert [r.r for r in got["multiple_correlation"]] == pytest.approx([kernels.multiple_correlation(np.delete(x, j, 1), x[:, j]) for j in range(8)])
+    at, value = kernels.knee(np.sort(kernels.principal_components(x)[1])[::-1])
+    assert (got["knee_of_shares"][0].x, got["knee_of_shares"][0].y) == (at, pytest.approx(value))
+    want = {s: f(x, clustering.lloyd(x, 10)) for s, f in clustering.SCORES.items()}
+    assert {r.name: r.score for r in got["validity_scores"]} == pytest.approx(want)
+    p = kernels.MultiQuantileRegression([0.5]).fit_predict(x[:, 1:5], x[:, :1])[:, 0, 0]
+    assert [r.q50 for r in sorted(got["quantile_regression"])] == pytest.approx(p.tolist())
+    assert len(got["synthetic_samples"]) == 100
+
+
+@pytest.mark.parametrize("method", list(clustering.LINKAGES))
+def test_tree_merges_the_nearest_first(method):
+    """Against a search through all distances at each merge, with ties."""
+    x = np.random.default_rng(3).integers(0, 4, size=(40, 2)).astype(float)
+    n, square = len(x), method in ("centroid", "median", "ward")
+    d = clustering.squared(x, x) if square else np.sqrt(clustering.squared(x, x))
+    np.fill_diagonal(d, np.inf)
+    ids, sizes, alive, want = list(range(n)), np.ones(n), set(range(n)), []
+    for m in range(n - 1):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        h = d[i, j]
+        want.append((*sorted((ids[i], ids[j])), float(np.sqrt(max(h, 0))) if square else float(h)))
+        for o in alive - {i, j}:
+            a, b, c, e = clustering.LINKAGES[method](sizes[i], sizes[j], sizes[o])
+            d[i, o] = d[o, i] = a * d[i, o] + b * d[j, o] + c * h + e * abs(d[i, o] - d[j, o])
+        alive.discard(j)
+        ids[i] = n + m
+        sizes[i] += sizes[j]
+        d[j], d[:, j] = np.inf, np.inf
+    got = clustering.linkage(x, method)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])

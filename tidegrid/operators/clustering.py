@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import knee, principal_components
+from .kernels import blocks, knee, principal_components
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -141,40 +141,47 @@ LINKAGES: dict[str, Callable[[float, float, float], tuple[float, float, float, f
 
 
 def linkage(x: np.ndarray, method: str = "ward") -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of an agglomerative tree; the m-th merge makes cluster n + m."""
+    """Merges (a, b, height) of an agglomerative tree; the m-th merge makes cluster n + m. Holds n x n distances (8 bytes each)."""
     n, square = len(x), method in ("centroid", "median", "ward")
-    d = squared(x, x) if square else np.sqrt(squared(x, x))
+    d = np.empty((n, n))
+    for a, z in blocks(n):
+        d[a:z] = squared(x[a:z], x) if square else np.sqrt(squared(x[a:z], x))
     np.fill_diagonal(d, np.inf)
     ids, sizes, alive, out = list(range(n)), np.ones(n), np.ones(n, bool), []
+    # Of each row the nearest other one (of equal ones the first) and its distance, kept up to date.
+    near = d.argmin(1) if n else np.zeros(0, int)
+    low = d[np.arange(n), near]
     for m in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
+        i = int(low.argmin())
+        i, j = sorted((i, int(near[i])))
         h = d[i, j]
         out.append((*sorted((ids[i], ids[j])), float(sqrt(max(h, 0))) if square else float(h)))
-        for o in np.flatnonzero(alive):
-            if o not in (i, j):
-                a, b, c, e = LINKAGES[method](sizes[i], sizes[j], sizes[o])
-                d[i, o] = d[o, i] = a * d[i, o] + b * d[j, o] + c * h + e * abs(d[i, o] - d[j, o])
-        alive[j], ids[i] = False, n + m
+        alive[i] = alive[j] = False
+        o = np.flatnonzero(alive)
+        a, b, c, e = LINKAGES[method](sizes[i], sizes[j], sizes[o])
+        new = a * d[i, o] + b * d[j, o] + c * h + e * np.abs(d[i, o] - d[j, o])
+        d[i, o] = d[o, i] = new
+        alive[i], ids[i] = True, n + m
         sizes[i] += sizes[j]
         d[j], d[:, j] = np.inf, np.inf
+        stale = (near[o] == i) | (near[o] == j)
+        closer = ~stale & ((new < low[o]) | (new == low[o]) & (i < near[o]))
+        near[o[closer]], low[o[closer]], low[j] = i, new[closer], np.inf
+        for r in (i, *o[stale]):
+            near[r] = d[r].argmin()
+            low[r] = d[r, near[r]]
     return out
 
 
 def cut(tree: list[tuple[int, int, float]], k: int) -> np.ndarray:
     """Labels of k clusters, numbered by first appearance."""
     n = len(tree) + 1
-    parent = list(range(2 * n - 1))
-    for m, (a, b, _) in enumerate(tree[: n - k]):
-        parent[a] = parent[b] = n + m
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
+    top = list(range(2 * n - 1))
+    for m in range(n - k - 1, -1, -1):  # from the last merge down, so that the top of a merge is known
+        a, b, _ = tree[m]
+        top[a] = top[b] = top[n + m]
     seen: dict[int, int] = {}
-    return np.array([seen.setdefault(top(i), len(seen)) for i in range(n)])
+    return np.array([seen.setdefault(top[i], len(seen)) for i in range(n)])
 
 
 def calinski_harabasz(x: np.ndarray, labels: np.ndarray) -> float:
@@ -195,9 +202,10 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    k, d = np.unique(labels), np.sqrt(squared(x, x))
-    sums = np.stack([d[:, labels == c].sum(1) for c in k], 1)
-    sizes = np.array([(labels == c).sum() for c in k])
+    k = np.unique(labels)
+    member = (labels[:, None] == k).astype(float)
+    sums = np.concatenate([np.sqrt(squared(x[a:z], x)) @ member for a, z in blocks(len(x))])
+    sizes = member.sum(0)
     own = np.searchsorted(k, labels)
     i = np.arange(len(x))
     a = sums[i, own] / np.maximum(sizes[own] - 1, 1)

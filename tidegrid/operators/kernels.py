@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import partial
 from statistics import NormalDist
 
 import numpy as np
 
+#: Cells of a block of rows against all rows.
+CELLS = 1_000_000
+
+
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(first, one past the last) of blocks of n rows, each of CELLS cells against all rows at most (a row at least)."""
+    step = max(1, CELLS // max(1, n))
+    return [(a, min(n, a + step)) for a in range(0, n, step)]
+
 
 def knee(curve: Sequence[float], shape: str = "convex", direction: str = "decreasing", sensitivity: float = 1.0) -> tuple[int, float]:
     """(place, value) of the knee by Kneedle; of an empty curve (0, 0), without a knee its last point."""
@@ -96,18 +106,30 @@ def impute_nearest(x: np.ndarray, k: int = 5) -> np.ndarray:
     if not missing.any():
         return x
     have, filled = (~missing).astype(float), np.where(missing, 0.0, x)
-    shared = have @ have.T
-    squares = (filled**2) @ have.T + have @ (filled**2).T - 2 * filled @ filled.T
-    distance = np.sqrt(np.maximum(np.where(shared > 0, squares * x.shape[1] / np.maximum(shared, 1), np.inf), 0))
-    np.fill_diagonal(distance, np.inf)
     out, means = x.copy(), np.where(have.sum(0) > 0, filled.sum(0) / np.maximum(have.sum(0), 1), 0.0)
-    for i, j in zip(*np.nonzero(missing), strict=True):
-        donors = np.flatnonzero(~missing[:, j] & np.isfinite(distance[i]))
-        near = donors[np.argsort(distance[i, donors], kind="stable")[:k]]
-        out[i, j] = x[near, j].mean() if len(near) else means[j]
+    wanting = np.flatnonzero(missing.any(1))
+    for a, z in blocks(len(x)):
+        rows = wanting[(wanting >= a) & (wanting < z)]
+        if not len(rows):
+            continue
+        shared = have[rows] @ have.T
+        squares = (filled[rows] ** 2) @ have.T + have[rows] @ (filled**2).T - 2 * filled[rows] @ filled.T
+        distance = np.sqrt(np.maximum(np.where(shared > 0, squares * x.shape[1] / np.maximum(shared, 1), np.inf), 0))
+        distance[np.arange(len(rows)), rows] = np.inf
+        for d, i in zip(distance, rows, strict=True):
+            for j in np.flatnonzero(missing[i]):
+                near = _nearest(np.where(missing[:, j], np.inf, d), k)
+                out[i, j] = x[near, j].mean() if len(near) else means[j]
     return out
 
 
+def _nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest finite distances, nearest first; of equal ones the first."""
+    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) else np.arange(len(d))
+    at = at[np.isfinite(d[at])]
+    return at[np.argsort(d[at], kind="stable")[:k]]
+
+
 def digamma(n: np.ndarray) -> np.ndarray:
     x = np.asarray(n, float).copy()
     out = np.zeros_like(x)
@@ -139,13 +161,74 @@ def mutual_information(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None
     return float(digamma(np.array([k]))[0] - np.mean(digamma(inside(xz) + 1) + digamma(inside(yz) + 1) - digamma(inside(parts[2]) + 1)))
 
 
-def joint_scores(x: np.ndarray, y: np.ndarray, k: int = 3) -> np.ndarray:
-    """Of each column the least information that it and one other column have on y together; a lone column's own."""
-    n = x.shape[1]
-    alone = [mutual_information(x[:, j], y, k=k) for j in range(n)]
-    if n == 1:
-        return np.array(alone)
-    return np.array([min(alone[j] + mutual_information(x[:, i], y, x[:, j], k) for j in range(n) if j != i) for i in range(n)])
+def _joint_sums(rows: tuple[int, int], x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of these rows against all, the sums that mutual_information() takes means of: by column, and by (column, condition)."""
+    a, z = rows
+    m, at = x.shape[1], np.arange(z - a)
+    dy = np.abs(y[a:z, None] - y[None])
+    dx = [np.abs(x[a:z, j, None] - x[None, :, j]) for j in range(m)]
+    with_y = [np.maximum(d, dy) for d in dx]
+
+    def radius_of(joint: np.ndarray) -> np.ndarray:
+        joint[at, at + a] = np.inf
+        return np.partition(joint, k - 1, axis=1)[:, k - 1 : k]
+
+    def inside(d: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        return digamma((d < radius).sum(1) - (radius[:, 0] > 0) + 1)
+
+    alone, pair = np.zeros(m), np.zeros((m, m))
+    for j in range(m):
+        r = radius_of(with_y[j].copy())
+        alone[j] = (inside(dx[j], r) + inside(dy, r)).sum()
+        for i in range(j):
+            both = np.maximum(dx[i], dx[j])
+            r = radius_of(np.maximum(both, dy))
+            near = inside(both, r)
+            pair[i, j] = (near + inside(with_y[j], r) - inside(dx[j], r)).sum()
+            pair[j, i] = (near + inside(with_y[i], r) - inside(dx[i], r)).sum()
+    return alone, pair
+
+
+def joint_scores(x: np.ndarray, y: np.ndarray, k: int = 3, over: Callable[[Callable, list], Iterable] = map) -> np.ndarray:
+    """Of each column the least information that it and one other column have on y together; a lone column's own.
+
+    Work grows with the square of the rows; over maps a function over blocks of rows, in this process by default.
+    """
+    n, m = x.shape
+    sums = list(over(partial(_joint_sums, x=x, y=y, k=k), blocks(n)))
+    at_k, at_n = digamma(np.array([k, n]))
+    alone = at_k + at_n - sum(a for a, _ in sums) / n
+    if m == 1:
+        return alone
+    given = at_k - sum(p for _, p in sums) / n
+    return np.array([min(alone[j] + given[i, j] for j in range(m) if j != i) for i in range(m)])
+
+
+def power_sums(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, means, sums of products of deviations from the means)."""
+    d = x - (mean := x.mean(0))
+    return len(x), mean, d.T @ d
+
+
+def merged_sums(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """power_sums() of the rows of both."""
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def scatter_shares(n: int, scatter: np.ndarray) -> np.ndarray:
+    """principal_components()'s explained shares, from the highest on, of n rows with these power sums."""
+    s = np.maximum(np.linalg.eigvalsh(scatter)[::-1], 0)[:n]
+    return s / (s.sum() or 1)
+
+
+def scatter_correlation(scatter: np.ndarray, j: int) -> float:
+    """multiple_correlation() of column j with the others, from their power sums."""
+    rest = np.delete(np.arange(len(scatter)), j)
+    own, cross, y = scatter[np.ix_(rest, rest)], scatter[rest, j], scatter[j, j]
+    w = np.linalg.lstsq(own, cross, rcond=None)[0]
+    fit = w @ own @ w
+    return float(w @ cross / np.sqrt(fit * y)) if fit > 0 and y > 0 else 0.0
 
 
 def multiple_correlation(x: np.ndarray, y: np.ndarray) -> float:
@@ -158,11 +241,13 @@ def multiple_correlation(x: np.ndarray, y: np.ndarray) -> float:
 def synthetic_samples(x: np.ndarray, n: int, k: int = 5, seed: int = 1) -> np.ndarray:
     """n rows, each from a random row towards one of its k nearest ones, a random part of the way in each column."""
     rng = np.random.default_rng(seed)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
     base = rng.integers(len(x), size=n)
-    other = near[base, rng.integers(near.shape[1], size=n)]
+    pick = rng.integers(min(k, len(x) - 1), size=n)
+    other = np.zeros(n, int)
+    for m, (i, p) in enumerate(zip(base, pick, strict=True)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        other[m] = _nearest(d, p + 1)[p]
     return x[base] + (x[other] - x[base]) * rng.random((n, x.shape[1]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -512,15 +513,34 @@ def partial_autocorrelation(spark, sf):
     return m.groupBy("source").applyInPandas(run, "source string, lag int, score double, selected boolean, ci double")
 
 
-def _matrix(spark, sf, most: int = 2_000) -> np.ndarray:
-    """The embeddings as a matrix; kernels over pairs of rows take evenly spaced ones where there are more than they are meant for."""
-    x = np.stack(read(spark, sf, "embeddings").orderBy("vec_id").select("embedding").toPandas().embedding.to_numpy()).astype(float)
-    return x[np.unique(np.linspace(0, len(x) - 1, min(len(x), most)).astype(int))]
+def _matrix(spark, sf, columns: int = 0) -> np.ndarray:
+    """All rows of the embeddings (or of their first columns) as a matrix on the driver, in order of vec_id."""
+    v = F.slice("embedding", 1, columns) if columns else F.col("embedding")
+    return np.stack(read(spark, sf, "embeddings").orderBy("vec_id").select(v.alias("v")).toPandas().v.to_numpy()).astype(float)
+
+
+def _scatter(spark, sf) -> tuple[int, np.ndarray]:
+    """(rows, sums of products of deviations from the means) of the embeddings: a row of power sums a partition, exact in any grouping."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = None
+        for b in batches:
+            if len(b):
+                own = kernels.power_sums(np.stack(b.embedding.to_numpy()).astype(float))
+                total = own if total is None else kernels.merged_sums(total, own)
+        if total:
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
+
+    parts = read(spark, sf, "embeddings").select("embedding").mapInPandas(run, "n long, mean array<double>, scatter array<double>").collect()
+    n, _, s = reduce(kernels.merged_sums, [(r.n, np.array(r["mean"]), np.reshape(r.scatter, (len(r["mean"]), -1))) for r in parts])
+    return n, s
 
 
 @query()
 def knn_impute(spark, sf):
-    x = _matrix(spark, sf)[:, :8]
+    x = _matrix(spark, sf, 8)
     x[np.arange(len(x)) % 7 == 0, 3] = np.nan
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(kernels.impute_nearest(x)[:, 3])], "row int, value double")
 
@@ -532,15 +552,17 @@ def synthetic_samples(spark, sf):
 
 @query()
 def joint_information(spark, sf):
-    x = _matrix(spark, sf, 500)
-    scores_ = kernels.joint_scores(x[:, :6], x[:, 6] + x[:, 0])
+    x = _matrix(spark, sf, 7)
+    # Every row is held against all rows, which the tasks do block by block.
+    spread = lambda f, blocks: spark.sparkContext.parallelize(blocks, min(len(blocks), 200)).map(f).collect()
+    scores_ = kernels.joint_scores(x[:, :6], x[:, 6] + x[:, 0], over=spread)
     keep = kernels.selected(np.maximum(scores_, 1e-12), 0.9)
     return spark.createDataFrame([(i, float(s), i in keep) for i, s in enumerate(scores_)], "feature int, score double, selected boolean")
 
 
 @query()
 def hierarchical_clusters(spark, sf):
-    x = _matrix(spark, sf, 300)
+    x = _matrix(spark, sf)
     return spark.createDataFrame([(m, i, int(c)) for m in clustering.LINKAGES for i, c in enumerate(clustering.cut(clustering.linkage(x, m), 5))], "method string, row int, cluster int")
 
 
@@ -553,20 +575,20 @@ def validity_scores(spark, sf):
 
 @query()
 def quantile_regression(spark, sf):
-    x = _matrix(spark, sf)
+    x = _matrix(spark, sf, 5)
     p = kernels.MultiQuantileRegression([0.1, 0.5, 0.9]).fit_predict(x[:, 1:5], x[:, :1])
     return spark.createDataFrame([(i, *map(float, r[0])) for i, r in enumerate(p)], "row int, q10 double, q50 double, q90 double")
 
 
 @query()
 def multiple_correlation(spark, sf):
-    x = _matrix(spark, sf)
-    return spark.createDataFrame([(j, kernels.multiple_correlation(np.delete(x, j, 1), x[:, j])) for j in range(8)], "feature int, r double")
+    _, s = _scatter(spark, sf)
+    return spark.createDataFrame([(j, kernels.scatter_correlation(s, j)) for j in range(8)], "feature int, r double")
 
 
 @query()
 def knee_of_shares(spark, sf):
-    share = np.sort(kernels.principal_components(_matrix(spark, sf))[1])[::-1]
+    share = kernels.scatter_shares(*_scatter(spark, sf))
     return spark.createDataFrame([(int(a), float(b)) for a, b in [kernels.knee(share)]], "x int, y double")
 
 
