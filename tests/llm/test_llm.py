@@ -378,6 +378,18 @@ def test_licenses(spark):
     assert licenses.license_scan(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_licenses_that_stand_twice(spark):
+    rng = random.Random(12)
+    apache, mit = licenses.TEMPLATES["apache-2.0-header"], licenses.TEMPLATES["mit"]
+    between = lambda n: " " + some_words(rng, n) + " "
+    rows = [(1, between(60) + mit + between(7) + mit + between(60), "a"), (2, between(60) + (mit + " ") * 3 + between(60), "a"), (3, between(500) + "".join(apache + between(n) for n in (150, 250, 90)) + between(400), "a"), (4, between(300) + (apache + " ") * 2 + between(300), "a"), (5, between(300) + apache.replace("you may", "you or anyone else may") + between(20) + apache.replace("express or", "") + between(300), "a")]
+    got = {(r.doc_id, r.license): r for r in licenses.license_scan(docs(spark, rows)).collect()}
+    for i, name, first in ((1, "mit", 60), (2, "mit", 60), (3, "apache-2.0-header", 500), (4, "apache-2.0-header", 300)):
+        r = got[i, name]
+        assert (r.coverage, r.first_word, r.end_word) == (1.0, first, first + len(licenses.words_of(licenses.TEMPLATES[name])))
+    assert got[5, "apache-2.0-header"].coverage == 1.0
+
+
 def test_patience_alignment_is_an_alignment():
     rng = random.Random(2)
     for _ in range(300):

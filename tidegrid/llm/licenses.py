@@ -89,7 +89,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def windows(words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of a text that can hold the template: around its rarest word there, merged where they overlap."""
+    """Stretches of a text that can hold the template: around its rarest words there, merged where they overlap.
+
+    Copies close together leave no word of a merged stretch unique, so each place of these words also gives stretches
+    of its own, from a template's length about it to STRETCH times that.
+    """
     counts = Counter(words)
     shared = [w for w in dict.fromkeys(template) if w in counts]
     # A stretch covers the template if it has COVERAGE of its words, so one of any (1 - COVERAGE) + 1 of them.
@@ -102,35 +106,49 @@ def windows(words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
             break
     if not chosen & set(shared):
         return
-    reach = int(len(template) * STRETCH)
+    reach, at = int(len(template) * STRETCH), [i for i, w in enumerate(words) if w in chosen]
     begin = end = None
-    for i, w in enumerate(words):
-        if w in chosen:
-            if end is not None and i - reach <= end:
-                end = i + reach
-            else:
-                if end is not None:
-                    yield max(0, begin), min(len(words), end)
-                begin, end = i - reach, i + reach
+    for i in at:
+        if end is not None and i - reach <= end:
+            end = i + reach
+        else:
+            if end is not None:
+                yield max(0, begin), min(len(words), end)
+            begin, end = i - reach, i + reach
     if end is not None:
         yield max(0, begin), min(len(words), end)
-
-
-def best(words: list[str], template: list[str]) -> tuple[float, int, int]:
-    """(coverage, first word, one past the last word) of the best aligned stretch; (0, 0, 0) without one."""
-    found = (0.0, 0, 0)
+    if len(at) < 2:
+        return
+    size, least, known, seen = len(template), len(template) - missing, set(template), set()
+    places = {w: [j for j, x in enumerate(template) if x == w] for w in chosen}
+    for i in at:
+        for j in places[words[i]]:
+            for more in (0, size // 4, int(size * (STRETCH - 1) / 2)):
+                a, z = max(0, i - j - more), min(len(words), i - j + size + more)
+                if (a, z) not in seen:
+                    seen.add((a, z))
+                    if sum(w in known for w in words[a:z]) >= least:
+                        yield a, z
+
+
+def stretches(words: list[str], template: list[str]) -> Iterator[tuple[float, int, int]]:
+    """(coverage, first word, one past the last word) of the best aligned stretch of each window."""
     for a, z in windows(words, template):
-        part = words[a:z]
-        pairs = align(part, template)
+        pairs = align(words[a:z], template)
         # Of the aligned places, the stretch of bounded length that holds most; ties go to the first.
-        reach, low = len(template) * STRETCH, 0
+        found, reach, low = (0.0, 0, 0), len(template) * STRETCH, 0
         for high in range(len(pairs)):
             while pairs[high][0] - pairs[low][0] >= reach:
                 low += 1
             cover = (high - low + 1) / len(template)
             if cover > found[0]:
                 found = (cover, a + pairs[low][0], a + pairs[high][0] + 1)
-    return found
+        yield found
+
+
+def best(words: list[str], template: list[str]) -> tuple[float, int, int]:
+    """The stretch that covers most, the first and shortest of equal ones; (0, 0, 0) without one."""
+    return min(stretches(words, template), key=lambda x: (-x[0], x[1], x[2]), default=(0.0, 0, 0))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
