@@ -390,6 +390,38 @@ def test_licenses_that_stand_twice(spark):
     assert got[5, "apache-2.0-header"].coverage == 1.0
 
 
+def test_licenses_are_told_from_their_kin(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    told = {
+        "This work is licensed under the GNU General Public License, version 2.": {"gpl-2.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl-3.0"},
+        "This work is licensed under the GNU General Public License v3.0": {"gpl-3.0"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"lgpl-3.0"},
+        "This work is licensed under the GNU Affero General Public License, version 3.0.": {"agpl-3.0"},
+        gpl.format("General Public License", 2): {"gpl-2.0-header"},
+        gpl.format("General Public License", 3): {"gpl-3.0-header"},
+        gpl.format("Lesser General Public License", 2.1): {"lgpl-2.1-header"},
+        gpl.format("Affero General Public License", 3): {"agpl-3.0-header"},
+        "Licensed under the Apache License, Version 1.1": {"apache-1.1"},
+        "Licensed under CC BY-SA 3.0": {"cc-by-sa-3.0"},
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc-4.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc-4.0-long"},
+        "Released under the BSD License": {"bsd"},
+        "Released under the Foo License": set(),
+        licenses.TEMPLATES["bsd-2-clause-text"]: {"bsd-2-clause-text"},
+        licenses.TEMPLATES["bsd-3-clause-text"]: {"bsd-3-clause-text"},
+        licenses.TEMPLATES["mpl-2.0-header"]: {"mpl-2.0-header"},
+        licenses.TEMPLATES["apache-2.0-header"]: {"apache-2.0-header"},
+        licenses.TEMPLATES["lgpl-3.0"] + " " + licenses.TEMPLATES["gpl-3.0"]: {"lgpl-3.0", "gpl-3.0"},
+    }
+    told |= {t: {name} for name, t in licenses.TEMPLATES.items()}
+    rows = [(k, t, "a") for k, t in enumerate(told)]
+    got = {}
+    for r in licenses.license_scan(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {t: got.get(k, set()) for k, t, _ in rows} == told
+
+
 def test_patience_alignment_is_an_alignment():
     rng = random.Random(2)
     for _ in range(300):

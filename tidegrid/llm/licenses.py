@@ -12,7 +12,7 @@ Templates are a bounded list and go to every task; texts are scanned in place, w
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,23 +24,73 @@ from .common import text_of
 
 COVERAGE, STRETCH = 0.8, 2.0
 
-# The notices that declare a license, and the full text of two short licenses.
+# The notices that declare a license and its version, and the full text of short licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "bsd": "Released under the BSD License.",
+    "bsd-2-clause": "Released under the BSD 2-Clause License.",
+    "bsd-3-clause": "Released under the BSD 3-Clause License.",
+    "bsd-2-clause-text": (_BSD := "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "bsd-3-clause-text": _BSD + (_ENDORSE := " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "bsd-4-clause-text": _BSD + " All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization." + _ENDORSE,
+    "cc0-1.0": "Licensed under CC0 1.0 Universal.",
+    "mpl-1.1": "Licensed under the Mozilla Public License, version 1.1.",
+    "mpl-1.1-header": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+    "mpl-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl-1.0": "Licensed under the Eclipse Public License, version 1.0.",
+    "epl-2.0": "Licensed under the Eclipse Public License, version 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Words that tell a license from its kin: each must be aligned, else the license isn't reported.
+REQUIRED = {
+    "apache-1.1": "apache 1.1",
+    "apache-2.0": "apache 2.0",
+    "apache-2.0-header": "apache 2.0",
+    "bsd": "bsd",
+    "bsd-2-clause": "bsd 2-clause",
+    "bsd-3-clause": "bsd 3-clause",
+    "bsd-3-clause-text": "endorse",
+    "bsd-4-clause-text": "advertising endorse",
+    "cc0-1.0": "cc0 1.0",
+    "epl-1.0": "eclipse 1.0",
+    "epl-2.0": "eclipse 2.0",
+    "isc": "appear",
+    "mit": "mit",
+    "mpl-1.1": "mozilla 1.1",
+    "mpl-1.1-header": "mozilla 1.1",
+    "mpl-2.0": "mozilla 2.0",
+    "mpl-2.0-header": "mozilla 2.0",
+    "unlicense": "unencumbered",
+}
+for _name, _kind, _versions in (("gpl", "", ("1", "2", "3")), ("lgpl", "Lesser ", ("2.1", "3")), ("lgpl", "Library ", ("2",)), ("agpl", "Affero ", ("1", "3"))):
+    for _v in _versions:
+        _key = f"{_name}-{_v if '.' in _v else _v + '.0'}"
+        TEMPLATES[_key] = f"This work is licensed under the GNU {_kind}General Public License, version {_v}."
+        TEMPLATES[_key + "-header"] = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
+        REQUIRED[_key] = REQUIRED[_key + "-header"] = f"gnu {_kind}general public {_v}".lower()
+for _name, _long in (("by", ""), ("by-sa", "-ShareAlike"), ("by-nd", "-NoDerivatives"), ("by-nc", "-NonCommercial"), ("by-nc-sa", "-NonCommercial-ShareAlike"), ("by-nc-nd", "-NonCommercial-NoDerivatives")):
+    for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        _key = f"cc-{_name}-{_v}"
+        TEMPLATES[_key] = f"Licensed under CC {_name.upper()} {_v}."
+        TEMPLATES[_key + "-long"] = f"This work is licensed under a Creative Commons Attribution{_long} {_v} International License."
+        REQUIRED[_key], REQUIRED[_key + "-long"] = f"{_name} {_v}", f"attribution{_long} {_v}".lower()
 
 _word = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
+_version = re.compile(r"v?(\d+)(?:\.0)*")
+
+
 def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    """Words in lower case; versions without v and final .0, so that 3, v3 and 3.0 are equal."""
+    return [m[1] if w[-1] <= "9" and (m := _version.fullmatch(w)) else w for w in _word.findall(text.lower())]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,8 +181,8 @@ def windows(words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
                         yield a, z
 
 
-def stretches(words: list[str], template: list[str]) -> Iterator[tuple[float, int, int]]:
-    """(coverage, first word, one past the last word) of the best aligned stretch of each window."""
+def stretches(words: list[str], template: list[str], required: frozenset[str] = frozenset()) -> Iterator[tuple[float, int, int]]:
+    """(coverage, first word, one past the last word) of the best aligned stretch of each window, with all required words."""
     for a, z in windows(words, template):
         pairs = align(words[a:z], template)
         # Of the aligned places, the stretch of bounded length that holds most; ties go to the first.
@@ -141,26 +191,45 @@ def stretches(words: list[str], template: list[str]) -> Iterator[tuple[float, in
             while pairs[high][0] - pairs[low][0] >= reach:
                 low += 1
             cover = (high - low + 1) / len(template)
-            if cover > found[0]:
+            if cover > found[0] and required.issubset(template[j] for _, j in pairs[low : high + 1]):
                 found = (cover, a + pairs[low][0], a + pairs[high][0] + 1)
         yield found
 
 
-def best(words: list[str], template: list[str]) -> tuple[float, int, int]:
-    """The stretch that covers most, the first and shortest of equal ones; (0, 0, 0) without one."""
-    return min(stretches(words, template), key=lambda x: (-x[0], x[1], x[2]), default=(0.0, 0, 0))
+def licenses_of(words: list[str], known: dict[str, tuple[list[str], frozenset[str]]], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, one past the last word) of the best stretch of each license.
+
+    Of stretches that overlap, the one with most aligned words counts, then the best covered, the first, the shortest.
+    """
+    found = set()
+    for name, (template, required) in known.items():
+        for cover, a, z in stretches(words, template, required):
+            if cover >= coverage:
+                found.add((-round(cover * len(template)), -cover, a, z, name))
+    spans: list[tuple[int, int]] = []
+    out: dict[str, tuple[str, float, int, int]] = {}
+    for _, cover, a, z, name in sorted(found):
+        at = bisect_left(spans, (z, -1))
+        # Kept spans don't overlap, so only the one before z can reach into this one.
+        if at == 0 or spans[at - 1][1] <= a:
+            insort(spans, (a, z))
+            out.setdefault(name, (name, -cover, a, z))
+    return [out[name] for name in known if name in out]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """Per document and template that covers it: doc_id, license, coverage (rounded to 6 places), first_word, end_word.
 
+    Where stretches of several templates overlap, only the one with most aligned words is reported. The words of
+    REQUIRED must be aligned if templates is None; own templates have none.
+
     The whole text is scanned; null counts as empty and covers nothing; repeated rows give repeated rows; empty docs
     give none; further columns are ignored. A stretch needs as much coverage as asked for, at least COVERAGE.
     """
-    known = {name: words_of(t) for name, t in (TEMPLATES if templates is None else templates).items()}
-    known = {name: t for name, t in known.items() if t}
+    known = {name: (words_of(t), frozenset(words_of(REQUIRED.get(name, "") if templates is None else ""))) for name, t in (TEMPLATES if templates is None else templates).items()}
+    known = {name: t for name, t in known.items() if t[0]}
     # A text without enough of a template's words can't be covered: a cheap test before any alignment.
-    vocabulary = {name: (Counter(t), int(-(-len(t) * COVERAGE // 1))) for name, t in known.items()}
+    vocabulary = {name: (Counter(t), int(-(-len(t) * COVERAGE // 1)), required) for name, (t, required) in known.items()}
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,13 +237,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             for doc_id, text in zip(b.doc_id.astype(object).where(b.doc_id.notna(), None), b.text, strict=True):
                 words = words_of(text)
                 distinct = set(words)
-                for name, t in known.items():
-                    counts, least = vocabulary[name]
-                    if sum(n for w, n in counts.items() if w in distinct) < least:
-                        continue
-                    cover, first, end = best(words, t)
-                    if cover >= coverage:
-                        rows.append((doc_id, name, round(cover, 6), first, end))
+                some = {}
+                for name, (counts, least, required) in vocabulary.items():
+                    if required <= distinct and sum(n for w, n in counts.items() if w in distinct) >= least:
+                        some[name] = known[name]
+                if some:
+                    rows += [(doc_id, name, round(cover, 6), first, end) for name, cover, first, end in licenses_of(words, some, coverage)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "end_word"])
             yield out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
