@@ -296,6 +296,14 @@ def test_html_main_text(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_stray_quotes_cut_nothing():
+    rest = '</a> and <b class="d">more</b> "text" it\'s<p title=\'q\'>end'
+    text = 'A and more "text" it\'s\nend'
+    for tag in ('<a href="x"">', '<a href="x" ">', '<a alt="24" monitor">', "<a title=Don't>", '<a href=/s?q=">', '<a href="x" =">', '<a href="x"title="a>b">', '<a title = "a>b">', "<a title='\"'>", '<a b=>', '<a "">', "<a '>"):
+        assert html_text.main_text(html_text.parse(tag + "A" + rest)) == text, tag
+    assert html_text.main_text(html_text.parse('<p>one <a title="x>two</a> three')) == "one two three"
+
+
 def test_html_template_is_deleted(spark):
     """A box without telling names that stands on many pages of a host goes; the same text once elsewhere stays."""
     page = "<body><div><span>Join our club today</span></div><div><p>Story number {} of the day</p></div></body>"

@@ -43,7 +43,8 @@ NAMES = re.compile(
 CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span a body html ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd td".split())
 
-_tokens = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# A quote opens a string only where a value begins, and only if it is closed; elsewhere it is a character as any other.
+_tokens = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)?)*+)(?:>|$)", re.S)
 _attributes = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
 _space = re.compile(r"\s+")
 _words = re.compile(r"[a-z]+")
