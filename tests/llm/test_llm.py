@@ -304,6 +304,13 @@ def test_html_stray_quotes_cut_nothing():
     assert html_text.main_text(html_text.parse('<p>one <a title="x>two</a> three')) == "one two three"
 
 
+def test_html_names_of_content_stay():
+    page = """<article><h2 id="search-algorithms">Search</h2><section id="related-work"><h2 id="related">Related</h2><p class="legal-text">Law</p><p id="notice">Note</p></section>
+<h2 id="form-validation" class="section-header">Forms</h2><p class="ad-hoc">Ad</p><pre><code>x = 1 <span class="hljs-comment"># a</span> <span class="comment"># b</span></code></pre>
+<div class="share-box">Share</div><div class="related-posts">Other</div><p class="copyright">C</p><div class="ad-300x250">Buy</div><div class="cookie_notice">Ok</div><div id="site-footer">F</div></article>"""
+    assert html_text.main_text(html_text.parse(page)) == "Search\nRelated\nLaw\nNote\nForms\nAd\nx = 1 # a # b"
+
+
 def test_html_template_is_deleted(spark):
     """A box without telling names that stands on many pages of a host goes; the same text once elsewhere stays."""
     page = "<body><div><span>Join our club today</span></div><div><p>Story number {} of the day</p></div></body>"

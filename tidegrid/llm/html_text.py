@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -40,6 +41,9 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 NAMES = re.compile(
     r"^(ad|ads|advert\w*|adslot|banner\w*|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|widget\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup|modal|overlay|newsletter\w*|subscribe|subscription|signup|login|search\w*|form|comment\w*|disqus\w*|replies|respond|share|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toc|skip|copyright|legal|disclaimer)$"
 )
+#: Parts that a compound name of furniture may have beside those of NAMES; any other part tells of content (related-work).
+BESIDE = re.compile(r"^(area|bar|block|bottom|box|btn|button|buttons|col|column|container|content|desktop|fixed|form|global|group|icon|icons|inner|item|items|left|link|links|list|main|mobile|module|outer|overlay|page|panel|popup|posts|primary|right|secondary|section|site|slot|sticky|strip|top|unit|wrap|wrapper|\d+(x\d+)?)$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong span a body html ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd td".split())
 
@@ -61,18 +65,34 @@ class Element:
         self.prose = False
 
 
-def _furniture(tag: str, attributes: str) -> tuple[str, bool]:
-    """(class, id and role; whether they or the tag mean furniture)."""
+@lru_cache(maxsize=100_000)
+def _named(names: str, whole: bool = False) -> bool:
+    """Whether any of the names is one of furniture: as a whole, or with parts that are all of NAMES or BESIDE."""
+    for word in names.split():
+        parts = [p for p in re.split(r"[-_]+", word) if p]
+        if NAMES.match(word) or not whole and any(map(NAMES.match, parts)) and all(NAMES.match(p) or BESIDE.match(p) for p in parts):
+            return True
+    return False
+
+
+def _furniture(tag: str, attributes: str, stack: list[Element]) -> tuple[str, bool]:
+    """(class, id and role; whether they or the tag mean furniture). stack: the elements that it stands in."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return "", tag in FURNITURE
     found = {}
     for name, a, b, c in _attributes.findall(attributes):
         found.setdefault(name.lower(), html.unescape(a or b or c))
-    own = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    named = any(NAMES.match(word) or any(NAMES.match(part) for part in re.split(r"[-_]+", word)) for word in own.split())
+    own_class, own_id = found.get("class", "").lower(), found.get("id", "").lower()
+    own = f"{own_class} {own_id}"
+    named = _named(own) and tag not in ("article", "main", "body", "html")
+    if named and tag not in BLOCK and (tag == "code" or any(e.tag in ("pre", "code") for e in stack)):
+        named = False  # a token of a listing
+    if named and tag in PROSE and any(e.tag in ("article", "main") for e in stack):
+        # Ids come from the words of a heading; a class counts only as a whole, and not a heading's.
+        named = tag not in HEADINGS and _named(own_class, True)
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     role = found.get("role", "").lower()
-    off = tag in FURNITURE or hidden or role in ROLES or named and tag not in ("article", "main", "body", "html")
+    off = tag in FURNITURE or hidden or role in ROLES or named
     return f"{own.strip()} {role}".strip(), off
 
 
@@ -107,7 +127,7 @@ def parse(page: str) -> Element:
                         break
                     if stack[i].tag in INSIDE.get(tag, ()):
                         break
-            looks, off = _furniture(tag, m.group(3))
+            looks, off = _furniture(tag, m.group(3), stack)
             e = Element(tag, looks, off)
             stack[-1].parts.append(e)
             if tag in RAW:
