@@ -261,6 +261,21 @@ def test_records(spark, odd, tmp_path):
     assert records.token_records(frame.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN).collect() == []
 
 
+def test_records_give_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> start", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n b", "plain words", "<|endoftext |>", "x " * 6_000 + "<|endoftext|>\n\ny " * 3]
+    frame = docs(spark, [(k, x, "a") for k, x in enumerate(texts)])
+    got = sorted(records.token_records(frame, P.path("byte_bpe_50k.json"), P.PATTERN, folder=str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    start = 0
+    for r, x in zip(got, texts, strict=True):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += r.n_tokens
+    assert t.token_to_id("<|endoftext|>") in t.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_records_find_damage_and_shuffle(tmp_path):
     shard = records.Shard(str(tmp_path), "x", 2)
     for k in range(5):

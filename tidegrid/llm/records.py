@@ -117,9 +117,26 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b for b in PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PLAIN)))}
 
 
+class LibraryEncoder(TextEncoder):
+    """A TextEncoder but for texts that hold any of the added tokens: those go to whole()."""
+
+    def __init__(self, pattern: str, piece_ids, added: list[str], whole):
+        super().__init__(pattern, piece_ids)
+        self.added, self.whole = added, whole
+
+    def encode(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return np.array(self.whole(text), "<u4").tobytes()
+        return super().encode(text)
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> tuple[TextEncoder, int]:
-    """Encodes by the tokenizers library's model, each word of the text once: the library too cuts at the pattern and maps bytes to letters, so a text's ids are those of its pieces in turn."""
+def library_encoder(path: str, pattern: str) -> tuple[LibraryEncoder, int]:
+    """Encodes by the tokenizers library's model, each word of the text once: the library too cuts at the pattern and maps bytes to letters, so a text's ids are those of its pieces in turn.
+
+    Texts that hold an added token (as <|endoftext|>) go through the library whole, which gives it its own id.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -129,7 +146,8 @@ def library_encoder(path: str, pattern: str) -> tuple[TextEncoder, int]:
     def ids(piece: str) -> bytes:
         return np.array([x.id for x in tokens(piece.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes()
 
-    return TextEncoder(pattern, ids), t.get_vocab_size()
+    added = [a.content for a in t.get_added_tokens_decoder().values()]
+    return LibraryEncoder(pattern, ids, added, lambda text: t.encode(text, add_special_tokens=False).ids), t.get_vocab_size()
 
 
 def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int, n_shards: int) -> DataFrame:
