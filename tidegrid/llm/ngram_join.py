@@ -13,11 +13,11 @@ cheapest allocation that is still certain is used:
 * otherwise also a finer partition (four times the segments), and so on; with each shingle alone, q is over H.
 
 Signatures are packed into binary bins by hash, so a bin's size follows from the number of bins. In a bin, documents
-with the same signature make up a run. Short runs give pairs; a pair goes on only if it has as many common signatures
-as the bound asks for. Runs over LONG_RUN go on without the spared ones. Those that are left come from large
-groups of near copies: a representative of each run is compared with the others, similar documents join up, and then
-all pairs across components that are still apart are compared, so nothing is lost and no group is expanded into all
-its pairs. Every candidate is verified on the exact sets.
+with the same signature make up a run; the members of runs, not their pairs, go on. Each document then leaves out what
+it can spare, the most frequent first, which is most of what a common passage brings about. In what is left, one
+document of each run is compared with the others and similar documents join up. Runs that still hold several
+components are gone through once more: short ones pair by pair across components, long ones (of large groups) block by
+block, so nothing is lost and no group is expanded into all its pairs. Every link is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -27,19 +27,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, text_of, written
-from .shingles import mixed, shingle_sets
+from .shingles import WORDS, mixed, shingle_sets
 
 PERCENT = 75
-LONG_RUN = 64
+SHORT_RUN = 32  # members of a run whose pairs are written out
+KEPT_SHINGLES = 200_000  # of the sets that a task has at hand
 BIN = 400_000  # signatures in a bin, on average
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes; longer lists are joined by a shuffle
 BAND = 1.5
 AT_ONCE = 500  # documents whose signatures are packed together
-BLOCK_DOCS, BLOCK_SHINGLES = 1_024, 500_000  # at most in a block of a family, about
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 100_000  # at most in a block of a family, about
 
 
 @lru_cache(maxsize=1)
@@ -69,9 +70,10 @@ def groups(size: int) -> list[int]:
     return out
 
 
-def most_differing(group: int) -> int:
+def most_differing(size: int, group: int) -> int:
+    """The most elements in which a set of this size differs from a similar one that the group holds with it: from no larger one than the group's own, if it is a larger band's."""
     top = int(tops()[group])
-    return differing(top, largest_partner(top))
+    return differing(size, largest_partner(size) if size <= top else top)
 
 
 def segments(group: int, level: int) -> int:
@@ -81,7 +83,7 @@ def segments(group: int, level: int) -> int:
 
 def allocation(own: np.ndarray, group: int, places: np.ndarray | None = None) -> tuple[int, list[tuple[np.ndarray, np.ndarray, bool, int]]]:
     """(q, [(segment of each element, sizes, with deletions, level)]): what a sorted set gives to a group."""
-    most, parts, first = most_differing(group), [], 0
+    most, parts, first = most_differing(len(own), group), [], 0
     for level in range(40):
         hashed = places if places is not None and level == 0 else mixed(own, 7 + level)
         seg = (hashed % np.uint64(segments(group, level))).astype(np.int64)
@@ -121,7 +123,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 part = b[k : k + AT_ONCE]
                 flat, at = shingle_sets(part.text)
                 with np.errstate(over="ignore"):
-                    sums = [np.concatenate(([0], np.cumsum(mixed(flat, s)))).astype(np.uint64) for s in (1, 2)]
+                    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(flat, s)))) for s in (1, 2)]
                     keys = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)
                 n = np.diff(at)
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "n_shingles": n, "key": [x.tobytes() if m else None for x, m in zip(keys, n, strict=True)]})
@@ -130,9 +132,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, n_bins: int) -> DataFrame:
-    """(bin, sig, doc, info): arrays as bytes; sig is what the bin leaves of the signature, doc is in steps, info group * 2 + left out.
+    """(bin, sig, doc, info, size): arrays as bytes; sig is what the bin leaves of the signature, doc is in steps, info group * 2 + left out.
 
-    Rows of negative bins carry each document's q (as sig) in each of its groups (as info).
+    Rows of negative bins carry, for each document and group (as info), how many segments it can spare (as sig) and its size.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +147,7 @@ def packed(docs: DataFrame, n_bins: int) -> DataFrame:
                 for doc, a, z in zip(part.doc_id.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     for g in groups(z - a) if z > a else ():
                         q, found = signatures(flat[a:z], g, values[a:z], places[a:z])
-                        held.append((doc, q, g))
+                        held.append((doc, max(0, q - most_differing(z - a, g) - 1), g, z - a))
                         for s, left_out in found:
                             sigs.append(s)
                             ids.append((doc, len(s)))
@@ -160,45 +162,31 @@ def packed(docs: DataFrame, n_bins: int) -> DataFrame:
                 order = np.lexsort((doc, kind, home))
                 sig, doc, kind, home = sig[order].astype(np.uint32), doc[order], kind[order], home[order]
                 starts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
-                rows = [(int(home[i]), sig[i:j].tobytes(), np.diff(doc[i:j], prepend=0).tobytes(), kind[i:j].tobytes()) for i, j in zip(starts, np.append(starts[1:], len(home)), strict=True)]
-                h_doc, h_q, h_group = (np.array(x, np.int64) for x in zip(*held, strict=True))
-                rows.append((-1 - int(h_doc[0] % n_bins), h_q.astype(np.uint32).tobytes(), np.diff(h_doc, prepend=0).tobytes(), h_group.astype(np.uint8).tobytes()))
-                yield pd.DataFrame(rows, columns=["bin", "sig", "doc", "info"])
+                rows = [(int(home[i]), sig[i:j].tobytes(), np.diff(doc[i:j], prepend=0).tobytes(), kind[i:j].tobytes(), None) for i, j in zip(starts, np.append(starts[1:], len(home)), strict=True)]
+                h_doc, spare, h_group, size = (np.array(x, np.int64) for x in zip(*held, strict=True))
+                rows.append((-1 - int(h_doc[0] % n_bins), spare.astype(np.uint32).tobytes(), np.diff(h_doc, prepend=0).tobytes(), h_group.astype(np.uint8).tobytes(), size.tobytes()))
+                yield pd.DataFrame(rows, columns=["bin", "sig", "doc", "info", "size"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "bin long, sig binary, doc binary, info binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "bin long, sig binary, doc binary, info binary, size binary")
 
 
 def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bin: pairs (kind 0; x < y documents, info the group) and members of long runs (kind 1; x signature, y document, info as packed).
+    """One bin: the members of runs of two or more (doc, grp, whole, sig, run: its length).
 
-    Of a negative bin what it carries (kind 2; x document, y q, info the group).
+    Of a negative bin what it carries: (doc, grp, null, what the document can spare, its size).
     """
     sig = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.sig])
     doc = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in pdf.doc])
     info = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["info"]])
     if pdf.bin.iloc[0] < 0:
-        return pd.DataFrame({"kind": 2, "x": doc, "y": sig.astype(np.int64), "info": info.astype(np.int64)})
+        size = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["size"]])
+        return pd.DataFrame({"doc": doc, "grp": info.astype(np.int32), "whole": pd.array([None] * len(doc), "boolean"), "sig": sig.astype(np.int64), "run": size})
     order = np.argsort(sig, kind="stable")
     sig, doc, info = sig[order], doc[order], info[order]
     starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     length = np.diff(np.append(starts, len(sig)))
-    xs, ys, kinds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n in range(2, LONG_RUN + 1):
-        at = starts[length == n]
-        for i in range(n if len(at) else 0):
-            for j in range(i + 1, n):
-                a, b, same = doc[at + i], doc[at + j], info[at + i] >> 1 == info[at + j] >> 1
-                keep = same & (a != b)
-                xs.append(np.minimum(a, b)[keep])
-                ys.append(np.maximum(a, b)[keep])
-                kinds.append((info[at + i] >> 1)[keep].astype(np.int64))
-    n_pairs = sum(map(len, xs))
-    member = np.repeat(length > LONG_RUN, length)
-    xs.append((np.int64(pdf.bin.iloc[0]) << 32) | sig[member].astype(np.int64))
-    ys.append(doc[member])
-    kinds.append(info[member].astype(np.int64))
-    x = np.concatenate(xs)
-    return pd.DataFrame({"kind": (np.arange(len(x)) >= n_pairs).astype(int), "x": x, "y": np.concatenate(ys), "info": np.concatenate(kinds)})
+    member = np.repeat(length > 1, length)
+    return pd.DataFrame({"doc": doc[member], "grp": (info[member] >> 1).astype(np.int32), "whole": pd.array(info[member] % 2 == 0, "boolean"), "sig": (np.int64(pdf.bin.iloc[0]) << 32) | sig[member].astype(np.int64), "run": np.repeat(length, length)[member]})
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -220,18 +208,71 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["own_id"], how)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - F.col("common")
-    return pairs.join(a, "a").join(b, "b").withColumn("common", common).where(F.col("common") * 100 >= union * PERCENT).select("a", "b")
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased for A-Z and cut at [ \\t-\\r] only, which is what bytes.lower() and bytes.split() do."""
+    return text.encode().lower().split()
 
 
-def _group_constants(spark, top: int) -> DataFrame:
-    """H of each group; a row for each band up to the largest set's, a few dozen at most."""
-    return spark.createDataFrame([(g, most_differing(g)) for g in range(int(np.searchsorted(tops(), max(top, 1))) + 1)], "grp int, most int")
+def exact_set(text: str) -> frozenset[tuple[bytes, ...]]:
+    """The shingles themselves; with fewer words than a shingle the whole sequence is one."""
+    w = words_of(text)
+    return frozenset(zip(*(w[k:] for k in range(WORDS)), strict=False)) if len(w) >= WORDS else frozenset([tuple(w)] if w else [])
+
+
+def similar(x: frozenset, y: frozenset) -> bool:
+    common = len(x & y)
+    return common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles, word by word, are similar. texts: (doc_id, text), one row a document."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept, room = (None, frozenset()), {}, 0  # sets of b come one after the other, those of a from time to time
+        for batch in batches:
+            good = []
+            for a, b, x, y in zip(batch.a, batch.b, batch.text_a, batch.text_b, strict=True):
+                if last[0] != b:
+                    last = (b, exact_set(y))
+                if (own := kept.get(a)) is None:
+                    if room > KEPT_SHINGLES:
+                        kept.clear()
+                        room = 0
+                    own = kept[a] = exact_set(x)
+                    room += len(own)
+                good.append(similar(own, last[1]))
+            yield batch.loc[good, ["a", "b"]]
+
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+
+
+def kept_members(docs: DataFrame, n_bins: int) -> DataFrame:
+    """(sig, doc, n, pos): the signatures by which a document looks for partners, where any other document has them too.
+
+    Of each document and group the most frequent segments that it can spare are left out, by one order for all. The
+    frequency of a segment is the length of its run, so a document most of whose segments are its own alone has none
+    left, and one that shares only a common passage neither. pos: how many of the document's segments are as rare or
+    rarer, itself included; 0 where nothing could be spared.
+    """
+    found = packed(docs, n_bins).groupBy("bin").applyInPandas(runs, "doc long, grp int, whole boolean, sig long, run long")
+    held = F.col("whole").isNull()
+    own = Window.partitionBy("doc", "grp")
+    place = F.row_number().over(own.orderBy(F.desc("whole"), F.desc("run"), "sig"))
+    found = found.withColumns({"place": place, "spare": F.max(F.when(held, F.col("sig"))).over(own), "n": F.max(F.when(held, F.col("run"))).over(own)})
+    tops_of = docs.sparkSession.createDataFrame([(g, int(t)) for g, t in enumerate(tops())], "grp int, top long")  # a row a band
+    found = found.where("whole is not null and (not whole or place > spare)").join(F.broadcast(tops_of), "grp")
+    most = F.floor((F.col("n") + F.when(F.col("n") <= F.col("top"), F.floor(F.col("n") * 100 / PERCENT)).otherwise(F.col("top"))) * (100 - PERCENT) / (100 + PERCENT))
+    pos = F.when(F.col("whole") & (F.col("spare") > 0), most + 2 + F.col("spare") - F.col("place")).otherwise(F.lit(0))
+    return found.select("sig", "doc", "n", pos.cast("int").alias("pos"))
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """Whether a run may show a similar pair: by their sizes, and as the rarest segments that both have stand early in both."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.floor((n_a + n_b) * (100 - PERCENT) / (100 + PERCENT))
+    return (F.greatest(n_a, n_b) * PERCENT <= F.least(n_a, n_b) * 100) & (F.greatest(f"{a}.pos", f"{b}.pos") <= differ + 1)
 
 
 def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
@@ -239,60 +280,53 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
 
     described: of describe(), written. Of equal sets only the smallest doc_id takes part.
     """
-    spark = docs.sparkSession
     classes = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    first = described.where("key is not null").join(classes, "key")
-    others = written(first.where("doc_id <> rep").select(F.col("doc_id").alias("own_id")).distinct(), "copies")
-    total, top = described.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
-    n_bins = max(1, (total or 0) // BIN)
+    others = written(described.where("key is not null").join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("own_id")).distinct(), "copies")
+    n_bins = max(1, (described.agg(F.sum("n_shingles")).first()[0] or 0) // BIN)
     chosen = with_ids(docs.where("doc_id is not null"), others, "left_anti")
-    found = written(packed(chosen, n_bins).groupBy("bin").applyInPandas(runs, "kind int, x long, y long, info long"), "runs")
-
-    members = found.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("doc"), F.shiftright("info", 1).cast("int").alias("grp"), (F.col("info") % 2 == 0).alias("whole"))
-    sizes = members.groupBy("sig").agg(F.count("*").alias("run"))
-    n = first.where("doc_id = rep").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n_shingles").alias("n"))
-    known = found.where("kind = 2").select(F.col("x").alias("doc"), F.col("info").cast("int").alias("grp"), F.col("y").cast("int").alias("q")).groupBy("doc", "grp").agg(F.max("q").alias("q")).join(n, "doc")
-    known = known.join(F.broadcast(_group_constants(spark, top or 0)), "grp").withColumn("spare", F.greatest(F.col("q") - F.col("most") - 1, F.lit(0)))
-    frequent = members.where("whole").groupBy("doc", "grp").agg(F.count("*").alias("frequent"))
-    known = written(known.join(frequent, ["doc", "grp"], "left").na.fill(0, ["frequent"]), "known")
-
-    # Short runs: pairs with as many common signatures as similar sets have at least.
-    counted = found.where("kind = 0").groupBy("x", "y", "info").agg(F.count("*").alias("common"))
-    k = {s: known.select(F.col("doc").alias(c), F.col("grp").alias("info"), F.col("n").alias(f"n_{s}"), F.col("q").alias(f"q_{s}"), F.col("frequent").alias(f"f_{s}")) for s, c in (("a", "x"), ("b", "y"))}
-    bound = F.greatest("q_a", "q_b") - F.floor((F.col("n_a") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
-    fits = (F.greatest("n_a", "n_b") * PERCENT <= F.least("n_a", "n_b") * 100) & (F.col("common") + F.least("f_a", "f_b") >= bound)
-    short = counted.join(k["a"], ["x", "info"]).join(k["b"], ["y", "info"]).where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-    # Long runs: without what each document can spare, the most frequent first.
-    ranked = members.join(sizes, "sig").join(known.select("doc", "grp", "n", "spare"), ["doc", "grp"])
-    order = Window.partitionBy("doc", "grp", "whole").orderBy(F.desc("run"), "sig")
-    left = ranked.withColumn("place", F.row_number().over(order)).where("not whole or place > spare").select("sig", "doc", "n")
-    left = written(left, "long_runs")
-    star = _representatives(left)
-    pairs = written(short.union(star).distinct(), "pairs")
-    ids = written(pairs.select(F.col("a").alias("own_id")).union(pairs.select(F.col("b").alias("own_id"))).union(left.select(F.col("doc").alias("own_id"))).distinct(), "candidates")
-    sets = written(with_ids(docs, ids, "left_semi").transform(sets_of).join(first.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
-    links = written(verified(pairs, sets), "links")
-    discard(found, known, others)
-    if left.isEmpty():
-        return links
+    members = written(kept_members(chosen, n_bins), "members")
+    star = written(_representatives(members), "pairs")
+    ids = written(star.select(F.col("a").alias("own_id")).union(star.select(F.col("b").alias("own_id"))).distinct(), "candidates")
+    texts = written(with_ids(chosen.select("doc_id", text_of().alias("text")), ids, "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = written(verified(star, texts), "links")
+    discard(others, star, ids)
+    for short in (True, False):
+        apart = _apart(members, links, short)
+        if apart.isEmpty():
+            continue
+        new = verified(_all_pairs(apart) if short else written(_across(apart, texts), "across"), texts)
+        links = written(links.union(new), "links")
+        discard(apart)
+    discard(members, texts)
+    return links
+
+
+def _apart(members: DataFrame, links: DataFrame, short: bool) -> DataFrame:
+    """(sig, doc, n, pos, part): the short or the long runs that hold documents of several components (part)."""
     parts = connected_components(links).withColumnRenamed("id", "doc")
-    placed = left.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-    several = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("sig")
-    apart = written(placed.join(several, "sig"), "apart")
-    return links if apart.isEmpty() else written(links.union(_across(apart, sets)), "links")
+    placed = members.join(parts, "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+    run = F.count("*") <= SHORT_RUN
+    several = placed.groupBy("sig").agg(F.min("part").alias("least"), F.max("part").alias("most"), run.alias("short")).where((F.col("least") != F.col("most")) & (F.col("short") == F.lit(short)))
+    return written(placed.join(several.select("sig"), "sig"), "apart")
 
 
 def _representatives(members: DataFrame) -> DataFrame:
     """(a, b): of each run one document, by an order that is the same for all runs, with each other one."""
-    order = F.struct(F.xxhash64("doc").alias("h"), "doc", "n")
-    both = members.join(members.groupBy("sig").agg(F.min(order).alias("rep")), "sig").where(F.col("doc") != F.col("rep.doc"))
-    both = both.where(F.greatest("n", "rep.n") * PERCENT <= F.least("n", "rep.n") * 100)
-    return both.select(F.least("doc", "rep.doc").alias("a"), F.greatest("doc", "rep.doc").alias("b")).distinct()
+    order = F.struct(F.xxhash64("doc").alias("h"), "doc", "n", "pos")
+    first = members.groupBy("sig").agg(F.min(order).alias("rep"), F.count("*").alias("run")).where("run > 1")
+    both = members.select("sig", F.struct("doc", "n", "pos").alias("own")).join(first, "sig").where((F.col("own.doc") != F.col("rep.doc")) & may_be_similar("own", "rep"))
+    return both.select(F.least("own.doc", "rep.doc").alias("a"), F.greatest("own.doc", "rep.doc").alias("b")).distinct()
+
+
+def _all_pairs(apart: DataFrame) -> DataFrame:
+    """(a, b): of short runs all pairs across components."""
+    x, y = (apart.select("sig", F.struct("doc", "n", "pos", "part").alias(c)) for c in ("x", "y"))
+    both = x.join(y, "sig").where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & may_be_similar("x", "y"))
+    return both.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components (part) that meet in runs (sig, doc, n, part).
+def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components (part) that meet in long runs (sig, doc, n, part).
 
     Documents that runs hold together are a family, dealt over blocks of bounded size; blocks that share a run are
     compared. Of two components one isn't the family's largest, so only members of the others look for partners.
@@ -304,7 +338,7 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.max(F.struct("c", "part"))["part"].alias("largest"), F.ceil(F.greatest(F.sum("c") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     )
     docs = written(docs.join(size, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("blocks"), "blocks")
-    packed_blocks = written(docs.join(sets.withColumnRenamed("doc_id", "doc"), "doc").groupBy("family", "block").applyInPandas(_pack, "family long, block long, doc binary, part binary, n binary, small binary, sets binary"), "packed_blocks")
+    packed_blocks = written(docs.join(sets_of(texts).withColumnRenamed("doc_id", "doc"), "doc").groupBy("family", "block").applyInPandas(_pack, "family long, block long, doc binary, part binary, n binary, small binary, sets binary"), "packed_blocks")
     where = written(members.select("sig", "doc").join(docs.select("doc", "family", "block"), "doc").select("sig", "family", "block").distinct(), "runs_of_blocks")
     pairs = where.join(where.select("sig", F.col("block").alias("other")), "sig").where("block <= other").select("family", "block", "other").distinct()
     other = packed_blocks.select("family", F.col("block").alias("other"), *[F.col(c).alias(f"{c}_b") for c in ("doc", "part", "n", "small", "sets")])
@@ -388,7 +422,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
     Equal sets are linked; a set without shingles (null, empty or blank text) with nothing. Rows that share a doc_id
     are one document. A row without doc_id takes no part in links and has no component_id. Empty docs give no rows;
-    further columns of docs are ignored. Shingles are compared by 64-bit hashes, sets of equal hash sets as equal.
+    further columns of docs are ignored. Sets count as equal, and shingles as the same in n_shingles, by hashes of 128
+    and 64 bits; links between different sets are verified word by word.
     """
     described = written(describe(docs), "described")
     classes = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
