@@ -109,10 +109,34 @@ def test_exact_dedup_against_history(spark, odd):
     assert not got[8].kept and got[8].keep_id == 100 and got[6].kept and got[4].keep_id == 6
 
 
+def test_exact_dedup_takes_history_and_new_rows(spark, monkeypatch):
+    """Both lots of one corpus hold rows of most groups, some groups lie in one lot, winners lie in either."""
+    rng = random.Random(31)
+    texts = [some_words(rng, rng.randrange(1, 20)) for _ in range(300)]
+    rows = [(k, "".join(rng.choice([" ", "  ", "\n"]) if c == " " else c for c in rng.choice(texts)), "s") for k in range(900)]
+    monkeypatch.setattr(exact_dedup, "SHARD", 40)
+    monkeypatch.setattr(exact_dedup, "PROBES", 100)
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    want = brute_exact(rows)
+    assert len(got) == len(rows) and {r.keep_id: r.group_size for r in got} == want and {r.doc_id for r in got if r.kept} == set(want)
+    key = {k: re.sub(r"[\x20\x09-\x0D]", "", t) for k, t, _ in rows}
+    assert all(key[r.doc_id] == key[r.keep_id] and r.text_sha256 == hashlib.sha256(key[r.doc_id].encode()).hexdigest() for r in got)
+
+
+def test_exact_dedup_rejects_a_history_with_repeats(spark):
+    history = exact_dedup.summary(exact_dedup.digests(docs(spark, [(1, "a b", "s"), (2, "c", "s")])))
+    with pytest.raises(Exception, match="repeats a digest"):
+        exact_dedup.exact_dedup(docs(spark, [(3, "ab", "s")]), history.union(history)).collect()
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64)
-    h = exact_dedup.PerfectHash(keys)
+    h = exact_dedup.PerfectHash.build(keys)
     assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
+    again = exact_dedup.PerfectHash.load(h.dump())
+    assert (again.slots(keys) == h.slots(keys)).all()
+    twice = exact_dedup.PerfectHash.build(np.append(keys, keys[:3]))
+    assert len(twice.rest) == 6
 
 
 def test_connected_components_both_ways(spark):
@@ -243,12 +267,20 @@ def test_mixing_meets_targets(spark):
     assert (got.set_index("doc_id").copies.loc[taken.index] == taken).all()
 
 
+def test_mixing_repeats_each_row_by_its_own_plan(spark):
+    same = [(7, "ten words are in this very text of ours, yes", "a")] * 6
+    frame = docs(spark, [*same, (None, "x y", None), (None, "", "a"), (8, "q " * 40, "b"), (9, None, "b")])
+    planned = mixing.mix(frame).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()
+    taken = {(r.doc_id, r.source): r["count"] for r in mixing.repeated(frame).groupBy("doc_id", "source").count().collect()}
+    assert {(r.doc_id, r.source): r.n for r in planned if r.n} == taken
+    assert taken[7, "a"] > 6
+
+
 def test_records(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     rows, frame = odd
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = sorted(records.token_records(frame, P.path("byte_bpe_50k.json"), P.PATTERN, folder=str(tmp_path)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted(i for i, _, _ in rows if i is not None) + [None]
     start, want = 0, {}
@@ -499,6 +531,39 @@ def test_cover_tree_levels_prune(spark):
     assert want <= set(zip(a.order[i].tolist(), b.order[j].tolist(), strict=True))
 
 
+CLASHES = ("own_id", "_copies", "copies", "gone", "row", "Row", "w_id", "w_sha", "sha", "s", "edge", "range", "size", "h", "whole", "keep_id", "component_id", "p_toxic", "_p", "key", "sig", "doc", "uid", "a", "id")
+
+
+def clashing(frame):
+    return frame.withColumns({c: F.lit(k) for k, c in enumerate(CLASHES) if c != "Row"})
+
+
+def test_stages_take_odd_rows_clashing_names_and_empty_tables(spark, odd):
+    rows, frame = odd
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (8, 1, 0), (11, 1, 0)], "doc_id long, quality int, toxic int")
+    wide = clashing(frame)
+    stages = {"toxicity": lambda d: toxicity.keep_clean(d, labels), "exact": exact_dedup.keep_one, "ngram": ngram_join.keep_one, "mixing": mixing.repeated}
+    for name, stage in stages.items():
+        out = stage(wide)
+        assert out.columns == wide.columns, name
+        plain = sorted(str((r.doc_id, r.text, r.source)) for r in stage(frame).collect())
+        got = out.collect()
+        assert sorted(str((r.doc_id, r.text, r.source)) for r in got) == plain and all(r.gone == CLASHES.index("gone") for r in got), name
+        assert stage(wide.limit(0)).collect() == [] and stage(wide.limit(0)).columns == wide.columns, name
+    _, component, _ = jaccard_components(rows)
+    kept = [r.doc_id for r in ngram_join.keep_one(frame).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(i for i, _, _ in rows if i is not None and component[i] == i) and kept.count(None) == 1
+
+
+def test_queries_take_clashing_names(spark, odd):
+    """Further columns change nothing, whatever their names."""
+    _, frame = odd
+    few = frame.where("doc_id is null or doc_id <> 10")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    for run in (lambda d: bpe.round_trip(d, RANKS, P.PATTERN), lambda d: records.token_records(d, P.path("byte_bpe_50k.json"), P.PATTERN), mixing.mix, lambda d: toxicity.toxicity(d, labels.withColumn("keys", F.lit(1))), licenses.license_scan, ngram_join.ngram_jaccard_join):
+        assert sorted(map(str, run(clashing(few)).collect())) == sorted(map(str, run(few).collect()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT = 600_000
+#: Words of at most LONGEST characters whose ids a worker keeps in each of its tables, and pairs of neighbours; beyond
+#: that it starts anew. A word takes about 200 bytes, a pair 150.
+KEPT, LONGEST, PAIRS = 200_000, 64, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +93,7 @@ class BytePairEncoder:
             self.lefts[b] = self.edge(b, False)
         x, y, get = self.rights[a], self.lefts[b], self.ranks.get
         fits = x is not None and y is not None and not any((r := get(p + q)) is not None and r < up and r <= vp for p, up in x for q, vp in y)
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = fits
         return fits
@@ -140,14 +141,14 @@ class BytePairEncoder:
 class _Words(dict):
     """A word -> its ids as little-endian unsigned 32-bit integers; new ones are made on demand, all with the same lead before them."""
 
-    def __init__(self, make, lead: str):
-        self.make, self.lead = make, lead
+    def __init__(self, make, lead: str, most: int):
+        self.make, self.lead, self.most = make, lead, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
         ids = self.make(self.lead + word)
-        if len(word) <= 64:
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -155,27 +156,27 @@ class _Words(dict):
 class TextEncoder:
     """Encodes whole texts: each match of the pattern separately. piece_ids: a piece -> its ids as packed bytes."""
 
-    def __init__(self, pattern: str, piece_ids):
+    def __init__(self, pattern: str, piece_ids, kept: int = KEPT):
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        self.piece_ids = piece_ids
-        self.first, self.spaced = _Words(self.split, ""), _Words(self.split, " ")
+        self.piece_ids, self.kept = piece_ids, kept
+        self.first, self.spaced = _Words(self.split, "", kept), _Words(self.split, " ", kept)
         self.line = piece_ids("\n")
 
     def split(self, text: str) -> bytes:
         word = text.lstrip(" ") if text[:1] == " " and text[1:2] != " " else text
-        if word.isalpha() and len(text) <= 64 and (word.isascii() or max(word) < "\u0250"):  # letters after at most one space are one piece
+        if word.isalpha() and len(text) <= LONGEST and (word.isascii() or max(word) < "\u0250"):  # letters after at most one space are one piece
             return self.piece_ids(text)
         found = self.find(text)
-        if len(found) == 1 and len(text) <= 64:  # a word, which the caller keeps
+        if len(found) == 1 and len(text) <= LONGEST:  # a word, which the caller keeps
             return self.piece_ids(text)
         get, out = self.pieces.get, []
         for p in found:
             ids = get(p)
             if ids is None:
                 ids = self.piece_ids(p)
-                if len(p) <= 64:
-                    if len(self.pieces) >= KEPT:
+                if len(p) <= LONGEST:
+                    if len(self.pieces) >= self.kept:
                         self.pieces.clear()
                     self.pieces[p] = ids
             out.append(ids)

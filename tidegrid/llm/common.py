@@ -53,6 +53,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids of 8 bytes that are broadcast at most; longer lists are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has (in any case), made from the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "own_id", id_column: str = "doc_id") -> DataFrame:
+    """docs semi- or anti-joined with written ids (one column, of a name that docs lacks; null is equal to null): broadcast if it is a short list."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_column].eqNullSafe(F.col(column)), how)
+
+
 def text_of(column: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

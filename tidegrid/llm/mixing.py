@@ -11,10 +11,10 @@ hash ranges for each source; only the documents of the one range in which the cu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, fresh, text_of, written
 
 SHIFT = 44  # of 60 hash bits
 
@@ -34,39 +34,67 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_epo
     return s.withColumn("rest", first_free).select("source", "source_size", F.when(F.col("free"), F.col("rest") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, copies, source.
+def _hash(seed: int) -> Column:
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
 
-    size is the number of words of the whole text (null: 0). Sources in code point order, null last, have the weights
-    in turn and share `share` times all words; none gets more than max_epochs times its own. The same seed gives the
-    same mix. Rows that repeat a doc_id are rows like others, next to each other in the order. A document without
-    words takes none; a source without words has target 0; empty docs give no rows.
+
+def _size() -> Column:
+    return F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
+    """(s, source_size, target, whole, cut, edge, before) of rows (source, size, h): a row a source, written.
+
+    All documents are taken `whole` times; those in hash ranges before `edge` once more, and of the range `edge`, before
+    which `before` words lie, the first ones up to `cut`.
     """
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
-    rows = written(docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), h.alias("h")), "sizes")
-    ranges = rows.groupBy("source", F.shiftright("h", SHIFT).alias("range")).agg(F.sum("size").alias("words"))
-    ranges = written(ranges, "ranges")
+    ranges = written(rows.groupBy("source", F.shiftright("h", SHIFT).alias("range")).agg(F.sum("size").alias("words")), "ranges")
     targets = _targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("cut", (ratio - F.floor(ratio)) * F.col("source_size"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
     cumulated = ranges.withColumn("upto", upto).withColumnRenamed("source", "s")
     edge = cumulated.join(targets, F.col("s").eqNullSafe(F.col("source"))).where("upto > cut").groupBy("source").agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-    plan = targets.withColumnRenamed("source", "s").join(edge, F.col("s").eqNullSafe(F.col("source")), "left").select("s", "source_size", "target", "whole", "cut", "edge.*")
-    plan = written(plan, "mix_plan").withColumnRenamed("range", "edge")
+    plan = targets.withColumnRenamed("source", "s").join(edge, F.col("s").eqNullSafe(F.col("source")), "left")
+    return written(plan.select("s", "source_size", "target", "whole", "cut", F.col("edge.range").alias("edge"), F.col("edge.before").alias("before")), "mix_plan")
+
+
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, h, ...) with the plan's columns and copies. Only rows of the edge ranges are sorted."""
     own = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.shiftright("h", SHIFT))
     sure = own.where("edge is null or range <> edge").withColumn("extra", F.col("range") < F.coalesce("edge", F.lit(1 << 62)))
     ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     close = own.where("range = edge").withColumn("extra", F.col("before") + ahead + F.col("size") / 2 <= F.col("cut"))
-    copies = F.col("whole") + F.col("extra").cast("long")
-    return sure.unionByName(close).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    return sure.unionByName(close).withColumn("copies", F.col("whole") + F.col("extra").cast("long"))
 
 
-def repeated(docs: DataFrame, **parameters) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say (rows that share a doc_id: the least of theirs)."""
-    copies = mix(docs, **parameters).groupBy(F.col("doc_id").alias("own_id")).agg(F.min("copies").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("own_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies, source.
+
+    size is the number of words of the whole text (null: 0). Sources in code point order, null last, have the weights
+    in turn and share `share` times all words; none gets more than max_epochs times its own. The same seed gives the
+    same mix. Rows that repeat a doc_id are rows like others, next to each other in the order. A document without
+    words takes none; a source without words has target 0; empty docs give no rows; further columns are ignored.
+    """
+    rows = written(docs.select("doc_id", "source", _size().alias("size"), _hash(seed).alias("h")), "sizes")
+    mixed = _copies(rows, _plan(rows, weights, share, max_epochs))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
+    """docs as mix() takes them: each row as often as its copies say, all columns as they are.
+
+    Copies are reckoned on the rows themselves, so rows that share a doc_id (null included) each have their own.
+    Documents without words (null, empty or blank texts) go the way of their place in the order. Empty docs stay empty.
+    Further columns may have any names.
+    """
+    (row,) = fresh(docs.select("doc_id", "source"), "row")
+    sizes = docs.select("source", _size().alias("size"), _hash(seed).alias("h"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), "doc_id", "source", _size().alias("size"), _hash(seed).alias("h"))
+    taken = _copies(whole, _plan(sizes, weights, share, max_epochs)).where("copies > 0")
+    each = taken.select(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""

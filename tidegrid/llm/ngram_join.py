@@ -30,14 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, text_of, written
+from .common import connected_components, discard, fresh, text_of, with_ids, written
 from .shingles import WORDS, mixed, shingle_sets
 
 PERCENT = 75
 SHORT_RUN = 32  # members of a run whose pairs are written out
 KEPT_SHINGLES = 200_000  # of the sets that a task has at hand
 BIN = 400_000  # signatures in a bin, on average
-BROADCAST_IDS = 1_000_000  # ids of 8 bytes; longer lists are joined by a shuffle
 BAND = 1.5
 AT_ONCE = 500  # documents whose signatures are packed together
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 100_000  # at most in a block of a family, about
@@ -202,12 +201,6 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, set array<long>")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined with written ids (own_id): broadcast if it is a short list, shuffled otherwise."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["own_id"], how)
-
-
 def words_of(text: str) -> list[bytes]:
     """Lower-cased for A-Z and cut at [ \\t-\\r] only, which is what bytes.lower() and bytes.split() do."""
     return text.encode().lower().split()
@@ -283,7 +276,8 @@ def similar_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     classes = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     others = written(described.where("key is not null").join(classes, "key").where("doc_id <> rep").select(F.col("doc_id").alias("own_id")).distinct(), "copies")
     n_bins = max(1, (described.agg(F.sum("n_shingles")).first()[0] or 0) // BIN)
-    chosen = with_ids(docs.where("doc_id is not null"), others, "left_anti")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    chosen = with_ids(docs, others, "left_anti")
     members = written(kept_members(chosen, n_bins), "members")
     star = written(_representatives(members), "pairs")
     ids = written(star.select(F.col("a").alias("own_id")).union(star.select(F.col("b").alias("own_id"))).distinct(), "candidates")
@@ -435,7 +429,13 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; documents without words all stay."""
-    found = written(ngram_jaccard_join(docs), "components")
-    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("own_id")).distinct(), "near_copies")
-    return with_ids(docs, gone, "left_anti")
+    """docs with one document of each component, the one with the smallest doc_id, all columns as they are.
+
+    Documents without words (null, empty or blank texts) all stay, as do rows without doc_id. Rows that share a doc_id
+    are one document: they stay or go together, repeated rows included. Empty docs stay empty. Further columns may have
+    any names.
+    """
+    (own_id,) = fresh(docs, "own_id")
+    found = written(ngram_jaccard_join(docs.select("doc_id", "text")), "components")
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(own_id)).distinct(), "near_copies")
+    return with_ids(docs, gone, "left_anti", own_id)

@@ -12,7 +12,8 @@ checksums stays sound. Beside each shard lies its index: the offset of every rec
 number of ids in the shard and the width of an id. A reader can take records in any order from it.
 
 Files are written by the tasks that encode, through the file system that the folder's scheme names, under a name of
-the attempt's own and then renamed: a task that runs again leaves the same file.
+the attempt's own, so nothing is renamed or written over. The manifest has the names of the attempts that Spark took;
+what other attempts (lost executors, speculation) left is deleted once it is written.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .bpe import TextEncoder
 from .common import shared_dir, text_of, written
 
+#: Words whose ids a worker keeps: the library takes longer for a new one than a table of 120 MB is worth.
+KEPT = 600_000
 MASK, ROTATE = 0xA282EAD8, 15
 HEAD, LENGTH, CRC = struct.Struct("<qB"), struct.Struct("<Q"), struct.Struct("<I")
 
@@ -67,13 +70,13 @@ def file_system(folder: str):
 
 
 class Shard:
-    """Writes one shard and its index; both appear under their names only when whole."""
+    """Writes one shard and its index."""
 
     def __init__(self, folder: str, name: str, width: int):
         self.fs, top = file_system(folder)
         self.fs.create_dir(top, recursive=True)
-        self.path, self.width, self.own = f"{top}/{name}", width, uuid.uuid4().hex[:8]
-        self.out = self.fs.open_output_stream(f"{self.path}.{self.own}")
+        self.path, self.width = f"{top}/{name}", width
+        self.out = self.fs.open_output_stream(f"{self.path}.records")
         self.offsets, self.at, self.ids = [], 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -85,10 +88,8 @@ class Shard:
 
     def close(self) -> None:
         self.out.close()
-        with self.fs.open_output_stream(f"{self.path}.index.{self.own}") as f:
+        with self.fs.open_output_stream(f"{self.path}.index") as f:
             f.write(struct.pack("<QQ", self.ids, self.width) + np.array(self.offsets, "<u8").tobytes())
-        self.fs.move(f"{self.path}.index.{self.own}", f"{self.path}.index")
-        self.fs.move(f"{self.path}.{self.own}", f"{self.path}.records")
 
 
 def read_shard(folder: str, name: str, order: np.ndarray | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -121,7 +122,7 @@ class LibraryEncoder(TextEncoder):
     """A TextEncoder but for texts that hold any of the added tokens: those go to whole()."""
 
     def __init__(self, pattern: str, piece_ids, added: list[str], whole):
-        super().__init__(pattern, piece_ids)
+        super().__init__(pattern, piece_ids, KEPT)
         self.added, self.whole = added, whole
 
     def encode(self, text: str) -> bytes:
@@ -160,18 +161,32 @@ def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
 
         encoder, size = library_encoder(path, pattern)
         number = TaskContext.get().partitionId()
-        shard, n = None, 0
+        name, shard, n = f"{number:06d}-{uuid.uuid4().hex[:12]}", None, 0
         for b in batches:
             for doc_id, text in zip(b.doc_id.astype(object).where(b.doc_id.notna(), None), b.text, strict=True):
-                shard = shard or Shard(folder, f"{number:06d}", 2 if max(size, end_id + 1) <= 1 << 16 else 4)
+                shard = shard or Shard(folder, name, 2 if max(size, end_id + 1) <= 1 << 16 else 4)
                 ids = np.append(np.frombuffer(encoder.encode(text), "<u4"), np.uint32(end_id))
                 shard.add(None if doc_id is None else int(doc_id), ids)
                 n += 1
         if shard:
             shard.close()
-            yield pd.DataFrame({"shard": [number], "name": [f"{number:06d}"], "n_docs": [n], "n_ids": [shard.ids]})
-
-    return written(ranged.mapInPandas(run, "shard long, name string, n_docs long, n_ids long"), "manifest")
+            yield pd.DataFrame({"shard": [number], "name": [name], "n_docs": [n], "n_ids": [shard.ids]})
+
+    manifest = written(ranged.mapInPandas(run, "shard long, name string, n_docs long, n_ids long"), "manifest")
+    without_strays(manifest, folder)
+    return manifest
+
+
+def without_strays(manifest: DataFrame, folder: str) -> None:
+    """Deletes files of the folder that no row of the manifest (one a shard) names."""
+    spark = manifest.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        names = {r.name for r in manifest.select("name").collect()}
+        for f in fs.listStatus(path):
+            if f.getPath().getName().split(".")[0] not in names:
+                fs.delete(f.getPath(), False)
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:

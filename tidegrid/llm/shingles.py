@@ -8,7 +8,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-KEPT = 300_000
+#: Words of at most LONGEST bytes whose hashes a worker keeps: 20 MB, about.
+KEPT, LONGEST = 100_000, 64
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -23,9 +24,11 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = h
         return h
 
 

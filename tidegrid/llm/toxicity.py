@@ -4,7 +4,8 @@ Features of a text are its distinct words and their prefixes (those that go with
 likelihood ratio), and five figures of its make-up. The chain learns a later category from out-of-fold predictions of
 the earlier ones, so that in training they are as good as on new texts; in use the models of all folds' rows predict.
 
-It is fitted on a sample of at most max_labelled labelled rows, taken by a hash of the id; every document is scored.
+It is fitted on a sample of at most max_labelled labelled rows (and max_bytes of their features), taken by a hash of the
+id, with at most MOST_FEATURES word features a model, each of them beyond chance by RATIO; every document is scored.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 PREFIXES = (3, 4, 5)
-MAX_LABELLED = 5_000
+MAX_LABELLED, MAX_BYTES = 5_000, 64 << 20
 #: Twice the log likelihood ratio that a feature needs: chance exceeds it about once in 300,000.
 RATIO = 22.0
 MOST_FEATURES = 256
 FOLDS = 5
-KEPT = 500_000
+#: Words of at most LONGEST characters whose features a worker keeps: 20 MB, about.
+KEPT, LONGEST = 150_000, 64
 _words = re.compile(r"\w+").findall
 
 
@@ -139,16 +141,19 @@ def features_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, keys binary, dense array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_labelled: int = MAX_LABELLED) -> list[Linear] | None:
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> list[Linear] | None:
     """The chain for 0/1 columns of labels (doc_id, *categories). None without usable labels.
 
     Rows with a null are left out; of several rows for a document the largest value of each category counts. The
-    sample is at most max_labelled documents, which bounds what reaches the driver.
+    sample is at most max_labelled documents, and of those in the order of their hash as many as have word features
+    of max_bytes together, which bounds what reaches the driver.
     """
     usable = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select(F.col("doc_id").alias("own_id"))), F.col("doc_id") == F.col("own_id"), "left_semi")
-    rows = features_of(texts).dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id").toPandas()
+    found = features_of(texts).dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id")
+    upto = F.sum(F.length("keys")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_labelled rows at most
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= max_bytes).drop("upto").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values("doc_id", ignore_index=True)
@@ -163,9 +168,11 @@ class _Hits(dict):
         self.places = places
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT:
-            self.clear()
-        hit = self[word] = tuple(p for k in keys(word) for p in self.places.get(k, ()))
+        hit = tuple(p for k in keys(word) for p in self.places.get(k, ()))
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = hit
         return hit
 
 
@@ -223,14 +230,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     """Per row of docs: doc_id, p_low_quality, p_toxic, toxic (p_toxic >= threshold).
 
     labels: doc_id, quality, toxic. Null texts count as empty. Without usable labels nothing is toxic. Repeated rows
-    give repeated rows; empty docs give none; further columns of either table are ignored.
+    give repeated rows; empty docs give none; further columns of either table are ignored. The chain is fitted on a
+    bounded sample of the labels, as fit() says; a row without doc_id is scored like others.
     """
     chain = fit(docs, labelled(labels), CATEGORIES)
     return score(docs.select("doc_id", "text"), chain, CATEGORIES).drop("text").withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the toxic ones, all columns as they are."""
+    """docs without the toxic ones (p_toxic >= threshold), all columns as they are.
+
+    Null or empty texts are scored as texts without words; repeated rows stay or go together; rows without doc_id are
+    scored like others. Without usable labels all rows stay; empty docs stay empty. Further columns may have any names.
+    """
     chain = fit(docs, labelled(labels), CATEGORIES)
-    scored = score(docs.select(F.struct(*docs.columns).alias("row"), "text"), chain, CATEGORIES)
+    scored = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), chain, CATEGORIES)
     return scored.where(F.col("p_toxic") < threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])
