@@ -519,16 +519,34 @@ def test_cover_tree_finds_all_pairs(spark, monkeypatch):
     assert cover_tree.near_duplicates(frame.limit(0)).collect() == []
 
 
-def test_cover_tree_levels_prune(spark):
+def test_cover_tree_levels_prune():
+    """Levels are nested and cover what lies under them, node pairs are pruned above the points, and no pair is lost."""
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
     x = np.repeat(centres, 30, axis=0) + rng.normal(size=(360, 16)) * 0.05
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
     a, b = cover_tree.CoverTree(x[:200]), cover_tree.CoverTree(x[200:])
-    assert a.levels and b.levels
-    i, j = cover_tree.close(a, b, float(np.sqrt(0.2)), 0.9)
-    want = {(p, q) for p, q in zip(*np.nonzero(x[:200] @ x[200:].T >= 0.9), strict=True)}
-    assert want <= set(zip(a.order[i].tolist(), b.order[j].tolist(), strict=True))
+    for t in (a, b):
+        assert len(t.sizes) > 3 and t.sizes[0] == 1 and t.sizes[-1] == len(t.points) and (np.diff(t.sizes) > 0).all()
+        node = np.arange(len(t.points))
+        for k in range(len(t.sizes) - 1, -1, -1):
+            node = t.parents[k + 1][node] if k < len(t.sizes) - 1 else node
+            away = np.linalg.norm(t.points - t.points[node], axis=1)
+            assert (away <= t.radii[k][node] + 1e-7).all() and (t.parents[k][: t.sizes[k - 1]] == np.arange(t.sizes[k - 1])).all() if k else True
+    pruned = []
+    i, j = cover_tree.close(a, b, float(np.sqrt(0.2)), 0.9, pruned)
+    assert set(zip(a.order[i].tolist(), b.order[j].tolist(), strict=True)) == {(p, q) for p, q in zip(*np.nonzero(x[:200] @ x[200:].T >= 0.9), strict=True)}
+    assert sum(pruned) > 50
+    for n, m in ((1, 1), (1, 40), (40, 1), (2, 7)):
+        a, b = cover_tree.CoverTree(x[:n]), cover_tree.CoverTree(x[300 : 300 + m])
+        i, j = cover_tree.close(a, b, float(np.sqrt(0.2)), 0.9)
+        assert set(zip(a.order[i].tolist(), b.order[j].tolist(), strict=True)) == {(p, q) for p, q in zip(*np.nonzero(x[:n] @ x[300 : 300 + m].T >= 0.9), strict=True)}
+
+
+def test_cover_tree_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.05]), (3, [1.0, 0.05]), (0, [-1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
 
 
 CLASHES = ("own_id", "_copies", "copies", "gone", "row", "Row", "w_id", "w_sha", "sha", "s", "edge", "range", "size", "h", "whole", "keep_id", "component_id", "p_toxic", "_p", "key", "sig", "doc", "uid", "a", "id")
