@@ -366,6 +366,42 @@ def test_html_template_is_deleted(spark):
     assert got[3] == "Story number 3 of the day" and got[99] == "Join our club today\nStory number 99 of the day"
 
 
+def test_html_template_counts_equal_brute_force(spark):
+    """Subtrees by host counted by hand; template removal changes the pages it should, inside articles too."""
+    rng = random.Random(13)
+    def page(k, host):
+        box = f"<div><p>Written by the team of {host}</p><p>More about them</p></div>" if k % 10 else ""
+        rare = f"<section><p>Series part of {host}</p></section>" if k % 2 else ""
+        return f"<body><div><span>Club of {host}</span></div><article><h1>T {k}</h1>{box}<p>Story {some_words(rng, 8)}</p><p>The same passage for all of us</p>{rare}<div><p>Own {k}</p></div></article></body>"
+    rows = [(k, f"http://h{k % 3}.example/{k}", page(k, f"h{k % 3}")) for k in range(60)] + [(100 + k, f"http://few.example/{k}", page(k + 1, "few")) for k in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = frame.withColumns({"host": html_text.host_of(), "page": F.xxhash64("html")})
+    got = {(r.host, r.page): (set(r.template), set(r.boxes)) for r in html_text.templates(own).collect()}
+    found, pages = {}, {r.page_id: (r.host, r.page) for r in own.collect()}
+    for k, _, h in rows:
+        found[pages[k]] = html_text.candidates(html_text.hashed(html_text.parse(h)))
+    hosts = {}
+    for (host, _), subtrees in found.items():
+        total, n = hosts.setdefault(host, [0, {}])
+        hosts[host][0] = total + 1
+        for s in subtrees:
+            n[s] = n.get(s, 0) + 1
+    for (host, p), subtrees in found.items():
+        total, n = hosts[host]
+        want = {s for s in subtrees if n[s] >= 5 and n[s] >= 0.2 * total}
+        assert got.get((host, p), (set(), set())) == (want, {s for s in want if n[s] >= 0.7 * total})
+    texts = {r.page_id: r.text for r in html_text.main_texts(frame).collect()}
+    plain = {k: html_text.main_text(html_text.parse(h)) for k, _, h in rows}
+    assert {k for k in texts if texts[k] != plain[k]} == {k for k in range(60) if k % 10}
+    assert all("The same passage for all of us" in t and ("Written by" in t) == (k > 99) and ("Series part" in t) == (k % 2 == (k < 100)) for k, t in texts.items())
+
+
+def test_html_every_main_and_articles_that_are_all_box(spark):
+    assert html_text.main_text(html_text.parse("<main><p>a</p><main><p>b</p></main></main><p>c</p><main>d</main>")) == "a\nb\nd"
+    rows = [(k, f"http://one.example/{k}", f"<nav>{k}</nav><article><div><p>One story on all pages</p></div></article>") for k in range(9)]
+    assert {r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"One story on all pages"}
+
+
 def test_toxicity_learns_and_keeps_clean(spark):
     rng = random.Random(9)
     bad = ["grob", "mean1", "nastyish"]

@@ -5,8 +5,9 @@ every host on how many different pages a subtree occurs; one that recurs on many
 deleted, along with elements whose tag, role, class or id says that they are furniture. Of what is left, the article
 (or the main part, or else the body) is the text.
 
-Paragraphs, headings, lists and tables, and what holds them, are never taken for template inside an article: they are
-what is asked for, even where a host shows one article or one passage on many pages.
+Paragraphs, headings, lists and tables themselves are never taken for template inside an article: they are what is
+asked for, even where a host shows one passage on many pages. A box that holds some (a division or section) is template
+there if it stands on nearly all pages of its host, unless the article would have no text without it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import text_of, written
 
 #: A subtree is template if it is on so many pages of its host and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: The same for a box with prose inside an article.
+BOX_SHARE = 0.7
 
 # Fixed values of HTML: elements without an end tag, elements whose content is not markup, and end tags that may be left out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,23 +169,28 @@ def hashed(root: Element) -> Element:
 
 
 def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees that may be template: all elements, but inside an article none that is or holds content."""
+    """Hashes of the subtrees that may be template: all elements, but inside an article no paragraph, heading, list, table or inline one."""
     out: set[int] = set()
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
         inside = inside or e.tag in ("article", "main")
-        if e.tag not in ("html", "body", "article", "main", "br", "head", "meta") and not (inside and (e.prose or e.tag in CONTENT)):
+        if e.tag not in ("html", "body", "article", "main", "br", "head", "meta") and not (inside and e.tag in CONTENT):
             out.add(e.hash)
         todo.extend((p, inside) for p in e.parts if not isinstance(p, str))
     return out
 
 
-def _visible(e: Element, template: frozenset[int], inside: bool) -> bool:
-    return not e.furniture and not (e.hash in template and e.tag not in ("html", "body", "article", "main") and not (inside and (e.prose or e.tag in CONTENT)))
+NOTHING: frozenset[int] = frozenset()
 
 
-def regions(root: Element, template: frozenset[int]) -> list[Element]:
+def _visible(e: Element, template: frozenset[int], boxes: frozenset[int], inside: bool) -> bool:
+    if e.furniture or e.tag in ("html", "body", "article", "main") or inside and e.tag in CONTENT:
+        return not e.furniture
+    return e.hash not in (boxes if inside and e.prose else template)
+
+
+def regions(root: Element, template: frozenset[int], boxes: frozenset[int]) -> list[Element]:
     """The outermost articles that are left; else the main parts; else everything."""
     found: dict[str, list[Element]] = {"article": [], "main": []}
     todo: list[tuple[Element, bool]] = [(root, False)]
@@ -191,14 +199,28 @@ def regions(root: Element, template: frozenset[int]) -> list[Element]:
         if e.tag in found and not inside:
             found[e.tag].append(e)
         inside = inside or e.tag == "article"
-        todo.extend((p, inside) for p in reversed(e.parts) if not isinstance(p, str) and _visible(p, template, inside))
-    return found["article"] or found["main"][:1] or [root]
+        todo.extend((p, inside) for p in reversed(e.parts) if not isinstance(p, str) and _visible(p, template, boxes, inside))
+    mains = {id(p) for m in found["main"] for p in _below(m) if p.tag == "main"}
+    return found["article"] or [m for m in found["main"] if id(m) not in mains] or [root]
+
+
+def _below(e: Element) -> Iterator[Element]:
+    todo = [p for p in e.parts if not isinstance(p, str)]
+    while todo:
+        p = todo.pop()
+        yield p
+        todo.extend(q for q in p.parts if not isinstance(q, str))
+
+
+def main_text(root: Element, template: frozenset[int] = NOTHING, boxes: frozenset[int] = NOTHING) -> str:
+    """Blocks in page order, one a line; white space inside a block is one space. boxes: the template that stands on nearly all pages."""
+    text = _main_text(root, template, boxes)
+    return text if text or not boxes else _main_text(root, template, NOTHING)
 
 
-def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
-    """Blocks in page order, one a line; white space inside a block is one space."""
+def _main_text(root: Element, template: frozenset[int], boxes: frozenset[int]) -> str:
     blocks: list[str] = []
-    for region in regions(root, template):
+    for region in regions(root, template, boxes):
         inside = region.tag in ("article", "main")
         current: list[str] = []
 
@@ -215,7 +237,7 @@ def main_text(root: Element, template: frozenset[int] = frozenset()) -> str:
                 end()
             elif isinstance(p, str):
                 current.append(p)
-            elif p is region or _visible(p, template, inside):
+            elif p is region or _visible(p, template, boxes, inside):
                 if p.tag == "br":
                     current.append(" ")
                     continue
@@ -244,7 +266,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, page, template array<long>): of each page that has any, its subtrees that recur on its host.
+    """(host, page, template array<long>, boxes array<long>): of each page that has any, its subtrees that recur on its host, and those of them that do so on nearly all pages.
 
     A host counts its different pages, so copies of one page don't make its subtrees template.
     """
@@ -253,8 +275,8 @@ def templates(pages: DataFrame) -> DataFrame:
     pages_of = written(pages_of, "pages_of")
     totals = pages_of.groupBy("host").agg(F.count("*").alias("total"))
     counted = pages_of.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    recurring = written(counted.join(totals, "host").where(F.col("n") >= F.col("total") * MIN_SHARE).select("host", "subtree"), "templates")
-    return pages_of.select("host", "page", F.explode("subtrees").alias("subtree")).join(recurring, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
+    recurring = written(counted.join(totals, "host").where(F.col("n") >= F.col("total") * MIN_SHARE).select("host", "subtree", (F.col("n") >= F.col("total") * BOX_SHARE).alias("box")), "templates")
+    return pages_of.select("host", "page", F.explode("subtrees").alias("subtree")).join(recurring, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"), F.collect_set(F.when(F.col("box"), F.col("subtree"))).alias("boxes"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -264,15 +286,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     deleted. Repeated rows give repeated rows; empty pages give none; further columns are ignored.
     """
     own = pages.select("page_id", "url", text_of("html").alias("html")).withColumns({"host": host_of(), "page": F.xxhash64(F.col("html"))})
-    template = written(templates(own), "page_templates").select(F.col("host").alias("t_host"), F.col("page").alias("t_page"), "template")
-    joined = own.join(template, (F.col("host") == F.col("t_host")) & (F.col("page") == F.col("t_page")), "left").select("page_id", "url", "html", "template")
+    template = written(templates(own), "page_templates").select(F.col("host").alias("t_host"), F.col("page").alias("t_page"), "template", "boxes")
+    joined = own.join(template, (F.col("host") == F.col("t_host")) & (F.col("page") == F.col("t_page")), "left").select("page_id", "url", "html", "template", "boxes")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
-            for h, t in zip(b.html, b.template, strict=True):
+            for h, t, x in zip(b.html, b.template, b.boxes, strict=True):
                 root = parse(h)
-                texts.append(main_text(hashed(root), frozenset(map(int, t))) if t is not None and len(t) else main_text(root))
+                texts.append(main_text(hashed(root), frozenset(map(int, t)), frozenset(map(int, x))) if t is not None and len(t) else main_text(root))
             yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
