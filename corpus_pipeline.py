@@ -11,22 +11,27 @@ from tidegrid.workers import importable
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage toxicity: documents that the chain rejects go. Nulls, empty texts, repeated rows and empty tables as in toxicity.keep_clean()."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage exact_dedup: of equal texts one row stays. Nulls, empty texts, ties, repeated rows and empty tables as in exact_dedup.keep_one()."""
     return exact_dedup.keep_one(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage ngram_join: one document of each group of near copies stays. Nulls, empty texts, rows that share a doc_id and empty tables as in ngram_join.keep_one()."""
     return ngram_join.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage mixing: each row as often as the mix takes it. Nulls, empty texts, repeated rows and empty tables as in mixing.repeated()."""
     return mixing.repeated(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage bpe: doc_id, n_tokens, ids_sha256, decoded_sha256 of each row. Nulls, empty texts, repeated rows and empty tables as in bpe.round_trip()."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
