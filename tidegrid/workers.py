@@ -1,4 +1,4 @@
-"""Lets Python workers import this package where the driver was started from elsewhere."""
+"""What Python workers need: this package where the driver was started from elsewhere, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -7,13 +7,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m")
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Adds this repository's folder to the workers' PYTHONPATH (where it isn't there, nothing changes)."""
+    """Adds this repository's folder to the workers' PYTHONPATH (where it isn't there, nothing changes).
+
+    Batches hold 16 MB at most instead of Spark's 64, unless the session has a size of its own: a batch of texts is held
+    several times over, in the executor and in its Python worker.
+    """
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH, None) in (None, *DEFAULT):
+        spark.conf.set(BATCH, "16m")
     return spark
