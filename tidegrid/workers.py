@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 BATCH, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m")
+#: Freed memory of a worker goes back to the machine: large blocks are mapped, and Arrow has no pool of its own.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -15,12 +17,15 @@ def importable(spark: SparkSession) -> SparkSession:
     """Adds this repository's folder to the workers' PYTHONPATH (where it isn't there, nothing changes).
 
     Batches hold 16 MB at most instead of Spark's 64, unless the session has a size of its own: a batch of texts is held
-    several times over, in the executor and in its Python worker.
+    several times over, in the executor and in its Python worker. Settings of memory that are in the environment stay.
     """
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for name, value in MEMORY.items():
+        if name not in os.environ:
+            environment.setdefault(name, value)
     if spark.conf.get(BATCH, None) in (None, *DEFAULT):
         spark.conf.set(BATCH, "16m")
     return spark
