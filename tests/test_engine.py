@@ -271,20 +271,43 @@ def test_kernels():
 def test_models_learn_a_daily_shape(name):
     t = pd.date_range("2021-01-04", periods=24 * 20, freq="h")
     y = pd.DataFrame({"a": np.sin(2 * np.pi * t.hour / 24) + 2}, index=t)
-    r = regression.SeriesRegressor(24, regression.ShallowSequence(name), ("TimeOfDay",), y_selector=regression.FixedLag(3))
+    r = regression.Forecaster(24, regression.StepModel(name), ("TimeOfDay",), lags=regression.FixedLag(3))
     x = pd.DataFrame(index=t)
     with pytest.raises(ValueError):
-        r.predict(x, y)
-    r.fit(x.iloc[:-24], y.iloc[:-24])
-    p = r.predict(x.iloc[-24:], y.iloc[:-24])
+        r.ahead(x, y)
+    r.learn(x.iloc[:-24], y.iloc[:-24])
+    p = r.ahead(x.iloc[-24:], y.iloc[:-24])
     assert len(p) == 24 and np.abs(p.a - y.a.iloc[-24:]).mean() < 0.35
-    assert r.predict(x.iloc[:3], y).empty and len(r.summary()) == 1
+    assert r.ahead(x.iloc[:3], y).empty and len(r.summary()) == 1
+
+
+def test_linear_steps_equal_a_closed_form():
+    """Two outputs, two lags, one known feature: least squares on each output's own rows, applied step by step."""
+    rng = np.random.default_rng(7)
+    y, x = rng.normal(size=(60, 2)).cumsum(0), rng.normal(size=(60, 1))
+    known, past, ahead = regression.windows(x, 2, 3)[1], *regression.windows(y, 2, 3)
+    m = regression.StepModel(lambda: regression.Linear(0.0))
+    assert list(m.learn(known, past, ahead).model) == [0, 1]
+    got = m.steps(known[-1:], past[-1:])[0]
+    for j in range(2):
+        a = np.column_stack((np.ones(len(past)), known[:, 0], past[:, 0, j], past[:, 1, j]))
+        w = np.linalg.lstsq(a, ahead[:, 0, j], rcond=None)[0]
+        lags = list(past[-1, :, j])
+        for t in range(3):
+            lags.append(w @ [1, known[-1, t, 0], *lags[-2:]])
+            assert got[t, j] == pytest.approx(lags[-1], abs=1e-6)
+    kept = regression.StepModel("linear", remember=True)
+    kept.learn(known[:20], past[:20], ahead[:20])
+    kept.learn(known[20:], past[20:], ahead[20:])
+    whole = regression.StepModel("linear")
+    whole.learn(known, past, ahead)
+    assert kept.steps(known[:5], past[:5]) == pytest.approx(whole.steps(known[:5], past[:5]))
 
 
 def test_transform_and_learner(spark):
     s = files.generated(spark, 16, "2021-01-01", 24 * 20, 3600).withColumn("value", F.col("value") + 5 + 2 * F.sin(F.hour("ts") * (2 * np.pi / 24)))
     s = s.persist()
-    make = lambda: regression.SeriesRegressor(24, regression.ShallowSequence("linear"), ("TimeOfDay",), y_selector=regression.FixedLag(4))
+    make = lambda: regression.Forecaster(24, regression.StepModel("linear"), ("TimeOfDay",), lags=regression.FixedLag(4))
     learner = CumulantLearner(s, None, 3600, CumulantTransform(3600, (cal.TimeOfDay,)), make)
     e = learner.evaluate(tg.TimeInterval(datetime(2021, 1, 1), datetime(2021, 1, 17)), tg.TimeInterval(datetime(2021, 1, 17), datetime(2021, 1, 20)), [0.5, 0.95], update=2)
     t = learner.transformer

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import TimeInterval
 from ..operators.gapfill import resampled
-from ..operators.regression import SeriesRegressor
+from ..operators.regression import Forecaster
 from .transform import CumulantTransform, scores
 
 CUMULANTS = ["mean", "stdev", "skewness", "kurtosis"]
@@ -34,16 +35,16 @@ class Evaluation:
 class CumulantLearner:
     """One regressor a (category, cluster), over the cumulants of all its value types.
 
-    Cumulants are small (a row a cluster, value type and step), which is what makes the driver's loop over clusters
-    cheap whatever the number of series is; the series themselves stay in Spark.
+    Each cluster learns and forecasts in a task of its own; the driver holds the models, one a cluster. Cumulants are
+    small (a row a cluster, value type and step) and stay in Spark, as the series do.
     """
 
     series: DataFrame
     exogenous: DataFrame | None
     resolution_s: int
     transformer: CumulantTransform
-    regressor: Callable[[], SeriesRegressor]
-    models: dict[tuple[str, int], SeriesRegressor] = field(default_factory=dict)
+    regressor: Callable[[], Forecaster]
+    models: dict[tuple[str, int], Forecaster] = field(default_factory=dict)
     cache: list[tuple[TimeInterval, DataFrame]] = field(default_factory=list)
 
     @property
@@ -59,14 +60,12 @@ class CumulantLearner:
         self.cache.append((interval, df))
         return df
 
-    def _outputs(self, cumulants: DataFrame) -> dict[tuple[str, int], pd.DataFrame]:
-        rows = cumulants.select("category", "cluster", "value_type", "ts", *CUMULANTS).toPandas()
-        out = {}
-        for key, pdf in rows.groupby(["category", "cluster"]):
-            y = pdf.pivot(index="ts", columns="value_type", values=CUMULANTS).sort_index().fillna(0.0)
-            y.columns = [f"{v}|{c}" for c, v in y.columns]
-            out[key] = y
-        return out
+    @staticmethod
+    def _wide(rows: pd.DataFrame) -> pd.DataFrame:
+        """One cluster's cumulants by time, a column for each value type and cumulant."""
+        y = rows.pivot(index="ts", columns="value_type", values=CUMULANTS).sort_index().fillna(0.0)
+        y.columns = [f"{v}|{c}" for c, v in y.columns]
+        return y
 
     def _inputs(self, interval: TimeInterval, index: pd.DatetimeIndex | None = None) -> pd.DataFrame:
         if self.exogenous is None:
@@ -78,6 +77,8 @@ class CumulantLearner:
     def fit(self, interval: TimeInterval) -> CumulantLearner:
         """Finds the clusters and trains anew."""
         self.transformer.fit(self.series, interval)
+        for _, df in self.cache:
+            df.unpersist()
         self.models, self.cache = {}, []
         self._train(interval)
         return self
@@ -90,9 +91,20 @@ class CumulantLearner:
         return self
 
     def _train(self, interval: TimeInterval) -> None:
-        x = self._inputs(interval)
-        for key, y in self._outputs(self.cumulants(interval)).items():
-            self.models.setdefault(key, self.regressor()).fit(x if len(x.columns) else pd.DataFrame(index=y.index), y)
+        """A task for each cluster; what comes back are the models, whose number and size don't grow with the series."""
+        x, wide, make = self._inputs(interval), self._wide, self.regressor
+        so_far = {key: cloudpickle.dumps(m) for key, m in self.models.items()}
+
+        def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            y = wide(rows)
+            own = so_far.get((key[0], int(key[1])))
+            model = cloudpickle.loads(own) if own else make()
+            model.learn(x if len(x.columns) else pd.DataFrame(index=y.index), y)
+            return pd.DataFrame({"category": [key[0]], "cluster": [key[1]], "model": [cloudpickle.dumps(model)]})
+
+        rows = self.cumulants(interval).select("category", "cluster", "value_type", "ts", *CUMULANTS)
+        for r in rows.groupBy("category", "cluster").applyInPandas(learn, "category string, cluster int, model binary").collect():
+            self.models[r.category, int(r.cluster)] = cloudpickle.loads(bytes(r.model))
 
     def lookback(self) -> timedelta:
         return max(m.lookback for m in self.models.values()) * self.step
@@ -104,17 +116,22 @@ class CumulantLearner:
         """The cumulants of each cluster over the horizon from start on."""
         if not self.models:
             raise ValueError("fit comes before predict")
-        past = self._outputs(self.cumulants(TimeInterval(start - self.lookback(), start)))
         ahead = TimeInterval(start, start + self.horizon())
-        x, rows = self._inputs(ahead), []
-        for key, model in self.models.items():
-            if key in past:
-                wide = model.predict(x, past[key])
-                for ts, values in zip(wide.index, wide.to_dict("records"), strict=True):
-                    for v in {c.split("|")[0] for c in wide.columns}:
-                        found = [float(values[f"{v}|{c}"]) for c in CUMULANTS]
-                        rows.append((key[0], int(key[1]), v, ts.to_pydatetime(), found[0], max(found[1], 0.0), found[2], found[3]))
-        return self.series.sparkSession.createDataFrame(rows, "category string, cluster int, value_type string, ts timestamp_ntz, mean double, stdev double, skewness double, kurtosis double")
+        x, wide = self._inputs(ahead), self._wide
+        models = {key: cloudpickle.dumps(m) for key, m in self.models.items()}
+        columns = ["category", "cluster", "value_type", "ts", *CUMULANTS]
+
+        def forecast(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            own = models.get((key[0], int(key[1])))
+            found = cloudpickle.loads(own).ahead(x, wide(rows)) if own else pd.DataFrame()
+            if found.empty:
+                return pd.DataFrame(columns=columns)
+            found.columns = pd.MultiIndex.from_tuples([tuple(c.rsplit("|", 1)) for c in found.columns], names=["value_type", None])
+            long = found.stack("value_type", future_stack=True).rename_axis(["ts", "value_type"]).reset_index()
+            return long.assign(category=key[0], cluster=key[1], stdev=long.stdev.clip(lower=0.0))[columns]
+
+        past = self.cumulants(TimeInterval(start - self.lookback(), start)).select(*columns)
+        return past.groupBy("category", "cluster").applyInPandas(forecast, "category string, cluster int, value_type string, ts timestamp_ntz, mean double, stdev double, skewness double, kurtosis double")
 
     def predict(self, start, p: Sequence[float], clusters: bool = True, members: bool = True) -> DataFrame:
         return self.transformer.inverse_transform(self.predict_cumulants(start), p, clusters, members)
@@ -137,6 +154,7 @@ class CumulantLearner:
             raise ValueError("the interval is shorter than the horizon")
         actual = self.transformer.moments(self.series, predict).select("source", "value_type", "category", "ts", F.col("mean").alias("x"))
         rows = self.transformer.inverse_transform(out, p, clusters=False).withColumnRenamed("id", "source").join(actual, ["source", "value_type", "category", "ts"])
+        rows = rows.persist()  # a row a member, step and probability; both scores read it
         pin, win = scores(rows, p)
         tables = {"clustering_score": self.transformer.clustering_score(spark), "extractor_score": self.transformer.extractor_score(spark), "regressor_score": self.regressor_score(), "pinball_score": pin, "winkler_score": win}
         return Evaluation(tables | {"x_selector_score": self.x_selector_score(), "y_selector_score": self.y_selector_score()})
@@ -146,9 +164,9 @@ class CumulantLearner:
         return self.series.sparkSession.createDataFrame(rows, "category string, cluster int, fit int, model int, metric double")
 
     def x_selector_score(self) -> DataFrame:
-        rows = [(k[0], int(k[1]), i, j, float(s), j in m.chosen) for k, m in sorted(self.models.items()) for i, line in enumerate(getattr(m.x_selector, "scores", ())) for j, s in enumerate(line)]
+        rows = [(k[0], int(k[1]), i, j, float(s), j in (m.chosen or ())) for k, m in sorted(self.models.items()) for i, line in enumerate(getattr(m.exogenous, "scores", ())) for j, s in enumerate(line)]
         return self.series.sparkSession.createDataFrame(rows, "category string, cluster int, y int, x int, score double, selected boolean")
 
     def y_selector_score(self) -> DataFrame:
-        rows = [(k[0], int(k[1]), i, lag, float(s), lag <= m.lookback, float(m.y_selector.radius)) for k, m in sorted(self.models.items()) for i, line in enumerate(getattr(m.y_selector, "scores", ())) for lag, s in enumerate(line)]
+        rows = [(k[0], int(k[1]), i, lag, float(s), lag <= m.lookback, float(m.lags.radius)) for k, m in sorted(self.models.items()) for i, line in enumerate(getattr(m.lags, "scores", ())) for lag, s in enumerate(line)]
         return self.series.sparkSession.createDataFrame(rows, "category string, cluster int, feature int, lag int, score double, selected boolean, ci double")

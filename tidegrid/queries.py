@@ -485,7 +485,7 @@ def clustering_score(spark, sf):
 
 
 def learner(spark, sf) -> CumulantLearner:
-    make = lambda: regression.SeriesRegressor(24, regression.ShallowSequence("linear"), y_selector=regression.PartialLags(48))
+    make = lambda: regression.Forecaster(24, regression.StepModel("linear"), lags=regression.PartialLags(48))
     return CumulantLearner(by_type(spark, sf), None, HOUR, CumulantTransform(HOUR, (cal.TimeOfDay,)), make)
 
 
