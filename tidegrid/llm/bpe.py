@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words of at most LONGEST characters whose ids a worker keeps in each of its tables, and pairs of neighbours; beyond
+#: Words of at most LONGEST characters whose ids a worker keeps after a space (of line starts and pieces a third), and pairs of neighbours; beyond
 #: that it starts anew. A word takes about 200 bytes, a pair 150.
-KEPT, LONGEST, PAIRS = 200_000, 64, 200_000
+KEPT, LONGEST, PAIRS = 150_000, 64, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,7 +160,7 @@ class TextEncoder:
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.piece_ids, self.kept = piece_ids, kept
-        self.first, self.spaced = _Words(self.split, "", kept), _Words(self.split, " ", kept)
+        self.first, self.spaced = _Words(self.split, "", kept // 3), _Words(self.split, " ", kept)
         self.line = piece_ids("\n")
 
     def split(self, text: str) -> bytes:
@@ -176,7 +176,7 @@ class TextEncoder:
             if ids is None:
                 ids = self.piece_ids(p)
                 if len(p) <= LONGEST:
-                    if len(self.pieces) >= self.kept:
+                    if len(self.pieces) >= self.kept // 3:
                         self.pieces.clear()
                     self.pieces[p] = ids
             out.append(ids)

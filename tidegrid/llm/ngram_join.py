@@ -31,14 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, fresh, text_of, with_ids, written
-from .shingles import WORDS, mixed, shingle_sets
+from .shingles import WORDS, forget, mixed, shingle_sets
 
 PERCENT = 75
 SHORT_RUN = 32  # members of a run whose pairs are written out
-KEPT_SHINGLES = 200_000  # of the sets that a task has at hand
+KEPT_SHINGLES = 50_000  # of the sets that a task has at hand
 BIN = 400_000  # signatures in a bin, on average
 BAND = 1.5
-AT_ONCE = 500  # documents whose signatures are packed together
+AT_ONCE = 200  # documents whose signatures are packed together
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 100_000  # at most in a block of a family, about
 
 
@@ -126,6 +126,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     keys = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)
                 n = np.diff(at)
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "n_shingles": n, "key": [x.tobytes() if m else None for x, m in zip(keys, n, strict=True)]})
+        forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, key binary")
 
@@ -165,6 +166,7 @@ def packed(docs: DataFrame, n_bins: int) -> DataFrame:
                 h_doc, spare, h_group, size = (np.array(x, np.int64) for x in zip(*held, strict=True))
                 rows.append((-1 - int(h_doc[0] % n_bins), spare.astype(np.uint32).tobytes(), np.diff(h_doc, prepend=0).tobytes(), h_group.astype(np.uint8).tobytes(), size.tobytes()))
                 yield pd.DataFrame(rows, columns=["bin", "sig", "doc", "info", "size"])
+        forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "bin long, sig binary, doc binary, info binary, size binary")
 
@@ -197,6 +199,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 part = b[k : k + AT_ONCE]
                 flat, at = shingle_sets(part.text)
                 yield pd.DataFrame({"doc_id": part.doc_id.array, "set": [flat[a:z].view(np.int64) for a, z in zip(at[:-1], at[1:], strict=True)]})
+        forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, set array<long>")
 

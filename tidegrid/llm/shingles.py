@@ -35,6 +35,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """At the end of a task: its worker process stays, and the next task may be one of another operator."""
+    _hashes.clear()
+
+
 def shingle_sets(texts: Iterable[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(all sets one after the other, each sorted and distinct; where each begins, with the end of the last).
 
