@@ -17,6 +17,7 @@ results grow with the points and not with the pairs. Equal vectors are one point
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ THRESHOLD = 0.9
 BLOCK = 1_024  # points in a block, about
 CELLS = 1_000  # sampled centres at most
 GROUP = 8  # blocks that a tile's side holds
-SLACK = 1e-6  # of distances that come from products
+SLACK = 1e-6  # of distances in double precision
+MARGIN = 1e-4  # of products in single precision, which only rule out
 FINEST = 2.0**-12  # below this radius the next level is the points themselves
 
 
@@ -78,6 +80,17 @@ class CoverTree:
             np.maximum.at(most, node, apart[np.arange(n), node])
             self.radii.append(most)
         self.radii.reverse()
+        self.single = self.points.astype(np.float32)
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.order, self.points, self.sizes, self.parents, self.radii))
+
+    @classmethod
+    def load(cls, data: bytes) -> CoverTree:
+        own = cls.__new__(cls)
+        own.order, own.points, own.sizes, own.parents, own.radii = pickle.loads(data)
+        own.single = own.points.astype(np.float32)
+        return own
 
 
 def close(a: CoverTree, b: CoverTree, eps: float, threshold: float, pruned: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +112,27 @@ def close(a: CoverTree, b: CoverTree, eps: float, threshold: float, pruned: list
             open_ = left[np.ix_(up_a[rows], up_b[columns])]
         else:
             rows, columns, open_ = np.arange(a.sizes[0]), np.arange(b.sizes[0]), np.ones((1, 1), bool)
-        dots = a.points[rows] @ b.points[columns].T
-        if ka == len(a.sizes) - 1 and kb == len(b.sizes) - 1:
-            x, y = np.nonzero(open_ & (dots >= threshold - SLACK))
+        last = ka == len(a.sizes) - 1 and kb == len(b.sizes) - 1
+        if last and len(i) * 16 < len(rows) * len(columns):  # few pairs of parents are left: only their children's products
+            x, y = np.nonzero(open_)
+            i, j = rows[x], columns[y]
+            break
+        ra, rb = a.radii[ka][rows], b.radii[kb][columns]
+        if not last and eps + ra.min(initial=2) + rb.min(initial=2) >= 2:
+            near = open_  # no two points are further apart
+        else:
+            # distance <= bound, as products: dot >= 1 - bound ** 2 / 2
+            dots = a.single[rows] @ b.single[columns].T
+            least = np.add.outer((ra + eps).astype(np.float32), rb.astype(np.float32))
+            least *= least
+            least *= np.float32(-0.5)
+            least += np.float32(1 - MARGIN)
+            near = dots >= least
+            near &= open_
+        if last:
+            x, y = np.nonzero(near)
             i, j = rows[x], columns[y]
             break
-        bound = eps + a.radii[ka][rows][:, None] + b.radii[kb][columns] + SLACK
-        near = open_ & (2 - 2 * dots <= bound * bound)
         if pruned is not None:
             pruned.append(int(open_.sum() - near.sum()))
         x, y = np.nonzero(near)
@@ -159,7 +186,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def blocks(points: DataFrame, n: int, seed: int = 5) -> DataFrame:
-    """(dim, cell, piece, middle, radius, ids, copies, units), written: the points of a cell (nearest to the same sampled centre) in pieces of about BLOCK points."""
+    """(dim, cell, piece, middle, radius, ids, copies, tree), written: the points of a cell (nearest to the same sampled centre) in pieces of about BLOCK points."""
     wanted = max(1, min(-(-n // (BLOCK * GROUP)), CELLS))
     # The centres are a bounded sample; every point goes to the nearest one of its own length.
     sample = points.orderBy(F.xxhash64("point", F.lit(seed)), "point").limit(wanted).select("dim", "unit").toPandas()
@@ -183,9 +210,9 @@ def blocks(points: DataFrame, n: int, seed: int = 5) -> DataFrame:
         middle = x.mean(0)
         middle = middle / (np.linalg.norm(middle) or 1)
         radius = float(np.linalg.norm(x - middle, axis=1).max())
-        return pd.DataFrame({"dim": [pdf.dim.iloc[0]], "cell": [pdf.cell.iloc[0]], "piece": [pdf.piece.iloc[0]], "middle": [middle], "radius": [radius], "ids": [pdf.point.to_numpy(np.int64).tobytes()], "copies": [pdf.copies.to_numpy(np.int64).tobytes()], "units": [x.tobytes()]})
+        return pd.DataFrame({"dim": [pdf.dim.iloc[0]], "cell": [pdf.cell.iloc[0]], "piece": [pdf.piece.iloc[0]], "middle": [middle], "radius": [radius], "ids": [pdf.point.to_numpy(np.int64).tobytes()], "copies": [pdf.copies.to_numpy(np.int64).tobytes()], "tree": [CoverTree(x).dump()]})
 
-    packed = written(cut.groupBy("dim", "cell", "piece").applyInPandas(pack, "dim int, cell long, piece long, middle array<double>, radius double, ids binary, copies binary, units binary"), "blocks")
+    packed = written(cut.groupBy("dim", "cell", "piece").applyInPandas(pack, "dim int, cell long, piece long, middle array<double>, radius double, ids binary, copies binary, tree binary"), "blocks")
     discard(placed)
     return packed
 
@@ -221,11 +248,10 @@ def tiles(packed: DataFrame, eps: float) -> DataFrame:
 def compared(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """A tile: (a, b, links): links of each point a (b null), and links (a, b) that connect its components."""
     eps = float(np.sqrt(2 - 2 * threshold))
-    dim = int(pdf.dim.iloc[0])
     names = pdf.cell.astype(str) + "-" + pdf.piece.astype(str)
     sides = [sorted(set(names[pdf.side == s])) for s in (0, 1)]
     own = pdf.assign(name=names).drop_duplicates("name").set_index("name")
-    trees = {k: CoverTree(np.frombuffer(u).reshape(-1, dim)) for k, u in own.units.items()}
+    trees = {k: CoverTree.load(u) for k, u in own.tree.items()}
     ids = {k: np.frombuffer(u, np.int64)[trees[k].order] for k, u in own.ids.items()}
     copies = {k: np.frombuffer(u, np.int64)[trees[k].order] for k, u in own.copies.items()}
     starts = dict(zip(trees, np.cumsum([0, *map(len, ids.values())])[:-1].tolist(), strict=True))
