@@ -30,6 +30,9 @@ from .common import text_of
 #: that it starts anew. A word takes about 200 bytes, a pair 150.
 KEPT, LONGEST, PAIRS = 150_000, 64, 100_000
 
+#: What a text must not hold to be cut so: white space other than the space and the line end, and any two of these in a row.
+UNEVEN = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -184,9 +187,7 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         # Where each white space character stands alone between words and is a space or a line end, the pattern cuts before each one.
-        words = text.split()
-        gaps = len(text) - sum(map(len, words))
-        if gaps != len(words) - 1 or gaps != text.count(" ") + text.count("\n"):
+        if not text or text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNEVEN)):
             return self.split(text) if len(text) < 10_000 else self.by_lines(text)
         out, spaced = [], self.spaced.__getitem__
         for line in text.split("\n"):

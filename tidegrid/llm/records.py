@@ -116,6 +116,7 @@ def read_shard(folder: str, name: str, order: np.ndarray | None = None) -> Itera
 #: The bytes that stand for themselves in a byte-level vocabulary; the others follow from U+0100 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: b for b in PLAIN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(PLAIN)))}
+SPACE_LETTER = chr(LETTERS[32])
 
 
 class LibraryEncoder(TextEncoder):
@@ -143,9 +144,14 @@ def library_encoder(path: str, pattern: str) -> tuple[LibraryEncoder, int]:
 
     t = Tokenizer.from_file(path)
     tokens = t.model.tokenize
+    packed = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
     def ids(piece: str) -> bytes:
-        return np.array([x.id for x in tokens(piece.encode().decode("latin-1").translate(LETTERS))], "<u4").tobytes()
+        if piece.isascii() and piece.isprintable():  # of these only the space has another letter
+            found = tokens(piece.replace(" ", SPACE_LETTER))
+        else:
+            found = tokens(piece.encode().decode("latin-1").translate(LETTERS))
+        return packed[len(found)](*[x.id for x in found]) if len(found) < len(packed) else np.array([x.id for x in found], "<u4").tobytes()
 
     added = [a.content for a in t.get_added_tokens_decoder().values()]
     return LibraryEncoder(pattern, ids, added, lambda text: t.encode(text, add_special_tokens=False).ids), t.get_vocab_size()
