@@ -166,6 +166,11 @@ class TextEncoder:
         self.first, self.spaced = _Words(self.split, "", kept // 3), _Words(self.split, " ", kept)
         self.line = piece_ids("\n")
 
+    def forget(self) -> None:
+        """Empties the tables: a worker that waits for its next task, beside others, is to hold little."""
+        for kept in (self.first, self.spaced, self.pieces):
+            kept.clear()
+
     def split(self, text: str) -> bytes:
         word = text.lstrip(" ") if text[:1] == " " and text[1:2] != " " else text
         if word.isalpha() and len(text) <= LONGEST and (word.isascii() or max(word) < "\u0250"):  # letters after at most one space are one piece
@@ -222,6 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         text_encoder, _ = encoder(path, pattern)
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.frombuffer(text_encoder.encode(t), "<i4") for t in b.text]})
+        text_encoder.forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -255,5 +261,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b.doc_id.array)
             yield out
+        text_encoder.forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bpe import TextEncoder
 from .common import shared_dir, text_of, written
 
-#: Words whose ids a worker keeps: the library takes longer for a new one than a table of 120 MB is worth.
+#: Words whose ids a worker keeps during a task: the library takes longer for a new one than a table of 120 MB is worth.
 KEPT = 600_000
 MASK, ROTATE = 0xA282EAD8, 15
 HEAD, LENGTH, CRC = struct.Struct("<qB"), struct.Struct("<Q"), struct.Struct("<I")
@@ -174,6 +174,7 @@ def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
                 ids = np.append(np.frombuffer(encoder.encode(text), "<u4"), np.uint32(end_id))
                 shard.add(None if doc_id is None else int(doc_id), ids)
                 n += 1
+        encoder.forget()
         if shard:
             shard.close()
             yield pd.DataFrame({"shard": [number], "name": [name], "n_docs": [n], "n_ids": [shard.ids]})
@@ -226,8 +227,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
 
-#: Bytes of Parquet that make up a shard, about.
-SHARD_BYTES = 8 << 20
+#: Bytes of Parquet that make up a shard, about: each task meets its words anew, so small shards cost more.
+SHARD_BYTES = 16 << 20
 
 
 def shards_for(docs: DataFrame) -> int:
