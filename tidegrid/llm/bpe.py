@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words of at most LONGEST characters whose ids a worker keeps after a space (of line starts and pieces a third), and pairs of neighbours; beyond
+#: Words of at most LONGEST characters whose ids a task keeps after a space (of line starts and pieces a third), and pairs of neighbours; beyond
 #: that it starts anew. A word takes about 200 bytes, a pair 150.
-KEPT, LONGEST, PAIRS = 150_000, 64, 100_000
+KEPT, LONGEST, PAIRS = 400_000, 64, 200_000
 
 #: What a text must not hold to be cut so: white space other than the space and the line end, and any two of these in a row.
 UNEVEN = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
