@@ -396,3 +396,29 @@ def test_tree_merges_the_nearest_first(method):
         d[j], d[:, j] = np.inf, np.inf
     got = clustering.linkage(x, method)
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+@pytest.mark.parametrize("method", list(clustering.LINKAGES))
+@pytest.mark.parametrize("kept", [0, 1 << 20])
+def test_tree_without_a_matrix_is_the_same(method, kept, monkeypatch):
+    monkeypatch.setattr(clustering, "KEPT_BYTES", max(kept, 1))
+    monkeypatch.setattr(clustering, "AT_ONCE", 500)
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 150):
+        x = rng.normal(size=(n, 4)) + rng.integers(0, 3, size=(n, 1))
+        got, want = clustering.linkage(x, method, 0), clustering.linkage(x, method, n)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    x = np.repeat(np.eye(5) * 9, 30, axis=0) + np.repeat(rng.normal(size=(30, 5)), 5, axis=0)  # rows that are equal
+    assert [g[2] for g in clustering.linkage(x, method, 0)] == pytest.approx([w[2] for w in clustering.linkage(x, method, 150)], abs=1e-6)
+
+
+@pytest.mark.parametrize("method", ["average", "centroid"])
+def test_tree_of_many_rows_holds_no_matrix(method):
+    import tracemalloc
+
+    x = np.random.default_rng(5).normal(size=(3_000, 16))
+    tracemalloc.start()
+    tree = clustering.linkage(x, method)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree) == 2_999 and most < 3_000 * 3_000 * 8
