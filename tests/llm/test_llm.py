@@ -638,3 +638,15 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert sorted(out.doc_id) == sorted(r.doc_id for r in now.select("doc_id").collect())
     assert len(pd.unique(out.ids_sha256)) > 10
+
+
+def test_workers_let_go_of_encoders(spark, odd):
+    """A worker process that waits for its next task holds no vocabulary and no table of words."""
+    bpe.round_trip(odd[1], RANKS, P.PATTERN).collect()
+    bpe.decode(bpe.encode(odd[1], RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+
+    def held(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [bpe.encoder.cache_info().currsize] * len(b)})
+
+    assert {r.n for r in spark.range(0, 32, 1, 16).mapInPandas(held, "n int").collect()} == {0}

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import let_go
 from .common import text_of
 
 #: Words of at most LONGEST characters whose ids a task keeps after a space (of line starts and pieces a third), and pairs of neighbours; beyond
@@ -210,12 +211,18 @@ class TextEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> tuple[TextEncoder, list[bytes]]:
-    """One for each worker process and vocabulary."""
+    """One for each task and vocabulary: forget() drops them."""
     bpe = BytePairEncoder(read_ranks(path))
     tokens = [bpe.tokens.get(i, b"") for i in range(max(bpe.tokens) + 1)]
     return TextEncoder(pattern, lambda p: np.array(bpe.encode(p.encode()), "<u4").tobytes()), tokens
 
 
+def forget() -> None:
+    """At the end of a task: the encoders go with all their tables, as the worker process waits beside others. They are made anew in 0.2 s."""
+    encoder.cache_clear()
+    let_go()
+
+
 def decoded(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -224,10 +231,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs' (doc_id, ids array<int>) for the whole text (null: empty, no ids). Repeated rows give repeated rows."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        text_encoder, _ = encoder(path, pattern)
+        text_encoder = encoder(path, pattern)[0]
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.frombuffer(text_encoder.encode(t), "<i4") for t in b.text]})
-        text_encoder.forget()
+        del text_encoder
+        forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -236,9 +244,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, data binary) of (doc_id, ids array<int>); null ids give empty data."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, tokens = encoder(path, pattern)
+        tokens = encoder(path, pattern)[1]
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "data": [b"" if i is None else decoded(np.asarray(i, "<u4").tobytes(), tokens) for i in b.ids]})
+        del tokens
+        forget()
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, data binary")
 
@@ -261,6 +271,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b.doc_id.array)
             yield out
-        text_encoder.forget()
+        del text_encoder, tokens
+        forget()
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
+from ..workers import let_go
+
 WORDS = 5
 #: Words of at most LONGEST bytes whose hashes a worker keeps: 20 MB, about.
 KEPT, LONGEST = 100_000, 64
@@ -38,6 +40,7 @@ _hashes = _Hashes()
 def forget() -> None:
     """At the end of a task: its worker process stays, and the next task may be one of another operator."""
     _hashes.clear()
+    let_go()
 
 
 def shingle_sets(texts: Iterable[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

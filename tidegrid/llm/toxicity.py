@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import let_go
 from .common import text_of
 
 PREFIXES = (3, 4, 5)
@@ -214,6 +215,8 @@ def score(docs: DataFrame, chain: list[Linear] | None, categories: tuple[str, ..
         scorer = Scorer(chain)
         for texts in parts:
             yield pd.Series(list(scorer(texts)))
+        scorer.hits.clear()
+        let_go()
 
     scored = docs.withColumn("_p", probabilities(text_of()))
     return scored.withColumns({f"p_{c}": F.col("_p")[k] for k, c in enumerate(categories)}).drop("_p")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from pathlib import Path
 
@@ -29,3 +32,10 @@ def importable(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH, None) in (None, *DEFAULT):
         spark.conf.set(BATCH, "16m")
     return spark
+
+
+def let_go() -> None:
+    """At the end of a task: what Python no longer holds goes back to the machine, where the system's library can do that."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
