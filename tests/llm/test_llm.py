@@ -650,3 +650,23 @@ def test_workers_let_go_of_encoders(spark, odd):
             yield pd.DataFrame({"n": [bpe.encoder.cache_info().currsize] * len(b)})
 
     assert {r.n for r in spark.range(0, 32, 1, 16).mapInPandas(held, "n int").collect()} == {0}
+
+
+def test_each_stage_makes_the_session_ready(spark, odd, monkeypatch):
+    """A stage that is run without run() bounds its batches, and its workers give memory back."""
+    import corpus_pipeline
+    from tidegrid import workers
+
+    environment, before = spark.sparkContext.environment, spark.conf.get(workers.BATCH)
+    for name in workers.MEMORY:
+        monkeypatch.delenv(name, raising=False)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(workers.BATCH)
+            for k in workers.MEMORY:
+                monkeypatch.delitem(environment, k, raising=False)
+            stage(spark, odd[1].where("doc_id > 3"), "/root/testdata/sf0.001")
+            assert spark.conf.get(workers.BATCH) == "16m", name
+            assert workers.MEMORY.items() <= environment.items(), name
+    finally:
+        spark.conf.set(workers.BATCH, before)
