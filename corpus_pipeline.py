@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tidegrid.llm.common import table, written
-from tidegrid.workers import importable
+from tidegrid.workers import STAGE, importable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,7 +20,7 @@ def ready(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return stage(importable(spark), docs, sf_dir)
+        return stage(importable(spark, STAGE), docs, sf_dir)
 
     return run
 

@@ -666,7 +666,7 @@ def test_each_stage_makes_the_session_ready(spark, odd, monkeypatch):
             for k in workers.MEMORY:
                 monkeypatch.delitem(environment, k, raising=False)
             stage(spark, odd[1].where("doc_id > 3"), "/root/testdata/sf0.001")
-            assert spark.conf.get(workers.BATCH) == "16m", name
+            assert spark.conf.get(workers.BATCH) == "4m", name
             assert workers.MEMORY.items() <= environment.items(), name
     finally:
         spark.conf.set(workers.BATCH, before)
