@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, cover_tree, exact_dedup, html_text, licenses, mixing, ngram_join, records, toxicity
+from . import align, bpe, chat, cover_tree, exact_dedup, html_text, licenses, mixing, ngram_join, records, token_counts, toxicity, vector_codes
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_tree": op8_cover_tree,
     "op9_ngram_join": op9_ngram_join,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_align": op11_align,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE: dict[str, str] = {
@@ -72,4 +87,5 @@ r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn
     FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, rn = 1 AS kept, text_sha256 FROM r
 """,
+    "op12_vector_codes": vector_codes.sql(),
 }
