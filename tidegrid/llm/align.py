@@ -15,6 +15,7 @@ Pairs of ids are then counted over documents, and each document's links are join
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,14 +28,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import let_go
-from .bpe import TextEncoder
+from .bpe import LONGEST, UNEVEN, TextEncoder
 from .common import text_of, written
 from .records import LETTERS, library_encoder
+from .token_counts import PieceTokens
 
 #: Tokens of a row of events, and tokens of both sides that the sweep takes at a time.
-RUN, WINDOW = 8_192, 500_000
-#: Words whose ids a worker keeps during a task.
-KEPT = 300_000
+RUN, WINDOW = 8_192, 100_000
+#: Words whose ids a worker keeps during a task: beyond that it starts anew. A word takes about 300 bytes.
+KEPT = 500_000
 #: Pairs of ids that are broadcast at most with their counts (32 bytes each, 64 MB); more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 SPACE_PLACE = regex.compile(r"\s|$")
@@ -58,6 +60,8 @@ class ByteLevel:
         self.tokens = [b""] * size
         for token, i in j["model"]["vocab"].items():
             self.tokens[i] = bytes(map(byte.__getitem__, token))
+        if len({t for t in self.tokens if len(t) == 1}) < 256:
+            raise ValueError(f"{path} lacks some bytes")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of a space and each text."""
@@ -71,9 +75,6 @@ class ByteLevel:
             out.append(np.frombuffer(ids, "<u4"))
         return out
 
-    def forget(self) -> None:
-        self.encoder.forget()
-
 
 class Pieces:
     """A sentencepiece file that adds a space before each text."""
@@ -83,13 +84,75 @@ class Pieces:
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = m.get_piece_size()
-        self.tokens = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(m.id_to_piece, range(self.size)))]
+        pieces = list(map(m.id_to_piece, range(self.size)))
+        self.tokens = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # No merge crosses a turn to a space, nor a line end, which is a byte of its own after the added space.
+        self.by_words = PieceTokens(path).proven and [self.tokens[i] for i in m.encode("\na")] == [b" ", b"\n", b"a"] and not any("\n" in p for p in pieces)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, "<u4") for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+
+class Words:
+    """Ids of both sides of whole texts, each word's once during a task where its ids don't depend on what stands around it.
+
+    That is so where single spaces and line ends stand between words: both tokenizers cut before a space that follows
+    another character, and at line ends. Other texts are encoded whole. A text's ids are None where B's tokens are not
+    its bytes after a space; A has every byte as a token, so its tokens always are.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        #: Words and line ends with the word after them -> packed ids; b has None where the bytes differ.
+        self.ids_a: dict[str, bytes] = {}
+        self.ids_b: dict[str, bytes | None] = {}
+
+    def _learn(self, words: set[str]) -> tuple[dict, dict]:
+        """Both tables with the words in them; they start anew when full. Long words are in the returned ones only."""
+        new = list(words.difference(self.ids_a))
+        if len(self.ids_a) + len(new) > KEPT:
+            self.ids_a.clear()
+            self.ids_b.clear()
+            new = list(words)
+        get, split, long_a, long_b = self.b.tokens.__getitem__, self.a.encoder.split, {}, {}
+        for w, ids in zip(new, self.b.encode(new), strict=True):
+            if w[:1] == "\n":
+                text, ids = w, ids[1:]  # without the space that the library adds
+            else:
+                text = " " + w
+            kept = len(w) <= LONGEST
+            (self.ids_a if kept else long_a)[w] = split(text)
+            (self.ids_b if kept else long_b)[w] = array("I", ids).tobytes() if b"".join(map(get, ids)) == text.encode() else None
+        return (self.ids_a | long_a, self.ids_b | long_b) if long_a else (self.ids_a, self.ids_b)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        cut, words = [], set()
+        for t in texts:
+            if not self.b.by_words or not t or t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, UNEVEN)):
+                cut.append(None)
+            else:
+                cut.append(t.replace("\n", " \n").split(" "))
+                words.update(cut[-1])
+        ids_a, ids_b = self._learn(words)
+        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        out = []
+        for own in cut:
+            if own is None:
+                out.append(next(whole))
+            else:
+                b = list(map(ids_b.__getitem__, own))
+                out.append(None if None in b else (np.frombuffer(b"".join(map(ids_a.__getitem__, own)), "<u4"), np.frombuffer(b"".join(b), "<u4")))
+        return out
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        tokens = self.b.tokens
+        same = lambda ids, t: bool(t) and b"".join([tokens[i] for i in ids]) == (" " + t).encode()
+        return [(a, np.array(b, "<u4")) if same(b, t) else None for t, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True)]
 
     def forget(self) -> None:
-        pass
+        self.ids_a.clear()
+        self.ids_b.clear()
+        self.a.encoder.forget()
 
 
 class Sides:
@@ -131,22 +194,19 @@ def end_events(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataF
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sides = sides_of(path_a, path_b, pattern)
-        pack = zstandard.ZstdCompressor(level=1).compress
+        words = Words(*sides.both)
+        pack, none = zstandard.ZstdCompressor(level=1).compress, (np.zeros(0, "<u4"),) * 2
         for b in batches:
             for k in range(0, len(b), 200):
                 part, rows = b.iloc[k : k + 200], []
-                texts = part.text.tolist()
-                for number, (side, lengths, kind) in enumerate(zip(sides.both, sides.lengths, sides.kinds, strict=True)):
-                    for uid, doc_id, text, ids in zip(part.uid, part.doc_id.astype(object).where(part.doc_id.notna(), None), texts, side.encode(texts), strict=True):
-                        ok = bool(text) and b"".join(map(side.tokens.__getitem__, ids.tolist())) == (" " + text).encode()
-                        ids = ids if ok else ids[:0]
+                for uid, doc_id, both in zip(part.uid, part.doc_id.astype(object).where(part.doc_id.notna(), None), words.encode(part.text.tolist()), strict=True):
+                    for number, (ids, lengths, kind) in enumerate(zip(both or none, sides.lengths, sides.kinds, strict=True)):
                         starts = np.concatenate(([0], np.cumsum(lengths[ids[: len(ids) - 1]]))) if len(ids) > RUN else [0]
-                        rows += [(uid, doc_id, int(starts[i]), number, ok, pack(ids[i : i + RUN].astype(kind).tobytes())) for i in range(0, max(len(ids), 1), RUN)]
+                        rows += [(uid, doc_id, int(starts[i]), number, both is not None, pack(ids[i : i + RUN].astype(kind).tobytes())) for i in range(0, max(len(ids), 1), RUN)]
                 out = pd.DataFrame(rows, columns=["uid", "doc_id", "start", "side", "ok", "ids"])
                 yield out.assign(doc_id=pd.array(out.doc_id, "Int64"))
-        for side in sides.both:
-            side.forget()
-        del sides, side
+        words.forget()
+        del sides, words
         forget()
 
     own = docs.select("doc_id", text_of().alias("text")).withColumn("uid", F.monotonically_increasing_id())
