@@ -27,6 +27,8 @@ from .common import text_of, written
 
 #: Code points of a chunk and of what it shares with the next one, at first.
 CHUNK, OVERLAP = 16_384, 256
+#: Words whose counts a worker keeps during a task, and their length. A word takes about 150 bytes.
+KEPT, LONGEST = 600_000, 64
 TURN = regex.compile(r"(?<=\S) ")
 
 #: The split patterns of the known tokenizers; none matches across a turn from a character that is no white space to a space.
@@ -94,6 +96,37 @@ class PieceTokens:
         return np.searchsorted(letters, [p.end for p in self.model.encode(text, return_type="proto").pieces])
 
 
+class WordCounts:
+    """Counts of whole texts, each word's once during a task: the turns from a word to a single space are proven places, so a text's count is the sum of those of its words.
+
+    Each word but the first is counted with the space before it, which the sentencepiece library adds to a text by
+    itself. Texts with several spaces in a row, or a space at an end, are counted whole.
+    """
+
+    def __init__(self, tokens: JsonTokens | PieceTokens):
+        self.tokens, self.lead = tokens, " " if isinstance(tokens, JsonTokens) else ""
+        self.kept: dict[str, int] = {}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        cut = [None if t[:1] == " " or t[-1:] == " " or "  " in t or not t else t.split(" ") for t in texts]
+        words = set()
+        for own in cut:
+            if own:
+                words.update(own[1:])
+        new = list(words.difference(self.kept))
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = list(words)
+        found = dict(zip(new, self.tokens.counts([self.lead + w for w in new]), strict=True))
+        table = self.kept
+        if any(len(w) > LONGEST for w in new):
+            table = self.kept | found
+            found = {w: n for w, n in found.items() if len(w) <= LONGEST}
+        self.kept.update(found)
+        rest = iter(self.tokens.counts([t if own is None else own[0] for t, own in zip(texts, cut, strict=True)]))
+        return [next(rest) + (sum(map(table.__getitem__, own[1:])) if own else 0) for own in cut]
+
+
 @lru_cache(maxsize=2)
 def tokens_of(path: str) -> JsonTokens | PieceTokens:
     return JsonTokens(path) if path.endswith(".json") else PieceTokens(path)
@@ -186,7 +219,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
     No begin, end or other added tokens; special strings inside texts as the library takes them by default (the
     tokenizers library gives <|endoftext|> its own id). Null or empty texts have 0 of both. Repeated rows give
     repeated rows, also with a null doc_id; further columns are ignored; empty docs give no rows. Texts of up to chunk
-    code points are encoded whole; where no splice is proven for a tokenizer (see proven), all texts are.
+    code points are counted by their words (see WordCounts); where no splice is proven for a tokenizer (see proven),
+    every text is encoded whole.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     proven = tokens_of(path).proven
@@ -194,11 +228,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = tokens_of(path)
+        counter = WordCounts(tokens) if proven else tokens
         for b in batches:
             texts = b.text.tolist()
-            n = [c for k in range(0, len(texts), 256) for c in tokens.counts(texts[k : k + 256])]
+            n = [c for k in range(0, len(texts), 256) for c in counter.counts(texts[k : k + 256])]
             yield pd.DataFrame({"doc_id": b.doc_id, "n_bytes": b.n_bytes, "n_tokens": n})
-        del tokens
+        del tokens, counter
         forget()
 
     out = small.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
