@@ -9,14 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timegrid import bucket, micros, steps
+from ..functions.timegrid import after, bucket, micros, steps
+from . import ranges
+
+#: Buckets that one row of a grid is made into at a time.
+STRETCH = 10_000
 
 
 def grid(spans: DataFrame, resolution_s: int) -> DataFrame:
-    """One row for each bucket of (keys, start, end), both ends included, as ts."""
+    """One row for each bucket of (keys, start, end), both ends included, as ts. A long span is cut into stretches first, which tasks share."""
     last = F.timestamp_add("MICROSECOND", F.lit(1), F.col("end"))
     keys = [c for c in spans.columns if c not in ("start", "end")]
-    return spans.select(*keys, F.explode(steps(F.col("start"), last, resolution_s)).alias("ts"))
+    long_s = resolution_s * STRETCH
+    cut = spans.select(*keys, "start", last.alias("_end"), F.explode(steps(F.col("start"), last, long_s)).alias("_from"))
+    dealt = cut.repartition(*keys, "_from") if keys else cut.repartition("_from")
+    return dealt.select(*keys, F.explode(steps(F.greatest("start", "_from"), F.least("_end", after("_from", long_s)), resolution_s)).alias("ts"))
 
 
 def regular(df: DataFrame, keys: Sequence[str], resolution_s: int) -> DataFrame:
@@ -25,19 +32,28 @@ def regular(df: DataFrame, keys: Sequence[str], resolution_s: int) -> DataFrame:
     return grid(spans, resolution_s).join(df, [*keys, "ts"], "left")
 
 
-def linear_fill(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Nulls between two values lie on the line between them; after the last value they repeat it; before the first they stay."""
-    # Both frames grow row by row; one that shrinks to the end would be computed anew for each row.
-    w = Window.partitionBy(*keys)
+def linear_fill(df: DataFrame, keys: Sequence[str], columns: Sequence[str], width: int | None = None) -> DataFrame:
+    """Nulls between two values lie on the line between them; after the last value they repeat it; before the first they stay.
+
+    Each range of time (width in microseconds, measured by default) is filled by itself, with the last value before it and the first one after it.
+    """
+    rows = ranges.parted(df, keys, width or ranges.width(df, keys))
     t = micros("ts")
+    here = {c: F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).alias("v"))) for c in columns}
+    ends = rows.groupBy(ranges.PART).agg(*[f(here[c]).alias(f"{side}{k}") for k, c in enumerate(columns) for f, side in ((F.min, "_first"), (F.max, "_last"))])
+    handed = [F.last(f"{side}{k}", ignorenulls=True).over(ranges.along(keys, side == "_last")).alias(f"_from{side}{k}") for k in range(len(columns)) for side in ("_first", "_last")]
+    # Both frames grow row by row; one that shrinks to the end would be computed anew for each row.
+    w = Window.partitionBy(ranges.PART)
     back, ahead = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("ts"), F.desc("ts")))
+    near = {f"_{side}{k}": F.last(here[c], ignorenulls=True).over(o) for k, c in enumerate(columns) for side, o in (("p", back), ("n", ahead))}
+    both = ranges.handed_on(rows.withColumns(near), ends.select(ranges.PART, *handed))
     out = {}
-    for c in columns:
-        here = F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).alias("v")))
-        p, n = F.last(here, ignorenulls=True).over(back), F.last(here, ignorenulls=True).over(ahead)
+    for k, c in enumerate(columns):
+        p, n = F.coalesce(f"_p{k}", f"_from_last{k}"), F.coalesce(f"_n{k}", f"_from_first{k}")
         between = p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"])
         out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(n.isNull(), p["v"]).otherwise(between)
-    return df.withColumns(out)
+    shown = dict(zip(keys, ranges.keys_of(keys), strict=True))
+    return both.withColumns(out).select(*[shown.get(c, F.col(c)) for c in df.columns])
 
 
 def resampled(df: DataFrame, columns: Sequence[str], resolution_s: int) -> DataFrame:

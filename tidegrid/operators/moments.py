@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timegrid import TimeInterval, bucket
 from ..schema import ID, MOMENTS
+from . import ranges
 
 
 def observed(series: DataFrame, interval: TimeInterval | None = None, skip_zeros: bool = False) -> DataFrame:
@@ -68,27 +69,51 @@ def combined(moments: DataFrame, keys: Sequence[str], near: float | Column = 1.0
     )
 
 
-def folded(order: Sequence[str], weight: str = "length") -> Column:
-    """The order-dependent merge of a group's parts, as an aggregate: struct(weight, count, mean, m2, m3, m4).
+def folded(parts: DataFrame, keys: Sequence[str], start: str, width: int | None = None) -> DataFrame:
+    """parts (length, count, mean, m2, m3, m4) with the terms of their order-dependent merge, for folded_sums() to add up by key.
 
-    Parts are merged one by one in the given order; the 3rd and 4th moment leave out the cross terms with the lower
-    ones, so another order or grouping gives another result. Parts of weight 0 change nothing.
+    Parts of a key are merged one by one in order of start; the 3rd and 4th moment leave out the cross terms with the
+    lower ones, so another order or grouping gives another result. Merging part k into the parts before it, of length W
+    and mean M, moves the mean to N and adds W (M - N)^d and length (m_d + (mean - N)^d) to the d-th moment's sum: W
+    and M are running sums, so no key's parts are collected. With a width (in microseconds) the sums run within ranges
+    of start, each with those of the key's ranges before it. Parts of length 0 change nothing, null parts are left out.
     """
-    part = F.struct(*order, F.col(weight).alias("w"), F.col("count").cast("long").alias("n"), *MOMENTS)
-    parts = F.array_sort(F.collect_list(F.when(F.col(weight).isNotNull(), part)))
-    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(m) for m in MOMENTS])
-
-    def merge(a: Column, b: Column) -> Column:
-        total = a["w"] + b["w"]
-        mean = F.when(total > 0, (a["w"] * a["mean"] + b["w"] * b["mean"]) / total).otherwise(0.0)
-
-        def moment(d: int) -> Column:
-            sides = [x["w"] * (x[f"m{d}"] + F.pow(x["mean"] - mean, F.lit(float(d)))) for x in (a, b)]
-            return F.when(total > 0, (sides[0] + sides[1]) / total).otherwise(0.0)
-
-        return F.struct(total.alias("w"), (a["n"] + b["n"]).alias("n"), mean.alias("mean"), *[moment(d).alias(f"m{d}") for d in (2, 3, 4)])
-
-    return F.aggregate(parts, zero, merge)
+    w, mean = F.coalesce("length", F.lit(0.0)), F.coalesce("mean", F.lit(0.0))
+    rows, inner = parts.withColumns({"_w": w, "_s": w * mean}), list(keys)
+    if width:
+        at = ranges.position(parts, start)
+        rows, inner = rows.withColumn("_from", at - F.pmod(at, F.lit(width))), [*keys, "_from"]
+    order = Window.partitionBy(*inner).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0.0))
+    rows = rows.withColumns({"_w0": total("_w"), "_s0": total("_s")})
+    if width:
+        sums = rows.groupBy(F.struct(*inner).alias(ranges.PART)).agg(F.sum("_w").alias("_w"), F.sum("_s").alias("_s"))
+        earlier = sums.select(ranges.PART, *[F.coalesce(F.sum(c).over(ranges.along(keys)), F.lit(0.0)).alias(f"{c}1") for c in ("_w", "_s")])
+        joined = ranges.handed_on(rows.withColumn(ranges.PART, F.struct(*inner)), earlier).drop(ranges.PART)
+        rows = joined.withColumns({f"{c}0": F.col(f"{c}0") + F.col(f"{c}1") for c in ("_w", "_s")})
+    ratio = lambda s, w: F.when(w > 0, s / w).otherwise(0.0)
+    w0, s0 = F.col("_w0"), F.col("_s0")
+    rows = rows.withColumns({"_m0": ratio(s0, w0), "_m1": ratio(s0 + F.col("_s"), w0 + F.col("_w"))})
+    to = F.col("_m1")
+    terms = {f"_t{d}": w0 * F.pow(F.col("_m0") - to, F.lit(float(d))) + F.col("_w") * (F.col(f"m{d}") + F.pow(F.col("mean") - to, F.lit(float(d)))) for d in (2, 3, 4)}
+    return rows.withColumns(terms)
+
+
+def folded_sums(start: str, end: str) -> list[Column]:
+    """What folded() gives, added up by key, with the first start and the last end; moments still times the length."""
+    length = F.sum("_w")
+    return [
+        F.min(start).alias("seg_start"),
+        F.max(end).alias("seg_end"),
+        length.alias("length"),
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("count"),
+        F.when(length > 0, F.sum("_s") / length).otherwise(0.0).alias("mean"),
+        *[F.coalesce(F.sum(f"_t{d}"), F.lit(0.0)).alias(f"m{d}") for d in (2, 3, 4)],
+    ]
+
+
+def per_length(moment: str) -> Column:
+    return F.when(F.col("length") > 0, F.col(moment) / F.col("length")).otherwise(0.0).alias(moment)
 
 
 def standardized(moments: DataFrame) -> DataFrame:

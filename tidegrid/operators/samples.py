@@ -7,17 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
 
-def sliding_samples(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lookback: int, horizon: int) -> DataFrame:
+
+#: Rows of a stretch of a series whose samples are made together, at least.
+STRETCH = 4_096
+
+
+def stretches(df: DataFrame, keys: Sequence[str], before: int, after: int, width: int | None = None, stretch: int = STRETCH) -> DataFrame:
+    """df with _at, each row's number in its key's time order from 0 on, and _stretch, the run of equal length that it is dealt to.
+
+    A row is its own stretch's (_mine) and also goes to the next one if that begins within before rows, and to the one
+    before if that ended within after rows, so that windows of such frames by (keys, _stretch) over _at are whole for
+    the rows with _mine = _stretch. width: of the ranges of time in which rows are numbered, in microseconds; measured
+    by default.
+    """
+    rows = ranges.numbered(df, keys, width or ranges.width(df, keys)).withColumn("_at", F.col("_n") - 1).drop("_n")
+    size = max(stretch, before, after, 1)
+    mine, place = F.floor(F.col("_at") / size), F.pmod("_at", F.lit(size))
+    parts = F.array_compact(F.array(mine, F.when(place >= size - before, mine + 1), F.when((place < after) & (mine > 0), mine - 1)))
+    return rows.withColumn("_mine", mine).withColumn("_stretch", F.explode(parts))
+
+
+def sliding_samples(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lookback: int, horizon: int, width: int | None = None, stretch: int = STRETCH) -> DataFrame:
     """(keys, ts, <c>_past, <c>_future): at each time the lookback values before it and the horizon values from it on, in order.
 
-    Only samples with all of both are given, so a key with n rows has n - lookback - horizon + 1.
+    Only samples with all of both are given, so a key with n rows has n - lookback - horizon + 1. Samples are made by
+    stretches of a series.
     """
-    w = Window.partitionBy(*keys).orderBy("ts")
+    dealt = stretches(df.select(*keys, "ts", *columns), keys, lookback, horizon - 1, width, stretch)
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at")
     past, future = w.rowsBetween(-lookback, -1), w.rowsBetween(0, horizon - 1)
-    out = df.withColumns({"_n_past": F.count(F.lit(1)).over(past), "_n_future": F.count(F.lit(1)).over(future)})
+    out = dealt.withColumns({"_n_past": F.count(F.lit(1)).over(past), "_n_future": F.count(F.lit(1)).over(future)})
     out = out.withColumns({f"{c}_{s}": F.collect_list(F.coalesce(c, F.lit(float("nan")))).over(o) for c in columns for s, o in (("past", past), ("future", future))})
-    return out.where((F.col("_n_past") == lookback) & (F.col("_n_future") == horizon)).select(*keys, "ts", *[f"{c}_{s}" for c in columns for s in ("past", "future")])
+    whole = (F.col("_mine") == F.col("_stretch")) & (F.col("_n_past") == lookback) & (F.col("_n_future") == horizon)
+    return out.where(whole).select(*keys, "ts", *[f"{c}_{s}" for c in columns for s in ("past", "future")])
 
 
 def sample_rows(samples: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import calendar as cal
 from .functions import quantiles as qt
 from .functions import timegrid as tg
-from .operators import clustering, gapfill, kernels, moments, profiles, regression, samples, segments
+from .operators import autocorrelation, clustering, gapfill, kernels, moments, neighbours, profiles, regression, samples, segments
 from .plans.learner import CumulantLearner
 from .plans.transform import CumulantTransform, scores
 from .schema import ID, MOMENTS, series
@@ -148,18 +148,10 @@ def holiday_join(spark, sf):
 PAIRS = f"SELECT * FROM (SELECT source, lag(ts) OVER w AS ta, lag(value) OVER w AS va, ts AS tb, value AS vb FROM (SELECT source, ts, min(value) AS value FROM ({BY_TYPE}) GROUP BY source, ts) WINDOW w AS (PARTITION BY source ORDER BY ts)) WHERE ta IS NOT NULL"
 
 
-def _pairs(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("ts")
-    one = by_type(spark, sf).groupBy("source", "ts").agg(F.min("value").alias("value"))
-    return one.select("source", F.lag("ts").over(w).alias("ta"), F.lag("value").over(w).alias("va"), F.col("ts").alias("tb"), F.col("value").alias("vb")).where("ta is not null")
-
-
 def _integrals(spark, sf, kind: str):
     c = [F.col(x) for x in ("ta", "va", "tb", "vb")]
     value = segments.INTEGRALS[kind](*c, F.timestamp_add("SECOND", F.lit(-10), F.col("ta")), F.timestamp_add("SECOND", F.lit(10), F.col("tb")))
-    return rounded(_pairs(spark, sf).select("source", "tb", value.alias("integral")), 1)
+    return rounded(segments.pairs(by_type(spark, sf)).select("source", "tb", value.alias("integral")), 1)
 
 
 @query(
@@ -184,10 +176,10 @@ p AS (SELECT source, step, i0, i1, length, (i0 = ta)::BIGINT AS count, mean,
 """ + ",\n".join(f"((pow(vb - mean, {d}) - pow(va - mean, {d})) / l * (x1 * x1 - x0 * x0) / 2 + pow(va - mean, {d}) * (x1 - x0)) / length AS m{d}" for d in (2, 3, 4)) + " FROM m)"
 
 
-@query(f"WITH {_PIECES} SELECT source, step, i0, i1, round(length, 6) AS length, count, round(mean, 4) AS mean, round(m2, 4) AS m2, round(m3, 2) AS m3 FROM p")
+@query(f"WITH {_PIECES} SELECT source, step, i0, i1, round(length, 6) AS length, count, round(mean, 4) AS mean, round(m2, 4) AS m2, round(m3, 2) AS m3, round(m4, 1) AS m4 FROM p")
 def pair_segments(spark, sf):
     p = segments.pieces(by_type(spark, sf), HOUR)
-    return p.select("source", "step", "i0", "i1", F.round("length", 6).alias("length"), "count", F.round("mean", 4).alias("mean"), F.round("m2", 4).alias("m2"), (F.round("m3", 2) + 0.0).alias("m3"))
+    return p.select("source", "step", "i0", "i1", F.round("length", 6).alias("length"), "count", F.round("mean", 4).alias("mean"), F.round("m2", 4).alias("m2"), (F.round("m3", 2) + 0.0).alias("m3"), (F.round("m4", 1) + 0.0).alias("m4"))
 
 
 _FOLD = """list_reduce(list({'w': length, 'n': count, 'mean': mean, 'm2': m2, 'm3': m3, 'm4': m4} ORDER BY i0), lambda a, b: {'w': a.w + b.w, 'n': a.n + b.n,
@@ -201,25 +193,85 @@ def _level(name: str, parent: str, parent_s: int, r: int) -> str:
 {name} AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM {name}p GROUP BY source, step)"""
 
 
-_SEGMENTS = f"WITH {_PIECES}, a AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM p GROUP BY source, step), {_level('b', 'a', HOUR, 2 * HOUR)}, {_level('c2', 'b', 2 * HOUR, 6 * HOUR)}, {_level('d', 'b', 2 * HOUR, DAY)} " + " UNION ALL ".join(
-    f"SELECT source, {r}::BIGINT AS resolution_s, i0 AS seg_start, i1 AS seg_end, round(s.w, 4) AS length, s.n::BIGINT AS count, round(s.mean, 4) AS mean, round(s.m2, 3) AS m2, i1 = step + INTERVAL '{r} seconds' AS complete FROM {t}" for t, r in (("a", HOUR), ("b", 2 * HOUR), ("c2", 6 * HOUR), ("d", DAY))
-)
+_STEPS = _PIECES[: _PIECES.index("m AS (")] + "p AS (SELECT source, step, i0, i1, length, (i0 = ta)::BIGINT AS count, va AS mean, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS m3, 0.0::DOUBLE AS m4 FROM x)"
+
+
+def _segments_sql(pieces: str, select: str) -> str:
+    return f"WITH {pieces}, a AS (SELECT source, step, min(i0) AS i0, max(i1) AS i1, {_FOLD} FROM p GROUP BY source, step), {_level('b', 'a', HOUR, 2 * HOUR)}, {_level('c2', 'b', 2 * HOUR, 6 * HOUR)}, {_level('d', 'b', 2 * HOUR, DAY)} " + " UNION ALL ".join(
+        f"SELECT {select.format(r=r)} FROM {t}" for t, r in (("a", HOUR), ("b", 2 * HOUR), ("c2", 6 * HOUR), ("d", DAY))
+    )
 
 
-@query(_SEGMENTS)
+_SEGMENT = "source, {r}::BIGINT AS resolution_s, i0 AS seg_start, i1 AS seg_end, round(s.w, 4) AS length, s.n::BIGINT AS count, round(s.mean, 4) AS mean, round(s.m2, 3) AS m2, round(s.m3, 2) AS m3, round(s.m4, 1) AS m4, i1 = step + INTERVAL '{r} seconds' AS complete"
+
+
+def _shown(segments_: DataFrame) -> DataFrame:
+    digits = {"length": 4, "mean": 4, "m2": 3, "m3": 2, "m4": 1}
+    return segments_.select("source", "resolution_s", "seg_start", "seg_end", "count", "complete", *[(F.round(c, n) + 0.0).alias(c) for c, n in digits.items()])
+
+
+@query(_segments_sql(_PIECES, _SEGMENT))
 def segment_cascade(spark, sf):
-    s = segments.segments(by_type(spark, sf), TREE)
-    return s.select("source", "resolution_s", "seg_start", "seg_end", F.round("length", 4).alias("length"), "count", F.round("mean", 4).alias("mean"), F.round("m2", 3).alias("m2"), "complete")
+    return _shown(segments.segments(by_type(spark, sf), TREE))
 
 
-@query()
+@query(_segments_sql(_STEPS, _SEGMENT))
 def segments_step(spark, sf):
-    return segments.segments(by_type(spark, sf), TREE, "step")
+    return _shown(segments.segments(by_type(spark, sf), TREE, "step"))
 
 
-@query()
+@query(
+    f"SELECT source, time_bucket(INTERVAL '1 day', seg_start, TIMESTAMP '1970-01-01') AS ts, round(length / {DAY}, 6) AS weight, round(mean, 4) AS mean, round(m2, 3) AS m2, round(m3, 2) AS m3, round(m4, 1) AS m4 FROM ("
+    + _segments_sql(_PIECES, "source, i0 AS seg_start, s.w AS length, s.mean AS mean, s.m2 AS m2, s.m3 AS m3, s.m4 AS m4, {r} AS r, i1 = step + INTERVAL '{r} seconds' AS complete")
+    + f") WHERE r = {DAY} AND complete"
+)
 def covered_moments(spark, sf):
-    return segments.covered_moments(segments.segments(by_type(spark, sf), TREE, open_too=False), DAY)
+    m = segments.covered_moments(segments.segments(by_type(spark, sf), TREE, open_too=False), DAY)
+    return m.select("source", "ts", *[(F.round(c, n) + 0.0).alias(c) for c, n in {"weight": 6, "mean": 4, "m2": 3, "m3": 2, "m4": 1}.items()])
+
+
+def _arriving(spark, sf, parts: int, start) -> None:
+    """The events as files that arrive one after the other, by time; each time start(stream) is run on all that there is."""
+    from .sources.shared import shared_folder
+
+    rows = read(spark, sf, "events").select("ts", "event_type", "user_id", "value").where("ts is not null")
+    folder = shared_folder(spark, "events")
+    us = tg.micros("ts")
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    for k in range(parts):
+        low, high = (None if first is None else first + (last + 1 - first) * i // parts for i in (k, k + 1))
+        rows.where((us >= F.lit(low)) & (us < F.lit(high))).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
+def _live(spark, sf) -> tuple[str, str]:
+    """(folder of written segments, checkpoint) of a stream over the events that is stopped half way and goes on from its checkpoint."""
+    from .sources.shared import shared_folder
+    from .streaming import live
+
+    folder, checkpoint = shared_folder(spark, "segments"), shared_folder(spark, "checkpoint")
+
+    def start(events):
+        return live.written_live(live.live_segments(series(events, source=F.col("event_type"), value_type="V", category="all"), TREE), folder, checkpoint)
+
+    _arriving(spark, sf, 2, start)
+    return folder, checkpoint
+
+
+@query(f"SELECT * FROM ({_segments_sql(_PIECES, _SEGMENT)}) WHERE complete")
+def stream_finished(spark, sf):
+    """Segments that a stream has written, each once its bucket was full."""
+    from .streaming import live
+
+    return _shown(live.written_segments(spark, _live(spark, sf)[0]))
+
+
+@query(_segments_sql(_PIECES, _SEGMENT))
+def stream_open_too(spark, sf):
+    """Written segments and those under way in the state store together."""
+    from .streaming import live
+
+    return _shown(live.segment_table(spark, *_live(spark, sf)))
 
 
 FACTORS = f"SELECT source, value_type, category, avg(mean) AS factor FROM ({BUCKETS.format(r=DAY, v=BY_USER)}) GROUP BY ALL"
@@ -270,9 +322,25 @@ def ruled_cumulants(spark, sf):
 
 @query(f"SELECT category, cluster, ts, n_members, round(mean, 6) AS mean, round(stdev, 6) AS stdev, CASE WHEN n_members > 1 THEN round(skewness, 4) ELSE 0 END AS skewness, CASE WHEN n_members > 1 THEN round(kurtosis, 4) ELSE 0 END AS kurtosis FROM ({STANDARD})")
 def cumulants(spark, sf):
+    return _shown_cumulants(ruled_cumulants(spark, sf))
+
+
+def _shown_cumulants(rows: DataFrame) -> DataFrame:
     one = F.col("n_members") > 1
     shown = {c: F.when(one, F.round(c, 4) + 0.0).otherwise(F.lit(0.0)).alias(c) for c in ("skewness", "kurtosis")}
-    return ruled_cumulants(spark, sf).select("category", "cluster", "ts", "n_members", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), shown["skewness"], shown["kurtosis"])
+    return rows.select("category", "cluster", "ts", "n_members", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), shown["skewness"], shown["kurtosis"])
+
+
+@query(ORACLE["cumulants"])
+def incremental_cumulants(spark, sf):
+    """The same from power sums that three micro-batches have appended."""
+    from .sources.shared import shared_folder
+    from .streaming.increments import PowerSums
+
+    sums, checkpoint = PowerSums(spark, shared_folder(spark, "sums"), DAY), shared_folder(spark, "checkpoint")
+    _arriving(spark, sf, 3, lambda events: sums.follow(series(events, source=F.col("user_id"), value_type="V", category=F.col("user_id") % 3), checkpoint))
+    m = sums.moments()
+    return _shown_cumulants(moments.cumulants(m, moments.factors(m), ruled_membership(spark, sf)))
 
 
 def _qcf(q: float) -> str:
@@ -501,16 +569,29 @@ def backtest(spark, sf):
     return e.tables["winkler_score"]
 
 
-@query()
+_LAGS, _RADIUS = 48, 2.5758293035489004  # Fixed value: the normal quantile of 0.995.
+_PACF = f"""WITH RECURSIVE b AS ({BUCKETS.format(r=HOUR, v=BY_TYPE)}), {_REGULAR.replace("10 minutes", "1 hour")},
+f AS (SELECT source, ts, CASE WHEN mean IS NOT NULL THEN mean WHEN tn IS NULL THEN vp ELSE vp + (vn - vp) * (epoch_us(ts) - epoch_us(tp)) / (epoch_us(tn) - epoch_us(tp)) END AS x FROM s),
+d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY ts) AS i, count(*) OVER (PARTITION BY source) AS n, x - avg(x) OVER (PARTITION BY source) AS d FROM f),
+c AS (SELECT a.source, any_value(a.n) AS n, k, sum(a.d * b.d) / (any_value(a.n) - k) AS c FROM d a CROSS JOIN range({_LAGS + 1}) t(k) JOIN d b ON b.source = a.source AND b.i = a.i - k GROUP BY a.source, k),
+cs AS (SELECT source, any_value(n) AS n, list(c ORDER BY k) AS c FROM c GROUP BY source),
+p(source, k, phi, error, score) AS (SELECT source, 0, []::DOUBLE[], c[1], 1.0::DOUBLE FROM cs
+    UNION ALL SELECT source, k + 1, list_append(list_transform(phi, lambda x, j: x - r * phi[k + 1 - j]), r), error * (1 - r * r), r
+    FROM (SELECT p.source, p.k, p.phi, p.error, (cs.c[p.k + 2] - coalesce(list_sum(list_transform(p.phi, lambda x, j: x * cs.c[p.k + 2 - j])), 0)) / p.error AS r FROM p JOIN cs ON cs.source = p.source WHERE p.k < {_LAGS})),
+s0 AS (SELECT p.source, k, CASE WHEN abs(score) <= 1 THEN score ELSE 0 END AS score, {_RADIUS} / sqrt(n) AS ci FROM p JOIN cs ON cs.source = p.source),
+o AS (SELECT *, sum(CASE WHEN abs(score) < ci THEN 0 ELSE pow(score - ci, 2) END) OVER (PARTITION BY source ORDER BY k DESC) AS rest FROM s0),
+u AS (SELECT *, 1 - sum(rest) OVER (PARTITION BY source ORDER BY k) / CASE WHEN sum(rest) OVER w > 0 THEN sum(rest) OVER w ELSE 1 END AS y FROM o WINDOW w AS (PARTITION BY source)),
+v AS (SELECT *, 1 - (y - min(y) OVER w) / nullif(max(y) OVER w - min(y) OVER w, 0) - k / {_LAGS}.0 AS h FROM u WINDOW w AS (PARTITION BY source)),
+e AS (SELECT *, h > lag(h) OVER w AND h >= lead(h) OVER w AS peak, h < lag(h) OVER w AND h <= lead(h) OVER w AS dip FROM v WINDOW w AS (PARTITION BY source ORDER BY k)),
+t AS (SELECT *, coalesce(min(CASE WHEN peak OR dip THEN k END) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), {_LAGS + 1}) AS turn FROM e),
+q AS (SELECT t.source, min(t.k) AS place FROM t JOIN t j ON j.source = t.source AND j.k > t.k AND j.k < t.turn AND j.h < t.h - 1.0 / {_LAGS} WHERE t.peak GROUP BY t.source)
+SELECT s0.source, k::INT AS lag, round(score, 6) AS score, k <= coalesce(place, {_LAGS}) AS selected, round(ci, 6) AS ci FROM s0 LEFT JOIN q ON q.source = s0.source"""
+
+
+@query(_PACF)
 def partial_autocorrelation(spark, sf):
-    def run(pdf):
-        import pandas as pd
-
-        lag, (score,), radius = kernels.significant_lag([pdf.sort_values("ts")["mean"].to_numpy(float)], 48)
-        return pd.DataFrame({"source": pdf.source.iloc[0], "lag": np.arange(len(score)), "score": score, "selected": np.arange(len(score)) <= lag, "ci": radius})
-
-    m = gapfill.linear_fill(gapfill.regular(moments.bucket_moments(by_type(spark, sf), HOUR).select("source", "ts", "mean"), ["source"], HOUR), ["source"], ["mean"])
-    return m.groupBy("source").applyInPandas(run, "source string, lag int, score double, selected boolean, ci double")
+    m = gapfill.linear_fill(gapfill.regular(moments.bucket_moments(by_type(spark, sf), HOUR).select("source", "ts", "mean"), ["source"], HOUR), ["source"], ["mean"], HOUR * 1_000_000 * 256)
+    return rounded(autocorrelation.partial_autocorrelations(m, ["source"], "mean", _LAGS, width=HOUR * 1_000_000 * 256))
 
 
 def _matrix(spark, sf, columns: int = 0) -> np.ndarray:
@@ -538,16 +619,35 @@ def _scatter(spark, sf) -> tuple[int, np.ndarray]:
     return n, s
 
 
-@query()
+_GAPPED = "SELECT vec_id, list_transform(embedding, lambda x, j: CASE WHEN vec_id % 7 = 0 AND j = 4 OR vec_id % 11 = 0 AND j = 6 THEN NULL ELSE x::DOUBLE END) AS v FROM embeddings"
+
+
+@query(
+    f"""WITH g AS ({_GAPPED}), w AS (SELECT vec_id AS q, j, v FROM g, range(1, 65) t(j) WHERE v[j] IS NULL),
+    d AS (SELECT q, j, vec_id, g.v[j] AS x, row_number() OVER (PARTITION BY q, j ORDER BY list_sum(list_transform(list_zip(w.v, g.v), lambda z: pow(z[1] - z[2], 2))) / len(list_filter(list_zip(w.v, g.v), lambda z: z[1] - z[2] IS NOT NULL)), vec_id) AS k FROM w JOIN g ON g.v[j] IS NOT NULL)
+    SELECT q AS id, (j - 1)::INT AS "column", round(avg(x), 9) AS value FROM d WHERE k <= 5 GROUP BY q, j"""
+)
 def knn_impute(spark, sf):
-    x = _matrix(spark, sf, 8)
-    x[np.arange(len(x)) % 7 == 0, 3] = np.nan
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(kernels.impute_nearest(x)[:, 3])], "row int, value double")
+    """Component 3 of every 7th vector and component 5 of every 11th one count as missing."""
+    gap = lambda j: ((F.col("vec_id") % 7 == 0) & (j == 3)) | ((F.col("vec_id") % 11 == 0) & (j == 5))
+    x = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x, j: F.when(~gap(j), x.cast("double"))).alias("v"))
+    return rounded(neighbours.imputed(x, "vec_id", "v"), 9)
 
 
-@query()
+def _uniform(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '1', {', '.join(parts)})), 1, 13))::BIGINT / pow(2, 52))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS n, count(*) OVER () AS total FROM embeddings),
+    s AS (SELECT i::INT AS "row", vec_id AS base, v, 1 + floor({_uniform("i", "'other'")} * 5) AS pick FROM range(100) t(i) JOIN e ON n = 1 + floor({_uniform("i", "'base'")} * total)),
+    d AS (SELECT "row", base, s.v, pick, e.vec_id AS other, e.v AS w, row_number() OVER (PARTITION BY "row" ORDER BY list_sum(list_transform(list_zip(s.v, e.v), lambda z: pow(z[1] - z[2], 2))), e.vec_id) AS k FROM s JOIN e ON e.vec_id <> base)
+    SELECT "row", base, other, list_transform(list_zip(v, w), lambda z, j: round(z[1] + (z[2] - z[1]) * {_uniform('"row"', "j - 1")}, 6)) AS value FROM d WHERE k = pick"""
+    .replace("SELECT \"row\", base, other, list_transform(", "SELECT \"row\", base, other, round(list_sum(list_transform(").replace(", 6)) AS value FROM d WHERE", ", 6))), 4) AS value FROM d WHERE")
+)
 def synthetic_samples(spark, sf):
-    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(kernels.synthetic_samples(_matrix(spark, sf), 100))], "row int, value array<double>")
+    s = neighbours.synthetic(read(spark, sf, "embeddings"), "vec_id", "embedding", 100)
+    return s.select("row", "base", "other", F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + F.round(x, 6)), 4).alias("value"))
 
 
 @query()
