@@ -17,6 +17,8 @@ from ..functions.timegrid import micros
 
 #: Rows of a range on average: at least, and at most; in between four ranges for each task that can run at once.
 LEAST, MOST = 1_000, 1_000_000
+#: Wider than any time: 300,000 years in microseconds.
+WIDEST = 1 << 63
 #: The column that deals rows: a struct of the keys and the range's start, which compares null keys as equal.
 PART = "_part"
 
@@ -35,12 +37,10 @@ def width(df: DataFrame, keys: Sequence[str], order: str = "ts", rows: int | Non
     """The width of ranges, in the unit of position(), by one pass over keys and order: first, last and number of each key's rows."""
     at = position(df, order)
     spans = df.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), (F.max(at) - F.min(at) + 1).alias("span"))
-    if rows is None:
-        total = spans.agg(F.sum("n")).first()[0] or 0
-        rows = min(max(total // (4 * df.sparkSession.sparkContext.defaultParallelism), LEAST), MOST)
-    dense = F.min(F.when(F.col("n") > rows, F.floor(F.col("span") * (F.lit(float(rows)) / F.col("n")))))
-    found = spans.agg(F.max("span"), dense).first()
-    return max(1, int(found[1] if found[1] is not None else found[0] or 1))
+    dense = F.max(F.when(F.col("n") > min(rows or LEAST, LEAST), F.col("n") / F.col("span")))
+    total, span, density = spans.agg(F.sum("n"), F.max("span"), dense).first()
+    rows = rows or min(max((total or 0) // (4 * df.sparkSession.sparkContext.defaultParallelism), LEAST), MOST)
+    return max(1, min(int(rows / density) if density else WIDEST, span or 1))
 
 
 def parted(df: DataFrame, keys: Sequence[str], width: int, order: str = "ts") -> DataFrame:

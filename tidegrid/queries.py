@@ -413,7 +413,7 @@ s AS (SELECT *, last_value(CASE WHEN mean IS NOT NULL THEN ts END IGNORE NULLS)
 @query(f"WITH b AS ({BUCKETS.format(r=600, v=BY_TYPE)}), {_REGULAR} SELECT source, ts, round(CASE WHEN mean IS NOT NULL THEN mean WHEN tn IS NULL THEN vp ELSE vp + (vn - vp) * (epoch_us(ts) - epoch_us(tp)) / (epoch_us(tn) - epoch_us(tp)) END, 9) AS mean FROM s")
 def linear_gap_fill(spark, sf):
     b = moments.bucket_moments(by_type(spark, sf), 600).select("source", "ts", "mean")
-    return rounded(gapfill.linear_fill(gapfill.regular(b, ["source"], 600), ["source"], ["mean"]), 9)
+    return rounded(gapfill.linear_fill(gapfill.regular(b, ["source"], 600), ["source"], ["mean"], 600 * 1_000_000 * 1_024), 9)
 
 
 @query(
