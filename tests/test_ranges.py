@@ -256,3 +256,37 @@ def test_power_sums_count_a_batch_once(spark, tmp_path):
         by.setdefault((s, t.replace(second=0)), []).append(v)
     for k, v in by.items():
         assert spread[k] == pytest.approx([np.mean((np.array(v) - np.mean(v)) ** d) for d in (2, 3, 4)], abs=1e-8)
+
+
+@pytest.mark.parametrize("bins,few", [(4, 3), (1_024, 10_000)])
+def test_quantiles_by_refinement_are_exact(spark, bins, few):
+    """Repeated, skewed, huge and few values; nulls and NaNs; a null key; a group of one."""
+    from tidegrid.operators.order_statistics import quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {"even": rng.normal(size=301), None: np.exp(rng.normal(0, 9, 200)), "hot": np.array([2.5] * 150 + [7.0] * 3 + [-1.0]), "one": np.array([4.0]), "wide": np.array([-1.7e308, 0.0, 1e-300, 1.0, 1.7e308]), "two": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("even", None), ("even", float("nan")), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    p = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.k: r[1:] for r in quantiles(frame, ["k"], "x", p, bins, few).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        x = np.sort(x)
+        at = [q * (len(x) - 1) for q in p]
+        assert got[k] == pytest.approx([x[int(a)] + (x[math.ceil(a)] - x[int(a)]) * (a - int(a)) for a in at])
+    assert quantiles(frame.limit(0), ["k"], "x", p).collect() == []
+
+
+def test_quantile_regression_equals_the_local_one(spark):
+    from tidegrid.operators import quantile_fit
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.gamma(2, 1, 400)
+    frame = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y, strict=True)], "x array<double>, y double").repartition(3).cache()
+    p = [0.1, 0.5, 0.9]
+    w = quantile_fit.fit(frame, p, steps=25)
+    local = [kernels.QuantileRegression(q, 25).fit(x, y).weights for q in p]
+    assert w.ravel() == pytest.approx(np.concatenate(local), abs=1e-6)
+    shown = quantile_fit.predicted(frame, w, ["a", "b", "c"], ["y"]).toPandas().sort_values("y")
+    assert shown.b.to_numpy() == pytest.approx((w[1, 0] + x @ w[1, 1:])[np.argsort(y)])

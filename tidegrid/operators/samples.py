@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
+from .order_statistics import quantiles
 
 
 #: Rows of a stretch of a series whose samples are made together, at least.
@@ -55,14 +56,17 @@ def scaler(df: DataFrame, keys: Sequence[str], column: str, method: str | None)
     minmax: to [0, 1]; absmax: to [-1, 1]; mean: mean 0 and population deviation 1; median: over the quartiles' distance.
     """
     x = F.col(column)
-    center, scale = {
-        "minmax": (F.min(x), F.max(x) - F.min(x)),
-        "absmax": (F.lit(0.0), F.max(F.abs(x))),
-        "mean": (F.avg(x), F.stddev_pop(x)),
-        "median": (F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))),
-        None: (F.lit(0.0), F.lit(1.0)),
-    }[method]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), center.alias("center"), scale.alias("scale"))
+    if method == "median":
+        q = quantiles(df, keys, column, (0.25, 0.5, 0.75))
+        out = q.select(*keys, F.col("q1").alias("center"), (F.col("q2") - F.col("q0")).alias("scale"))
+    else:
+        center, scale = {
+            "minmax": (F.min(x), F.max(x) - F.min(x)),
+            "absmax": (F.lit(0.0), F.max(F.abs(x))),
+            "mean": (F.avg(x), F.stddev_pop(x)),
+            None: (F.lit(0.0), F.lit(1.0)),
+        }[method]
+        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), center.alias("center"), scale.alias("scale"))
     return out.select(*keys, "center", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
 
 

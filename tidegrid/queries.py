@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import calendar as cal
 from .functions import quantiles as qt
 from .functions import timegrid as tg
-from .operators import autocorrelation, clustering, gapfill, kernels, moments, neighbours, profiles, regression, samples, segments
+from .operators import autocorrelation, clustering, gapfill, kernels, moments, neighbours, profiles, quantile_fit, regression, samples, segments
 from .plans.learner import CumulantLearner
 from .plans.transform import CumulantTransform, scores
 from .schema import ID, MOMENTS, series
@@ -685,9 +685,12 @@ def validity_scores(spark, sf):
 
 @query()
 def quantile_regression(spark, sf):
-    x = _matrix(spark, sf, 5)
-    p = kernels.MultiQuantileRegression([0.1, 0.5, 0.9]).fit_predict(x[:, 1:5], x[:, :1])
-    return spark.createDataFrame([(i, *map(float, r[0])) for i, r in enumerate(p)], "row int, q10 double, q50 double, q90 double")
+    """Component 0 of each vector by all others."""
+    from .sources.shared import checkpointed
+
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = checkpointed(read(spark, sf, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.get("v", F.lit(0)).alias("y"), F.slice("v", F.lit(2), F.size("v") - 1).alias("x")), "regression")
+    return quantile_fit.predicted(rows, quantile_fit.fit(rows.select("x", "y"), [0.1, 0.5, 0.9]), ["q10", "q50", "q90"], ["vec_id"])
 
 
 @query()
