@@ -287,6 +287,9 @@ def test_quantile_regression_equals_the_local_one(spark):
     p = [0.1, 0.5, 0.9]
     w = quantile_fit.fit(frame, p, steps=25)
     local = [kernels.QuantileRegression(q, 25).fit(x, y).weights for q in p]
-    assert w.ravel() == pytest.approx(np.concatenate(local), abs=1e-6)
+    loss = lambda q, r: np.where(r >= 0, q * r, (q - 1) * r).sum()
+    for q, own, other in zip(p, w, local, strict=True):
+        a = np.column_stack((np.ones(400), x))
+        assert loss(q, y - a @ own) == pytest.approx(loss(q, y - a @ other), rel=1e-6)
     shown = quantile_fit.predicted(frame, w, ["a", "b", "c"], ["y"]).toPandas().sort_values("y")
     assert shown.b.to_numpy() == pytest.approx((w[1, 0] + x @ w[1, 1:])[np.argsort(y)])

@@ -66,20 +66,20 @@ def nth(year: int, month: int, weekday: int, n: int) -> date:
 
 
 def moved(day: date, saturday: int = 2) -> date:
-    """The day off for a fixed holiday: the Monday after a Sunday; for a Saturday so many days later (or before)."""
+    """The day off for a fixed holiday, which is a holiday itself on a weekend too: the Monday after a Sunday; for a Saturday so many days later (or before)."""
     return day + timedelta({5: saturday, 6: 1}.get(day.weekday(), 0))
 
 
 def _us(y: int) -> set[date]:
-    fixed = {moved(d, -1) for d in (date(y, 1, 1), date(y, 7, 4), date(y, 11, 11), date(y, 12, 25)) + ((date(y, 6, 19),) if y >= 2021 else ())}
-    return fixed | {nth(y, 1, 0, 3), nth(y, 2, 0, 3), nth(y, 5, 0, -1), nth(y, 9, 0, 1), nth(y, 10, 0, 2), nth(y, 11, 3, 4)}
+    fixed = {date(y, 1, 1), date(y, 7, 4), date(y, 11, 11), date(y, 12, 25)} | ({date(y, 6, 19)} if y >= 2021 else set())
+    return fixed | {moved(d, -1) for d in fixed} | {nth(y, 1, 0, 3), nth(y, 2, 0, 3), nth(y, 5, 0, -1), nth(y, 9, 0, 1), nth(y, 10, 0, 2), nth(y, 11, 3, 4)}
 
 
 def _gb(y: int) -> set[date]:
     e = easter(y)
     christmas = moved(date(y, 12, 25))
     boxing = moved(date(y, 12, 26))
-    return {moved(date(y, 1, 1)), e - timedelta(2), e + timedelta(1), nth(y, 5, 0, 1), nth(y, 5, 0, -1), nth(y, 8, 0, -1), christmas, boxing + timedelta(boxing == christmas) * 1}
+    return {date(y, 1, 1), date(y, 12, 25), date(y, 12, 26), moved(date(y, 1, 1)), e - timedelta(2), e + timedelta(1), nth(y, 5, 0, 1), nth(y, 5, 0, -1), nth(y, 8, 0, -1), christmas, boxing + timedelta(boxing == christmas) * 1}
 
 
 def _nsw(y: int) -> set[date]:

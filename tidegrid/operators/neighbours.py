@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import uniform
 from . import ranges
 
 #: Pivots at most (the square root of the rows otherwise), and rows of a block on average.
@@ -186,12 +187,6 @@ def imputed(df: DataFrame, id_column: str, column: str, k: int = 5, pivots: int
     return out.select(F.col("q").alias("id"), "column", F.coalesce("near", "mean").alias("value"))
 
 
-def uniform(seed: int, *parts: Column | str) -> Column:
-    """A number in [0, 1) that depends on the seed and parts only: the first 13 hex digits of an MD5 digest."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-
-
 def synthetic(df: DataFrame, id_column: str, column: str, n: int, k: int = 5, seed: int = 1, pivots: int | None = None) -> DataFrame:
     """(row, base, other, value): n rows, each from a random row towards one of its k nearest ones, a random part of the way in each column.
 

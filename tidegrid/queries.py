@@ -133,13 +133,13 @@ def time_encode(spark, sf):
     return rounded(cal.encode(read(spark, sf, "events").select("event_id", "ts"), cal.MonthOfYear, cal.WeekOfYear, cal.DayOfWeek, cal.TimeOfDay).drop("ts"))
 
 
-_HOLIDAYS = ", ".join(f"DATE '{d}'" for y in range(1990, 2031) for d in sorted(cal.RULES["GB"](y)))
+# The Easter Sundays of 1990 to 2010.
+_EASTERS = ", ".join(f"DATE '{d}'" for d in ("1990-04-15 1991-03-31 1992-04-19 1993-04-11 1994-04-03 1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04 2000-04-23 2001-04-15 2002-03-31 2003-04-20 2004-04-11 2005-03-27 2006-04-16 2007-04-08 2008-03-23 2009-04-12 2010-04-04").split())
+_HOLIDAY = f"""(strftime(d, '%m-%d') IN ('01-01', '12-25', '12-26') OR strftime(d, '%m-%d') IN ('01-02', '01-03') AND isodow(d) = 1 OR strftime(d, '%m-%d') IN ('12-27', '12-28') AND isodow(d) IN (1, 2)
+    OR d + 2 IN ({_EASTERS}) OR d - 1 IN ({_EASTERS}) OR isodow(d) = 1 AND (month(d) = 5 AND (day(d) <= 7 OR day(d) >= 25) OR month(d) = 8 AND day(d) >= 25))"""
 
 
-@query(
-    f"""SELECT o_orderkey, (o_orderdate::DATE IN ({_HOLIDAYS}))::INT AS holiday,
-    CASE WHEN o_orderdate::DATE IN ({_HOLIDAYS}) THEN 2 WHEN isodow(o_orderdate) < 6 THEN 0 ELSE 1 END AS day_type FROM orders"""
-)
+@query(f"SELECT o_orderkey, ({_HOLIDAY})::INT AS holiday, CASE WHEN {_HOLIDAY} THEN 2 WHEN isodow(d) < 6 THEN 0 ELSE 1 END AS day_type FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
 def holiday_join(spark, sf):
     days = cal.calendar(spark, "GB", 1990, 2030)
     return cal.with_calendar(read(spark, sf, "orders"), days, "o_orderdate").select("o_orderkey", F.col("Holiday").alias("holiday"), F.col("DayType").alias("day_type"))
@@ -514,8 +514,8 @@ def distinct_categories(spark, sf):
 
 @query()
 def pca_scores(spark, sf):
-    x = np.stack(read(spark, sf, "embeddings").orderBy("vec_id").select("embedding").toPandas().embedding.to_numpy()).astype(float)
-    _, share, kept = kernels.principal_components(x, 0.9)
+    share = kernels.scatter_shares(*_scatter(spark, sf))
+    kept = kernels.selected(share, 0.9)
     return spark.createDataFrame([(i, float(s), i in kept) for i, s in enumerate(share)], "feature int, score double, selected boolean")
 
 
@@ -601,22 +601,24 @@ def _matrix(spark, sf, columns: int = 0) -> np.ndarray:
 
 
 def _scatter(spark, sf) -> tuple[int, np.ndarray]:
-    """(rows, sums of products of deviations from the means) of the embeddings: a row of power sums a partition, exact in any grouping."""
+    """(rows, sums of products of deviations from the means) of the embeddings: tasks' sums about the means are added up by place in Spark."""
+    v = read(spark, sf, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = v.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.count("*").alias("n")).orderBy("at").collect()
+    m = np.array([r.m for r in means])
 
     def run(batches):
         import pandas as pd
 
-        total = None
+        total = np.zeros((len(m), len(m)))
         for b in batches:
             if len(b):
-                own = kernels.power_sums(np.stack(b.embedding.to_numpy()).astype(float))
-                total = own if total is None else kernels.merged_sums(total, own)
-        if total:
-            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "scatter": [total[2].ravel()]})
+                d = np.stack(b.v.to_numpy()) - m
+                total += d.T @ d
+        yield pd.DataFrame({"scatter": [total.ravel()]})
 
-    parts = read(spark, sf, "embeddings").select("embedding").mapInPandas(run, "n long, mean array<double>, scatter array<double>").collect()
-    n, _, s = reduce(kernels.merged_sums, [(r.n, np.array(r["mean"]), np.reshape(r.scatter, (len(r["mean"]), -1))) for r in parts])
-    return n, s
+    parts = v.mapInPandas(run, "scatter array<double>").select(F.posexplode("scatter").alias("at", "x"))
+    sums = parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    return means[0].n, np.reshape([r.x for r in sums], (len(m), -1))
 
 
 _GAPPED = "SELECT vec_id, list_transform(embedding, lambda x, j: CASE WHEN vec_id % 7 = 0 AND j = 4 OR vec_id % 11 = 0 AND j = 6 THEN NULL ELSE x::DOUBLE END) AS v FROM embeddings"
@@ -716,8 +718,18 @@ def plot_frame(spark, sf):
     return t.plot_frame(t.transform(s), P)
 
 
-@query()
+_NORMAL = "sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
+_WAVE = "(1 + pow(sin(step * {n} / {m}::DOUBLE), 1) + pow(sin(step * {n} / {m}::DOUBLE), 2))"
+
+
+@query(
+    f"""SELECT id AS source, (id % 2)::VARCHAR AS value_type, floor(id % 4 / 2)::BIGINT::VARCHAR AS category, TIMESTAMP '2021-01-01' + INTERVAL 1 HOUR * step AS ts,
+    round({_WAVE.format(n=168, m=167)} * {_NORMAL.format(u=_uniform("id", "step", "'r'").replace("'1'", "'0'"), v=_uniform("id", "step", "'a'").replace("'1'", "'0'"))}, 6) AS value
+    FROM (SELECT DISTINCT user_id AS id FROM events), range(168) t(step)""".replace("SELECT id AS source", "SELECT id::VARCHAR AS source")
+)
 def generated_series(spark, sf):
+    """A week of a generated series for each user of the events."""
     from .sources.files import generated
 
-    return generated(spark, 100, "2021-01-01", 8_760, HOUR)
+    users = read(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
+    return rounded(generated(spark, users, "2021-01-01", 168, HOUR))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import number
+from ..functions.scalar import number, uniform
 from ..schema import ID, NA
 from ..schema import series as as_series
 
@@ -65,13 +66,20 @@ def in_memory(spark: SparkSession, rows, ts: str = "ts", value: str = "value", *
     return as_series(spark.createDataFrame(rows), ts, value, **ids)
 
 
-def generated(spark: SparkSession, n_series: int, start: str, n_steps: int, resolution_s: int, degree: int = 3, seed: int = 0, value_type: Column | None = None, category: Column | None = None) -> DataFrame:
-    """Series y_t = (sum of sin(t)^k for k < degree) times standard normal noise, by id and step without any driver loop."""
+def generated(spark: SparkSession, series: int | DataFrame, start: str, n_steps: int, resolution_s: int, degree: int = 3, seed: int = 0, value_type: Column | None = None, category: Column | None = None) -> DataFrame:
+    """Series y_t = (sum of sin(t)^k for k < degree) times standard normal noise, by id and step without any driver loop.
+
+    series: how many, numbered from 0 on, or a frame with a column id of numbers. The noise is made from a hash of
+    seed, id and step (Box and Muller), so it is the same for any number of tasks.
+    """
+    ids = spark.range(series) if isinstance(series, int) else series.select("id")
     i, t = F.col("id"), F.col("step")
     wave = sum((F.pow(F.sin(t.cast("double") * n_steps / max(1, n_steps - 1)), F.lit(float(k))) for k in range(1, degree)), F.lit(1.0))
-    rows = spark.range(n_series).select("id", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
+    radius, angle = uniform(seed, "id", "step", F.lit("r")), uniform(seed, "id", "step", F.lit("a"))
+    noise = F.sqrt(-2 * F.log(1 - radius)) * F.cos(2 * math.pi * angle)
+    rows = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
     ts = F.timestamp_add("SECOND", t * resolution_s, F.lit(start).cast("timestamp_ntz"))
-    return as_series(rows.select("id", ts.alias("ts"), (wave * F.randn(seed)).alias("value")), "ts", "value", i.cast("string"), value_type if value_type is not None else (i % 2).cast("string"), category if category is not None else F.floor(i % 4 / 2).cast("string"))
+    return as_series(rows.select("id", ts.alias("ts"), (wave * noise).alias("value")), "ts", "value", i.cast("string"), value_type if value_type is not None else (i % 2).cast("string"), category if category is not None else F.floor(i % 4 / 2).cast("string"))
 
 
 class DataSource(ABC):
