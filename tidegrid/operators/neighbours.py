@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import uniform
+from ..sources.shared import checkpointed
 from . import ranges
 
-#: Pivots at most (the square root of the rows otherwise), and rows of a block on average.
-PIVOTS, BLOCK = 4_096, 1_024
+#: Pivots at most (a block's rows for each otherwise), rows of a block on average, and rows of it that are compared at a time.
+PIVOTS, BLOCK, SLICE = 4_096, 2_048, 256
 #: What is ruled out has to be this much farther, relatively: more than rounding can do.
 SLACK = 1e-9
 
@@ -63,7 +65,7 @@ def celled(rows: DataFrame, pivots: int | None = None) -> tuple[DataFrame, Cells
     """rows (id, v) with their cell and block, and the cells. Pivots are the rows that come first by a hash of their id."""
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     complete = np.flatnonzero(by_columns(rows, width or 0))
-    most = pivots or max(1, min(PIVOTS, int((n or 0) ** 0.5)))
+    most = pivots or max(1, min(PIVOTS, (n or 0) // BLOCK))
     first = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("v").collect()
     points = _matrix(r.v for r in first)[:, complete] if first else np.zeros((1, 0))
     cells = Cells(complete, points, np.zeros(len(points)), np.zeros((len(points), (width or 0) + 1), np.int64))
@@ -85,40 +87,59 @@ def celled(rows: DataFrame, pivots: int | None = None) -> tuple[DataFrame, Cells
     return dealt.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).drop("r"), cells
 
 
-def _packed(rows: DataFrame, *columns: str, prefix: str) -> DataFrame:
-    """A row a cell and block with the lists of its rows."""
-    return rows.groupBy("cell", "block").agg(F.collect_list(F.struct(*columns)).alias(prefix)).drop("block")
+def _packed(rows: DataFrame, key: str, *columns: str, name: str) -> DataFrame:
+    """A row for each value of key and block with the list of its rows."""
+    return rows.groupBy(key, "block").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def _nearest_in(pairs: DataFrame, k: int) -> DataFrame:
-    """(q, column, id, d2, value) of the k nearest of each pair of blocks, and further ones that tie."""
+def _unpacked(column: pa.Array, i: int) -> tuple[pa.StructArray, np.ndarray]:
+    """The structs of a list and their arrays v as a matrix, nulls as NaN."""
+    rows = column.slice(i, 1).flatten()
+    v = rows.field("v")
+    return rows, v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+FOUND = "q long, column int, id long, d2 double, value double"
+
+
+def _nearest_in(pairs: DataFrame, k: int) -> DataFrame:
+    """FOUND: the k nearest of each pair of blocks, by d2 and id."""
+
+    def compared(own, columns, x, ids, y) -> pa.RecordBatch:
+        hx, hy = ~np.isnan(x), ~np.isnan(y)
+        fx, fy = np.where(hx, x, 0.0), np.where(hy, y, 0.0)
+        shared = hx.astype(float) @ hy.T.astype(float)
+        near = (fx**2) @ hy.T + hx @ (fy**2).T - 2 * fx @ fy.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = np.where(shared > 0, np.maximum(near, 0) * x.shape[1] / shared, np.inf)
+        usable = np.where(columns[:, None] >= 0, hy[:, np.maximum(columns, 0)].T, True) & (own[:, None] != ids)
+        near = np.where(usable, near, np.inf)
+        # What rounding could bring among the k nearest is computed anew, difference by difference.
+        scale = 1e-9 * ((fx**2).sum(1)[:, None] + (fy**2).sum(1)) * x.shape[1]
+        last = min(k, len(ids)) - 1
+        limit = np.partition(near + scale, last, axis=1)[:, last]
+        i, j = np.nonzero((near - scale <= limit[:, None]) & np.isfinite(near))
+        both = hx[i] & hy[j]
+        d2 = (np.where(both, fx[i] - fy[j], 0.0) ** 2).sum(1) * x.shape[1] / np.maximum(both.sum(1), 1)
+        order = np.lexsort((ids[j], d2, i))
+        i, j, d2 = i[order], j[order], d2[order]
+        first = np.searchsorted(i, i)
+        kept = np.arange(len(i)) - first < k
+        i, j, d2, c = i[kept], j[kept], d2[kept], columns[i[kept]]
+        value = np.where(c >= 0, y[j, np.maximum(c, 0)], 0.0)
+        return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(c.astype(np.int32)), pa.array(ids[j]), pa.array(d2), pa.array(value)], names=["q", "column", "id", "d2", "value"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for left, right in zip(b.left, b.right, strict=True):
-                x, y = _matrix(r["v"] for r in left), _matrix(r["v"] for r in right)
-                ids, columns = np.array([r["id"] for r in right]), np.array([r["column"] for r in left])
-                own = np.array([r["q"] for r in left])
-                hx, hy = ~np.isnan(x), ~np.isnan(y)
-                fx, fy = np.where(hx, x, 0.0), np.where(hy, y, 0.0)
-                shared = hx.astype(float) @ hy.T.astype(float)
-                near = (fx**2) @ hy.T + hx @ (fy**2).T - 2 * fx @ fy.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    near = np.where(shared > 0, np.maximum(near, 0) * x.shape[1] / shared, np.inf)
-                usable = np.where(columns[:, None] >= 0, hy[:, np.maximum(columns, 0)].T, True) & (own[:, None] != ids)
-                near = np.where(usable, near, np.inf)
-                scale = 1e-9 * ((fx**2).sum(1)[:, None] + (fy**2).sum(1)) * x.shape[1]
-                limit = np.partition(near + scale, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                i, j = np.nonzero((near - scale <= limit[:, None]) & np.isfinite(near))
-                both = hx[i] & hy[j]
-                exact = np.where(both, fx[i] - fy[j], 0.0) ** 2
-                c = columns[i]
-                out = pd.DataFrame({"q": own[i], "column": c, "id": ids[j], "d2": exact.sum(1) * x.shape[1] / np.maximum(both.sum(1), 1)})
-                out["value"] = np.where(c >= 0, y[j, np.maximum(c, 0)], 0.0)
-                out = out.sort_values(["q", "column", "d2", "id"])
-                yield out[out.groupby(["q", "column"]).cumcount() < k]
-
-    return pairs.mapInPandas(run, "q long, column int, id long, d2 double, value double")
+            for n in range(b.num_rows):
+                left, x = _unpacked(b.column("left"), n)
+                right, y = _unpacked(b.column("right"), n)
+                own, columns, ids = (c.to_numpy(zero_copy_only=False) for c in (left.field("q"), left.field("column"), right.field("id")))
+                for s in range(0, len(own), SLICE):
+                    e = s + SLICE
+                    yield compared(own[s:e], columns[s:e], x[s:e], ids, y)
+
+    return pairs.select("left", "right").mapInArrow(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -133,8 +154,9 @@ def nearest(wanted: DataFrame, rows: DataFrame, k: int, pivots: int | None = Non
     first. Rows that share no column are no neighbours, so there may be fewer than k.
     """
     dealt, cells = celled(rows, pivots)
-    packed = _packed(dealt, "id", "v", prefix="right")
-    n = len(cells.pivots)
+    right = _packed(dealt, "cell", "id", "v", name="right").drop("block")
+    asked = checkpointed(_asked(wanted, cells), "wanted")
+    left = _packed(asked, "home", "q", "column", "v", name="left")
 
     def visits(second: bool):
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,26 +172,36 @@ def nearest(wanted: DataFrame, rows: DataFrame, k: int, pivots: int | None = Non
                 np.put_along_axis(first, order, np.cumsum(have, 1) - have < k + 1, 1)
                 go = first if not second else ~first & (cells.least(x) ** 2 <= b.bound.to_numpy()[:, None] * (1 + SLACK))
                 i, cell = np.nonzero(go)
-                yield b.iloc[i][["q", "column", "v"]].assign(cell=cell)
+                yield b.iloc[i][["home", "block"]].assign(cell=cell).drop_duplicates()
 
         return run
 
-    def compared(goes: DataFrame) -> DataFrame:
-        counts = goes.groupBy("cell").agg(F.count("*").alias("n"))
-        blocks = goes.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64("q", "column"), F.ceil(F.col("n") / BLOCK)))
-        pairs = _packed(blocks, "q", "column", "v", prefix="left").join(packed, "cell")
-        return _nearest_in(pairs.repartition(F.xxhash64("left", "right")), k)
-
-    schema = "q long, column int, v array<double>, cell int"
-    one = _best(compared(wanted.mapInPandas(visits(False), schema)), k)
-    if n == 1:
+    schema = "home int, block long, cell int"
+    goes = checkpointed(asked.mapInPandas(visits(False), schema).distinct(), "visits")
+    one = _best(_nearest_in(goes.join(left, ["home", "block"]).join(right, "cell"), k), k)
+    if len(cells.pivots) == 1:
         return one
+    one = checkpointed(one, "nearest")
     bounds = one.groupBy("q", "column").agg(F.when(F.count("*") == k, F.max("d2")).alias("bound"))
-    asked = wanted.join(bounds, ["q", "column"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    two = compared(asked.mapInPandas(visits(True), schema))
+    bounded = asked.join(bounds, ["q", "column"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    more = bounded.mapInPandas(visits(True), schema).distinct().join(goes, ["home", "block", "cell"], "left_anti")
+    two = _nearest_in(more.join(left, ["home", "block"]).join(right, "cell"), k)
     return _best(one.drop("rank").unionByName(two), k)
 
 
+def _asked(wanted: DataFrame, cells: Cells) -> DataFrame:
+    """wanted with its nearest cell and a block there: rows that are near each other visit the same cells."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[["q", "column", "v"]].assign(home=cells.distances(_matrix(b.v)).argmin(1))
+
+    at = wanted.mapInPandas(run, "q long, column int, v array<double>, home int")
+    counts = at.groupBy("home").agg(F.count("*").alias("_own"))  # a row a pivot
+    return at.join(F.broadcast(counts), "home").withColumn("block", F.pmod(F.xxhash64("q", "column"), F.ceil(F.col("_own") / BLOCK))).drop("_own")
+
+
 def as_rows(df: DataFrame, id_column: str, column: str) -> DataFrame:
     """(id, v) with NaNs as nulls; rows without an id or an array are left out."""
     v = F.transform(F.col(column).cast("array<double>"), lambda x: F.when(~F.isnan(x), x))
