@@ -138,6 +138,11 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def least_of(template: list[str]) -> int:
+    """The fewest of its words that cover COVERAGE of a template, in whole numbers: 5 * (1 - 0.8) is below 1 in floating point."""
+    return -(-len(template) * round(100 * COVERAGE) // 100)
+
+
 def windows(words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
     """Stretches of a text that can hold the template: around its rarest words there, merged where they overlap.
 
@@ -146,8 +151,8 @@ def windows(words: list[str], template: list[str]) -> Iterator[tuple[int, int]]:
     """
     counts = Counter(words)
     shared = [w for w in dict.fromkeys(template) if w in counts]
-    # A stretch covers the template if it has COVERAGE of its words, so one of any (1 - COVERAGE) + 1 of them.
-    missing = int(len(template) * (1 - COVERAGE))
+    # A stretch covers the template if it has least_of() of its words, so one of any that are more than the rest.
+    missing = len(template) - least_of(template)
     own, need, chosen = Counter(template), missing + 1, set()
     for w in sorted(set(template), key=lambda w: (counts[w] / own[w], w)):
         chosen.add(w)
@@ -224,12 +229,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     REQUIRED must be aligned if templates is None; own templates have none.
 
     The whole text is scanned; null counts as empty and covers nothing; repeated rows give repeated rows; empty docs
-    give none; further columns are ignored. A stretch needs as much coverage as asked for, at least COVERAGE.
+    give none; further columns are ignored. A stretch needs as much coverage as asked for; less than COVERAGE is an error,
+    as candidates are looked for by COVERAGE.
     """
+    if coverage < COVERAGE:
+        raise ValueError(f"coverage of at least {COVERAGE}")
     known = {name: (words_of(t), frozenset(words_of(REQUIRED.get(name, "") if templates is None else ""))) for name, t in (TEMPLATES if templates is None else templates).items()}
     known = {name: t for name, t in known.items() if t[0]}
     # A text without enough of a template's words can't be covered: a cheap test before any alignment.
-    vocabulary = {name: (Counter(t), int(-(-len(t) * COVERAGE // 1)), required) for name, (t, required) in known.items()}
+    vocabulary = {name: (Counter(t), least_of(t), required) for name, (t, required) in known.items()}
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
