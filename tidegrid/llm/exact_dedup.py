@@ -212,6 +212,11 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def named(column: str) -> Column:
+    """A column of any name, with dots or backticks too."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without repeats, all columns as they are: of equal texts (null counts as empty) the row that exact_dedup() keeps.
 
@@ -227,8 +232,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if same.isEmpty():
         return single
     own = F.sha2(F.translate(text_of(), SPACE_CHARS, ""), 256)
-    many = with_ids(docs, same, "left_semi", gone).select(F.struct(*docs.columns).alias(row), "doc_id", own.alias(sha), F.length(text_of()).alias(size))
+    many = with_ids(docs, same, "left_semi", gone).select(F.struct(*[named(c) for c in docs.columns]).alias(row), "doc_id", own.alias(sha), F.length(text_of()).alias(size))
     wanted = found.where("kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias("w_sha"))
     one = many.join(wanted, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(sha) == F.col("w_sha")), "left_semi")
     best = one.groupBy("doc_id", sha).agg(F.max_by(row, size).alias(row))
-    return single.unionByName(best.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
+    return single.unionByName(best.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))
