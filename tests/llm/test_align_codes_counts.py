@@ -223,3 +223,41 @@ def test_null_ids_repeated_rows_and_errors(spark):
     for bad in ([(1, [1.0] * 8, "l"), (2, [1.0] * 16, "l")], [(1, [1.0] * 7, "l")], [(1, [1e30] * 8, "l")]):
         with pytest.raises(Exception, match="length|large"):
             vector_codes.vector_codes(spark.createDataFrame(bad, schema)).collect()
+
+
+def test_licenses_at_the_threshold(spark):
+    """Each template with exactly the allowed words replaced, none of them a required one: what the alignment of the text and template finds, the scan does too."""
+    from tidegrid.llm import licenses
+
+    r, rows, want = random.Random(11), [], {}
+    for name, template in licenses.TEMPLATES.items():
+        words, needed = licenses.words_of(template), set(licenses.words_of(licenses.REQUIRED.get(name, "")))
+        allowed = len(words) - licenses.least_of(words)
+        assert 100 * (len(words) - allowed) >= 80 * len(words) > 100 * (len(words) - allowed - 1)
+        free = [i for i, w in enumerate(words) if w not in needed]
+        for _ in range(4):
+            own = list(words)
+            for i in r.sample(free, min(allowed, len(free))):
+                own[i] = f"zz{r.randrange(10**6)}"
+            pairs = licenses.align(own, words)
+            if 100 * len(pairs) >= 80 * len(words) and needed <= {words[j] for _, j in pairs}:
+                want[len(rows)] = len(pairs)
+            rows.append((len(rows), " ".join(own)))
+    got = {}
+    for g in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[g.doc_id] = max(got.get(g.doc_id, 0), round(g.coverage * len(licenses.words_of(licenses.TEMPLATES[g.license]))))
+    assert len(want) > 0.95 * len(rows)
+    assert not [i for i, n in want.items() if got.get(i, 0) < n]
+    one = spark.createDataFrame([(1, "Licensed under the MIT license.")], "doc_id long, text string")
+    assert [(g.license, g.coverage) for g in licenses.license_scan(one).collect()] == [("mit", 0.8)]
+    with pytest.raises(ValueError, match="coverage"):
+        licenses.license_scan(one, coverage=0.5)
+
+
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    from tidegrid.llm import exact_dedup
+
+    rows = [(1, "a b", 1, "x"), (1, "ab", 2, "y"), (2, "c", 3, None), (1, "d", 4, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` string")
+    got = exact_dedup.keep_one(frame)
+    assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[3], rows[2]]
