@@ -102,44 +102,72 @@ def _unpacked(column: pa.Array, i: int) -> tuple[pa.StructArray, np.ndarray]:
 FOUND = "q long, column int, id long, d2 double, value double"
 
 
-def _nearest_in(pairs: DataFrame, k: int) -> DataFrame:
-    """FOUND: the k nearest of each pair of blocks, by d2 and id."""
-
-    def compared(own, columns, x, ids, y) -> pa.RecordBatch:
-        hx, hy = ~np.isnan(x), ~np.isnan(y)
-        fx, fy = np.where(hx, x, 0.0), np.where(hy, y, 0.0)
-        shared = hx.astype(float) @ hy.T.astype(float)
-        near = (fx**2) @ hy.T + hx @ (fy**2).T - 2 * fx @ fy.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            near = np.where(shared > 0, np.maximum(near, 0) * x.shape[1] / shared, np.inf)
-        usable = np.where(columns[:, None] >= 0, hy[:, np.maximum(columns, 0)].T, True) & (own[:, None] != ids)
-        near = np.where(usable, near, np.inf)
-        # What rounding could bring among the k nearest is computed anew, difference by difference.
-        scale = 1e-9 * ((fx**2).sum(1)[:, None] + (fy**2).sum(1)) * x.shape[1]
-        last = min(k, len(ids)) - 1
-        limit = np.partition(near + scale, last, axis=1)[:, last]
-        i, j = np.nonzero((near - scale <= limit[:, None]) & np.isfinite(near))
-        both = hx[i] & hy[j]
-        d2 = (np.where(both, fx[i] - fy[j], 0.0) ** 2).sum(1) * x.shape[1] / np.maximum(both.sum(1), 1)
-        order = np.lexsort((ids[j], d2, i))
-        i, j, d2 = i[order], j[order], d2[order]
-        first = np.searchsorted(i, i)
-        kept = np.arange(len(i)) - first < k
-        i, j, d2, c = i[kept], j[kept], d2[kept], columns[i[kept]]
-        value = np.where(c >= 0, y[j, np.maximum(c, 0)], 0.0)
-        return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(c.astype(np.int32)), pa.array(ids[j]), pa.array(d2), pa.array(value)], names=["q", "column", "id", "d2", "value"])
+def _compared(columns: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(place in x, id, d2, value) of the k nearest rows y of each row x, and of those that rounding could bring among them."""
+    hx, hy = ~np.isnan(x), ~np.isnan(y)
+    fx, fy = np.where(hx, x, 0.0), np.where(hy, y, 0.0)
+    shared = hx.astype(float) @ hy.T.astype(float)
+    near = (fx**2) @ hy.T + hx @ (fy**2).T - 2 * fx @ fy.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = np.where(shared > 0, np.maximum(near, 0) * x.shape[1] / shared, np.inf)
+    usable = np.where(columns[:, None] >= 0, hy[:, np.maximum(columns, 0)].T, True) & (own[:, None] != ids)
+    near = np.where(usable, near, np.inf)
+    scale = 1e-9 * ((fx**2).sum(1)[:, None] + (fy**2).sum(1)) * x.shape[1]
+    last = min(k, len(ids)) - 1
+    limit = np.partition(near + scale, last, axis=1)[:, last]
+    i, j = np.nonzero((near - scale <= limit[:, None]) & np.isfinite(near))
+    both = hx[i] & hy[j]
+    d2 = (np.where(both, fx[i] - fy[j], 0.0) ** 2).sum(1) * x.shape[1] / np.maximum(both.sum(1), 1)
+    c = columns[i]
+    return i, ids[j], d2, np.where(c >= 0, y[j, np.maximum(c, 0)], 0.0)
+
+
+class _Block:
+    """A block of wanted rows with the k nearest found so far."""
+
+    def __init__(self, column: pa.Array, i: int):
+        rows, self.x = _unpacked(column, i)
+        self.q, self.columns = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("q", "column"))
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+    def visit(self, column: pa.Array, i: int, k: int) -> None:
+        rows, y = _unpacked(column, i)
+        ids, parts = rows.field("id").to_numpy(zero_copy_only=False), [self.found]
+        for s in range(0, len(self.q), SLICE):
+            own = slice(s, s + SLICE)
+            at, *rest = _compared(self.columns[own], self.q[own], self.x[own], ids, y, k)
+            parts.append((at + s, *rest))
+        at, ids, d2, value = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((ids, d2, at))
+        at = at[order]
+        order, at = (z[np.arange(len(at)) - np.searchsorted(at, at) < k] for z in (order, at))
+        self.found = at, ids[order], d2[order], value[order]
+
+    def rows(self) -> pa.RecordBatch:
+        at, ids, d2, value = self.found
+        return pa.RecordBatch.from_arrays([pa.array(self.q[at]), pa.array(self.columns[at].astype(np.int32)), pa.array(ids), pa.array(d2), pa.array(value)], names=["q", "column", "id", "d2", "value"])
+
+
+def _nearest_in(visits: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """FOUND: of each block of left the k nearest rows in the blocks of the cells it visits, one of which is held at a time."""
+    none = {c: F.lit(None).cast(dict((f.name, f.dataType) for f in d.schema)[c]) for c, d in (("left", left), ("right", right))}
+    begin = left.select("home", "block", F.lit(-1).alias("cell"), "left", none["right"].alias("right"))
+    goes = visits.join(right, "cell").select("home", "block", "cell", none["left"].alias("left"), "right")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for b in batches:
-            for n in range(b.num_rows):
-                left, x = _unpacked(b.column("left"), n)
-                right, y = _unpacked(b.column("right"), n)
-                own, columns, ids = (c.to_numpy(zero_copy_only=False) for c in (left.field("q"), left.field("column"), right.field("id")))
-                for s in range(0, len(own), SLICE):
-                    e = s + SLICE
-                    yield compared(own[s:e], columns[s:e], x[s:e], ids, y)
+            for n, cell in enumerate(b.column("cell").to_pylist()):
+                if cell < 0:
+                    if block is not None and len(block.found[0]):
+                        yield block.rows()
+                    block = _Block(b.column("left"), n)
+                else:
+                    block.visit(b.column("right"), n, k)
+        if block is not None and len(block.found[0]):
+            yield block.rows()
 
-    return pairs.select("left", "right").mapInArrow(run, FOUND)
+    return begin.unionByName(goes).repartition("home", "block").sortWithinPartitions("home", "block", "cell").mapInArrow(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -178,14 +206,14 @@ def nearest(wanted: DataFrame, rows: DataFrame, k: int, pivots: int | None = Non
 
     schema = "home int, block long, cell int"
     goes = checkpointed(asked.mapInPandas(visits(False), schema).distinct(), "visits")
-    one = _best(_nearest_in(goes.join(left, ["home", "block"]).join(right, "cell"), k), k)
+    one = _best(_nearest_in(goes, left, right, k), k)
     if len(cells.pivots) == 1:
         return one
     one = checkpointed(one, "nearest")
     bounds = one.groupBy("q", "column").agg(F.when(F.count("*") == k, F.max("d2")).alias("bound"))
     bounded = asked.join(bounds, ["q", "column"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     more = bounded.mapInPandas(visits(True), schema).distinct().join(goes, ["home", "block", "cell"], "left_anti")
-    two = _nearest_in(more.join(left, ["home", "block"]).join(right, "cell"), k)
+    two = _nearest_in(more, left, right, k)
     return _best(one.drop("rank").unionByName(two), k)
 
 
