@@ -3,10 +3,11 @@
 Each turn is a node; conversations with the same turns so far share it. A tree is written depth-first as one text.
 Every node carries where its text stands, the position its first token has within a conversation, the intervals of
 its ancestors in the text (what it may attend to besides itself), and where the loss applies (assistant texts). A
-token is a code point unless a length function of another tokenizer is given.
+token is a code point.
 
-Trees are packed by their first turn. One with very many different conversations is dealt over several records, each
-of which holds the shared turns once; conversations that are equal altogether are one path with many members.
+Trees are packed by their first turn. One with very many different conversations is split by the next turns, and again
+where a subtree is still too large, so that only the turns above a split stand in several records; conversations that
+are equal altogether are one path with many members.
 """
 
 from __future__ import annotations
@@ -111,11 +112,34 @@ def conversation_paths(rows: DataFrame) -> DataFrame:
     return own.select("conv_id", turns.alias("turns")).withColumns({"path": F.sha2(F.to_json("turns"), 256), "root": F.sha2(F.to_json(F.col("turns")[0]), 256)})
 
 
-def prefix_trees(paths: DataFrame) -> DataFrame:
-    """Records of the different paths."""
+def dealt(different: DataFrame, most: int = PATHS) -> DataFrame:
+    """(record, path, turns) of different paths (path, root, turns): those of a record share its first turns.
+
+    A tree of more than most paths is split by its next turn: subtrees of at most most paths go together into records
+    of about most paths (twice that at worst but for chance), larger ones are split in the next round.
+    """
+    rows, out, depth = different.select(F.col("root").alias("record"), "path", "turns"), None, 1
+    while True:
+        counts = rows.groupBy("record").agg(F.count("*").alias("n"))
+        sized = rows.join(counts, "record")
+        small = sized.where(F.col("n") <= most).select("record", "path", "turns")
+        out = small if out is None else out.unionByName(small)
+        large = written(sized.where(F.col("n") > most).drop("n"), "large_trees")
+        if large.isEmpty():
+            return out
+        child = F.when(F.size("turns") > depth, F.sha2(F.to_json(F.slice("turns", 1, depth + 1)), 256)).otherwise(F.col("path"))
+        named = large.withColumn("child", child)
+        own = named.groupBy("record", "child").agg(F.count("*").alias("n"))
+        bins = own.where(F.col("n") <= most).groupBy("record").agg(F.ceil(F.sum("n") / most).alias("bins"))
+        each = named.join(own.join(bins, "record", "left"), ["record", "child"])
+        together = F.concat_ws("-", "record", F.lit(str(depth)), F.pmod(F.xxhash64("child"), F.col("bins")).cast("string"))
+        out = out.unionByName(each.where(F.col("n") <= most).select(together.alias("record"), "path", "turns"))
+        rows, depth = each.where(F.col("n") > most).select(F.col("child").alias("record"), "path", "turns"), depth + 1
+
+
+def prefix_trees(paths: DataFrame, most: int = PATHS) -> DataFrame:
+    """Records of the different paths, about most in each."""
     different = written(paths.groupBy("path").agg(F.first("root").alias("root"), F.first("turns").alias("turns")), "paths")
-    size = different.groupBy("root").agg(F.ceil(F.count("*") / F.lit(PATHS)).cast("int").alias("parts"))
-    dealt = different.join(size, "root").withColumn("record", F.concat_ws("-", F.substring("root", 1, 32), F.pmod(F.xxhash64("path"), F.col("parts")).cast("string")))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, paths, out = None, [], []
@@ -134,7 +158,7 @@ def prefix_trees(paths: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out)
 
-    return dealt.select("record", "path", "turns").repartition("record").sortWithinPartitions("record", "path").mapInPandas(run, SCHEMA)
+    return dealt(different, most).repartition("record").sortWithinPartitions("record", "path").mapInPandas(run, SCHEMA)
 
 
 def read_back(records: DataFrame) -> DataFrame:
