@@ -261,3 +261,27 @@ def test_exact_dedup_keeps_columns_of_any_name(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` string")
     got = exact_dedup.keep_one(frame)
     assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[3], rows[2]]
+
+
+def test_large_prefix_trees_repeat_only_the_turns_above_a_split(spark):
+    """2,400 conversations with one first turn and eight second ones; two more levels under one of them; equal and short ones."""
+    from tidegrid.llm import chat
+
+    says = lambda i: [("user", "hello"), ("assistant", f"second {i % 8}"), *([("user", f"third {i % 3}"), ("assistant", f"x{i}")] if i % 8 == 0 else [("user", f"y{i}")])]
+    talks = {i: says(i) for i in range(2_400)} | {5_000: [("user", "hello")], 5_001: [("user", "hello")], 5_002: [("user", "alone")], 5_003: says(7)}
+    rows = [(i, t, r, x) for i, turns in talks.items() for t, (r, x) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    paths = chat.conversation_paths(frame)
+    for most in (1_000, 120, 3):
+        records = chat.prefix_trees(paths, most).collect()
+        shown = [chat.START + t for r in records for t in r.text.split(chat.START)[1:]]
+        count = Counter(t for t in shown if "second" in t or "third" in t)
+        if most == 1_000:
+            assert count[chat.formatted("assistant", "second 0")[0]] == 1 and set(count.values()) == {1} and len(count) == 11
+            assert shown.count(chat.formatted("user", "hello")[0]) == len([r for r in records if "hello" in r.text]) <= 4
+        assert sum(len(r.leaves) for r in records) == len({tuple(x) for x in talks.values()})
+        assert max(len(r.leaves) for r in records) <= 4 * most
+    got = {r.conv_id: r for r in chat.chat_formatting(frame).collect()}
+    assert got.keys() == talks.keys()
+    for i, turns in talks.items():
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
