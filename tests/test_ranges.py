@@ -293,3 +293,19 @@ def test_quantile_regression_equals_the_local_one(spark):
         assert loss(q, y - a @ own) == pytest.approx(loss(q, y - a @ other), rel=1e-6)
     shown = quantile_fit.predicted(frame, w, ["a", "b", "c"], ["y"]).toPandas().sort_values("y")
     assert shown.b.to_numpy() == pytest.approx((w[1, 0] + x @ w[1, 1:])[np.argsort(y)])
+
+
+def test_scores_by_columns_equal_the_kernels(spark):
+    """Davies and Bouldin's score, and the knee of scores with ties, a falling line, few and equal scores."""
+    from tidegrid.operators import clustering
+
+    rng = np.random.default_rng(12)
+    labels = rng.integers(4, size=120)
+    x = rng.normal(size=(120, 5)) + labels[:, None]
+    frame = spark.createDataFrame([(int(c), r.tolist()) for c, r in zip(labels, x, strict=True)] + [(None, [0.0] * 5)], "c int, v array<double>")
+    assert clustering.davies_bouldin_frame(frame, "c", "v").first().score == pytest.approx(clustering.davies_bouldin(x, labels))
+    curves = {"steep": np.exp(-np.arange(12) / 2), "line": np.arange(9.0), "few": np.array([2.0, 1.0]), "flat": np.ones(6), "random": rng.integers(0, 9, 40).astype(float)}
+    rows = [(k, f"f{i:02d}", float(v)) for k, c in curves.items() for i, v in enumerate(c)]
+    got = samples.top_by_knee(spark.createDataFrame(rows, "k string, feature string, score double"), ["k"]).where("selected").collect()
+    for k, c in curves.items():
+        assert {r.feature for r in got if r.k == k} == {f"f{i:02d}" for i in kernels.selected(c.tolist())}

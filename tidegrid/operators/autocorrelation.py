@@ -7,12 +7,13 @@ by Durbin and Levinson's recursion.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curves import bound, knee_place
 from .samples import STRETCH, stretches
 
 
@@ -31,11 +32,6 @@ def autocovariances(df: DataFrame, keys: Sequence[str], column: str, lags: int,
     return sums.select(*keys, "n", F.array_compact(each).alias("c"))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, where use names it often within lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def durbin_levinson(c: Column, lags: int) -> Column:
     """Partial autocorrelations at lags 0..lags of an array of autocovariances; 0 where outside [-1, 1], past the array's end or once all is explained."""
     if not lags:
@@ -57,35 +53,6 @@ def durbin_levinson(c: Column, lags: int) -> Column:
     return F.transform(bound(c, fold), lambda x: F.when(F.abs(x) <= 1, x).otherwise(0.0))
 
 
-def knee_place(curve: Column) -> Column:
-    """The place of the knee of a convex falling curve by Kneedle, as kernels.knee(); the last place without one."""
-
-    def of(c: Column) -> Column:
-        n, low, high = c["n"], c["low"], c["high"]
-        d = F.transform(c["y"], lambda y, i: 1 - (y - low) / (high - low) - i / (n - 1))
-        return F.when((n > 2) & (high > low), F.coalesce(bound(d, first_knee), n - 1)).otherwise(n - 1)
-
-    def first_knee(d: Column) -> Column:
-        at = lambda i: F.get(d, i)
-        inner = F.sequence(F.lit(1), F.size(d) - 2)
-        peaks = F.filter(inner, lambda i: (at(i) > at(i - 1)) & (at(i) >= at(i + 1)))
-        dips = F.filter(inner, lambda i: (at(i) < at(i - 1)) & (at(i) <= at(i + 1)))
-        return bound(F.struct(d.alias("d"), peaks.alias("peaks"), F.concat(peaks, dips).alias("turns")), falls)
-
-    def falls(s: Column) -> Column:
-        """The first peak after which the curve falls far enough before it turns again."""
-        d, n = s["d"], F.size(s["d"])
-
-        def is_knee(i: Column) -> Column:
-            until = F.coalesce(F.array_min(F.filter(s["turns"], lambda j: j > i)), n)
-            return F.array_min(F.slice(d, i + 2, until - i - 1)) < F.get(d, i) - F.lit(1.0) / (n - 1)
-
-        return F.get(F.filter(s["peaks"], is_knee), F.lit(0))
-
-    parts = F.struct(curve.alias("y"), F.size(curve).alias("n"), F.array_min(curve).alias("low"), F.array_max(curve).alias("high"))
-    return bound(parts, of)
-
-
 def partial_autocorrelations(df: DataFrame, keys: Sequence[str], column: str, lags: int, p: float = 0.99, width: int | None = None, stretch: int = STRETCH) -> DataFrame:
     """(keys, lag, score, selected, ci) for each series and lag 0..lags.
 

@@ -478,6 +478,21 @@ def calinski_harabasz_frame(df: DataFrame, cluster: str, vector: str) -> DataFra
     return s.join(total, "dim").agg((between / within * (rows - k) / (k - 1)).alias("score"))
 
 
+def davies_bouldin_frame(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """One row: score, the mean over clusters of the worst ratio of two clusters' spreads to the distance of their centres. Rows without a cluster have no part."""
+    own = centroids(df.where(F.col(cluster).isNotNull()), cluster, vector)
+    arrays = own.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "center"))), lambda x: x["center"]).alias("centre"))
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    rows = df.select(F.col(cluster).alias("cluster"), F.col(vector).alias("v")).join(arrays, "cluster")
+    spread = rows.groupBy("cluster").agg(F.avg(F.sqrt(square(F.col("v"), F.col("centre")))).alias("spread"))
+    known = own.join(spread, "cluster")
+    other = known.select("dim", F.col("cluster").alias("other"), F.col("center").alias("center_o"), F.col("spread").alias("spread_o"))
+    pairs = known.join(other, "dim").where("cluster <> other")  # as many as clusters squared, by dimension
+    apart = F.sqrt(F.sum(F.pow(F.col("center") - F.col("center_o"), F.lit(2.0))))
+    ratio = pairs.groupBy("cluster", "other").agg(((F.first("spread") + F.first("spread_o")) / F.nullif(apart, F.lit(0.0))).alias("ratio"))
+    return ratio.groupBy("cluster").agg(F.max(F.coalesce("ratio", F.lit(0.0))).alias("worst")).agg(F.avg("worst").alias("score"))
+
+
 def assigned(df: DataFrame, id_column: str, vector: str, centres: list[list[float]]) -> DataFrame:
     """(id, cluster, distance) to the nearest of a few fixed centres."""
     def distance(c: list[float]):

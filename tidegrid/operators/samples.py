@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
+from .curves import knee_place
 from .order_statistics import quantiles
 
 
@@ -89,3 +90,12 @@ def top_by_share(scores: DataFrame, keys: Sequence[str], ratio: float) -> DataFr
     ranked = scores.withColumns({"_rank": F.row_number().over(order), "_cum": cumulative})
     within = F.sum((F.col("_cum") <= ratio).cast("int")).over(everything)
     return ranked.withColumn("selected", F.col("_rank") <= F.greatest(within + 1, F.lit(3))).drop("_rank", "_cum")
+
+
+def top_by_knee(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """scores with selected: the highest ones before the knee of the falling curve of a key's scores, at least 3. A key has one row a feature."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "feature")
+    curves = scores.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list("score"))).alias("_curve"))
+    places = curves.select(F.struct(*keys).alias("_key"), knee_place(F.col("_curve")).alias("_place"))
+    ranked = scores.withColumns({"_rank": F.row_number().over(order), "_key": F.struct(*keys)}).join(places, "_key")
+    return ranked.withColumn("selected", F.col("_rank") <= F.greatest("_place", F.lit(3))).drop("_rank", "_key", "_place")

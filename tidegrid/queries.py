@@ -458,10 +458,26 @@ for _m, (_c, _s) in _SCALES.items():
     SELECT grp, feature, round(score, 2) AS score, k <= greatest(sum((c <= 0.6)::INT) OVER (PARTITION BY grp) + 1, 3) AS selected FROM r"""
 )
 def feature_topk(spark, sf):
+    return rounded(samples.top_by_share(_brand_scores(spark, sf), ["grp"], 0.6), 2)
+
+
+def _brand_scores(spark, sf) -> DataFrame:
     li, pa, su, na = (read(spark, sf, t) for t in ("lineitem", "part", "supplier", "nation"))
     s = li.join(pa, li.l_partkey == pa.p_partkey).join(su, li.l_suppkey == su.s_suppkey).join(na, na.n_nationkey == su.s_nationkey)
-    s = s.groupBy(F.col("n_name").alias("grp"), F.col("p_brand").alias("feature")).agg(F.sum("l_extendedprice").alias("score"))
-    return rounded(samples.top_by_share(s, ["grp"], 0.6), 2)
+    return s.groupBy(F.col("n_name").alias("grp"), F.col("p_brand").alias("feature")).agg(F.sum("l_extendedprice").alias("score"))
+
+
+@query(
+    """WITH s AS (SELECT n_name AS grp, p_brand AS feature, sum(l_extendedprice) AS score FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL),
+    u AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, feature) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM s),
+    v AS (SELECT *, 1 - (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) - k / nullif(n - 1.0::DOUBLE, 0) AS h FROM u WINDOW w AS (PARTITION BY grp)),
+    e AS (SELECT *, h > lag(h) OVER w AND h >= lead(h) OVER w AS peak, h < lag(h) OVER w AND h <= lead(h) OVER w AS dip FROM v WINDOW w AS (PARTITION BY grp ORDER BY k)),
+    t AS (SELECT *, coalesce(min(CASE WHEN peak OR dip THEN k END) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS turn FROM e),
+    q AS (SELECT t.grp, min(t.k) AS place FROM t JOIN t j ON j.grp = t.grp AND j.k > t.k AND j.k < t.turn AND j.h < t.h - 1.0 / (t.n - 1) WHERE t.peak GROUP BY t.grp)
+    SELECT u.grp, feature, round(score, 2) AS score, k < greatest(coalesce(place, n - 1), 3) AS selected FROM u LEFT JOIN q ON q.grp = u.grp"""
+)
+def feature_knee(spark, sf):
+    return rounded(samples.top_by_knee(_brand_scores(spark, sf), ["grp"]), 2)
 
 
 _EXPLODED = "SELECT label AS cluster, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings"
@@ -480,6 +496,16 @@ def ch_score(spark, sf):
     return rounded(clustering.calinski_harabasz_frame(read(spark, sf, "embeddings"), "label", "embedding"))
 
 
+@query(
+    f"""WITH c AS (SELECT cluster, dim, avg(x) AS c FROM ({_EXPLODED}) WHERE cluster IS NOT NULL GROUP BY ALL), v AS (SELECT cluster, list(c ORDER BY dim) AS c FROM c GROUP BY cluster),
+    s AS (SELECT label AS cluster, avg(sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], v.c), lambda z: pow(z[1] - z[2], 2))))) AS s FROM embeddings JOIN v ON v.cluster = label GROUP BY label),
+    r AS (SELECT a.cluster, max((s.s + t.s) / sqrt(list_sum(list_transform(list_zip(a.c, b.c), lambda z: pow(z[1] - z[2], 2))))) AS r FROM v a JOIN v b ON a.cluster <> b.cluster JOIN s ON s.cluster = a.cluster JOIN s t ON t.cluster = b.cluster GROUP BY a.cluster)
+    SELECT round(avg(r), 6) AS score FROM r"""
+)
+def db_score(spark, sf):
+    return rounded(clustering.davies_bouldin_frame(read(spark, sf, "embeddings"), "label", "embedding"))
+
+
 @query("SELECT label AS cluster, count(*) AS members FROM embeddings GROUP BY label")
 def cardinality(spark, sf):
     return read(spark, sf, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("members"))
