@@ -46,6 +46,7 @@ class CumulantLearner:
     regressor: Callable[[], Forecaster]
     models: dict[tuple[str, int], Forecaster] = field(default_factory=dict)
     cache: list[tuple[TimeInterval, DataFrame]] = field(default_factory=list)
+    scored: list[DataFrame] = field(default_factory=list)
 
     @property
     def step(self) -> timedelta:
@@ -77,12 +78,17 @@ class CumulantLearner:
     def fit(self, interval: TimeInterval) -> CumulantLearner:
         """Finds the clusters and trains anew."""
         self.transformer.fit(self.series, interval)
-        for _, df in self.cache:
-            df.unpersist()
-        self.models, self.cache = {}, []
+        self.release()
+        self.models = {}
         self._train(interval)
         return self
 
+    def release(self) -> None:
+        """Lets go of the frames that are kept in memory: known cumulants, and the rows that evaluate()'s scores read."""
+        for df in (*(df for _, df in self.cache), *self.scored):
+            df.unpersist()
+        self.cache, self.scored = [], []
+
     def update(self, interval: TimeInterval) -> CumulantLearner:
         """Trains the regressors on; clusters and factors stay. The lookback before the interval is included."""
         if not self.models:
@@ -154,7 +160,8 @@ class CumulantLearner:
             raise ValueError("the interval is shorter than the horizon")
         actual = self.transformer.moments(self.series, predict).select("source", "value_type", "category", "ts", F.col("mean").alias("x"))
         rows = self.transformer.inverse_transform(out, p, clusters=False).withColumnRenamed("id", "source").join(actual, ["source", "value_type", "category", "ts"])
-        rows = rows.persist()  # a row a member, step and probability; both scores read it
+        rows = rows.persist()  # a row a member, step and probability; both scores read it, release() lets it go
+        self.scored.append(rows)
         pin, win = scores(rows, p)
         tables = {"clustering_score": self.transformer.clustering_score(spark), "extractor_score": self.transformer.extractor_score(spark), "regressor_score": self.regressor_score(), "pinball_score": pin, "winkler_score": win}
         return Evaluation(tables | {"x_selector_score": self.x_selector_score(), "y_selector_score": self.y_selector_score()})
