@@ -238,10 +238,16 @@ def _arriving(spark, sf, parts: int, start) -> None:
     folder = shared_folder(spark, "events")
     us = tg.micros("ts")
     first, last = rows.agg(F.min(us), F.max(us)).first()
-    for k in range(parts):
-        low, high = (None if first is None else first + (last + 1 - first) * i // parts for i in (k, k + 1))
-        rows.where((us >= F.lit(low)) & (us < F.lit(high))).write.mode("append").parquet(folder)
-        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+    # A stream keeps the number of partitions of its state for good, each of them a store: no more than tasks run at once, twice.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        for k in range(parts):
+            low, high = (None if first is None else first + (last + 1 - first) * i // parts for i in (k, k + 1))
+            rows.where((us >= F.lit(low)) & (us < F.lit(high))).write.mode("append").parquet(folder)
+            start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
 def _live(spark, sf) -> tuple[str, str]:
