@@ -425,3 +425,23 @@ def test_tree_of_many_rows_holds_no_matrix(method):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(tree) == 2_999 and most < 3_000 * 3_000 * 8
+
+
+@pytest.mark.parametrize("method", clustering.IN_ROUNDS)
+def test_tree_in_rounds_is_the_same(method, monkeypatch):
+    """Many clusters are searched at once by several parts, and those of over PIECE rows in pieces."""
+    monkeypatch.setattr(clustering, "PIECE", 3)
+    monkeypatch.setattr(clustering, "ROUND_CELLS", 500)
+    rng, parts = np.random.default_rng(8), []
+
+    def over(f, own, shared):
+        parts.append(len(own))
+        return [f(p, *shared) for p in own]
+
+    for n in (0, 1, 2, 3, 700):
+        x = rng.normal(size=(n, 4)) + rng.integers(0, 3, size=(n, 1))
+        got, want = clustering.linkage_in_rounds(x, method, over, 20), clustering.linkage(x, method, n)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert len(parts) < 60 and max(parts) > 1
+    x = np.repeat(np.eye(5) * 9, 30, axis=0) + np.repeat(rng.normal(size=(30, 5)), 5, axis=0)  # rows that are equal
+    assert [g[2] for g in clustering.linkage_in_rounds(x, method, matrix_rows=9)] == pytest.approx([w[2] for w in clustering.linkage(x, method, 150)], abs=1e-6)
