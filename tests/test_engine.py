@@ -445,3 +445,21 @@ def test_tree_in_rounds_is_the_same(method, monkeypatch):
     assert len(parts) < 60 and max(parts) > 1
     x = np.repeat(np.eye(5) * 9, 30, axis=0) + np.repeat(rng.normal(size=(30, 5)), 5, axis=0)  # rows that are equal
     assert [g[2] for g in clustering.linkage_in_rounds(x, method, matrix_rows=9)] == pytest.approx([w[2] for w in clustering.linkage(x, method, 150)], abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies", "few values"])
+def test_joint_scores_compare_few_rows(kind, monkeypatch):
+    """Equal to the sums over all pairs of rows, of which most are never compared."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3_000, 4)).astype("float32").astype(float)
+    x = np.repeat(x[:600], 5, axis=0) if kind == "copies" else np.round(x, 1) if kind == "few values" else x
+    y = x[:, 3] + x[:, 0]
+    x = x[:, :3]
+    alone = [kernels.mutual_information(x[:, j], y) for j in range(3)]
+    want = [min(alone[j] + kernels.mutual_information(x[:, i], y, x[:, j]) for j in range(3) if j != i) for i in range(3)]
+    given = []
+    monkeypatch.setattr(kernels, "LEAF", 32)
+    real = np.partition
+    monkeypatch.setattr(np, "partition", lambda d, *a, **k: (given.append(d.size), real(d, *a, **k))[1])
+    assert kernels.joint_scores(x, y) == pytest.approx(want, abs=1e-9)
+    assert kind != "spread" or sum(given) < 6 * 3_000**2 / 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from functools import partial
+from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
@@ -161,46 +162,141 @@ def mutual_information(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None
     return float(digamma(np.array([k]))[0] - np.mean(digamma(inside(xz) + 1) + digamma(inside(yz) + 1) - digamma(inside(parts[2]) + 1)))
 
 
-def _joint_sums(rows: tuple[int, int], x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of these rows against all, the sums that mutual_information() takes means of: by column, and by (column, condition)."""
-    a, z = rows
-    m, at = x.shape[1], np.arange(z - a)
-    dy = np.abs(y[a:z, None] - y[None])
-    dx = [np.abs(x[a:z, j, None] - x[None, :, j]) for j in range(m)]
-    with_y = [np.maximum(d, dy) for d in dx]
+#: Rows of a leaf, whose nearest rows are searched together, and distances that are held at a time for it.
+LEAF, LEAF_CELLS = 64, 1 << 16
 
-    def radius_of(joint: np.ndarray) -> np.ndarray:
-        joint[at, at + a] = np.inf
-        return np.partition(joint, k - 1, axis=1)[:, k - 1 : k]
 
-    def inside(d: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        return digamma((d < radius).sum(1) - (radius[:, 0] > 0) + 1)
-
-    alone, pair = np.zeros(m), np.zeros((m, m))
-    for j in range(m):
-        r = radius_of(with_y[j].copy())
-        alone[j] = (inside(dx[j], r) + inside(dy, r)).sum()
-        for i in range(j):
-            both = np.maximum(dx[i], dx[j])
-            r = radius_of(np.maximum(both, dy))
-            near = inside(both, r)
-            pair[i, j] = (near + inside(with_y[j], r) - inside(dx[j], r)).sum()
-            pair[j, i] = (near + inside(with_y[i], r) - inside(dx[i], r)).sum()
-    return alone, pair
+def _leaves(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in leaves of LEAF at most by halving the widest column: (rows in order, first of each leaf and the end, lowest and highest values of each)."""
+    order, start, todo = np.arange(len(points)), [], [(0, len(points))]
+    while todo:
+        a, z = todo.pop()
+        if z - a <= LEAF:
+            start.append(a)
+            continue
+        own = points[order[a:z]]
+        half = (z - a) // 2
+        order[a:z] = order[a:z][np.argpartition(own[:, np.ptp(own, axis=0).argmax()], half)]
+        todo += [(a + half, z), (a, a + half)]
+    at = points[order]
+    return order, np.array([*start, len(points)]), np.minimum.reduceat(at, start), np.maximum.reduceat(at, start)
+
+
+def _sorted_inside(values: np.ndarray, at: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many of the sorted values have |value - at| < radius, rounding as in that difference."""
+    first, last = np.searchsorted(values, at - radius), np.searchsorted(values, at + radius)
+    n = len(values)
+    inside = lambda i: (i >= 0) & (i < n) & (np.abs(values[np.clip(i, 0, n - 1)] - at) < radius)
+    while (more := inside(first - 1)).any():
+        first = first - more
+    while (more := (first < last) & ~inside(first)).any():
+        first = first + more
+    while (more := inside(last)).any():
+        last = last + more
+    while (more := (last > first) & ~inside(last - 1)).any():
+        last = last - more
+    return last - first
+
+
+def _joint_sums(part: tuple[tuple[int, ...], int, int], x: np.ndarray, y: np.ndarray, k: int) -> list[float]:
+    """Of a share (its number, of how many) of all rows, the sums that mutual_information() takes means of: of one column, or of each of two under the other.
+
+    The k-th distance in a leaf bounds the one among all rows; only rows in the leaf's box, widened by it, are compared.
+    """
+    columns, number, shares = part
+    points = np.column_stack((*(x[:, j] for j in columns), y))
+    order, start, low, high = _leaves(points)
+    at, n, width = points[order], len(points), points.shape[1]
+    ranked = [np.sort(points[:, c]) for c in range(width)]
+    sums = [0.0] * len(columns)
+
+    def candidates(lo: np.ndarray, hi: np.ndarray, dims: list[int]) -> np.ndarray:
+        hit = np.flatnonzero(np.logical_and.reduce([(low[:, c] <= hi[c]) & (high[:, c] >= lo[c]) for c in dims]))
+        if not len(hit):
+            return np.zeros(0, int)
+        rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in hit])
+        own = at[rows]
+        return rows[np.logical_and.reduce([(own[:, c] <= hi[c]) & (own[:, c] >= lo[c]) for c in dims])]
+
+    def distances(own: np.ndarray, other: np.ndarray, dims: list[int]) -> np.ndarray:
+        out = None
+        for c in dims:
+            d = own[:, c, None] - other[None, :, c]
+            np.abs(d, out=d)
+            out = d if out is None else np.maximum(out, d, out=out)
+        return out
+
+    every = list(range(width))
+    for leaf in range(number, len(start) - 1, shares):
+        rows = np.arange(start[leaf], start[leaf + 1])
+        own, m = at[rows], len(rows)
+
+        def kth(d: np.ndarray) -> np.ndarray:
+            return np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] >= k else np.column_stack((d, np.full((len(d), k - d.shape[1]), np.inf)))
+
+        d = distances(own, own, every)
+        np.fill_diagonal(d, np.inf)
+        radius = kth(d)[:, k - 1].copy()
+        todo = np.flatnonzero(radius > 0)
+
+        def box(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            r = radius[which, None]
+            with np.errstate(invalid="ignore"):
+                lo, hi = own[which] - r, own[which] + r
+            return np.nextafter(lo.min(0), -np.inf), np.nextafter(hi.max(0), np.inf)
+
+        if len(todo):
+            found, best = candidates(*box(todo), every), None
+            step = max(1, LEAF_CELLS // len(todo))
+            for a in range(0, len(found), step):
+                others = found[a : a + step]
+                d = distances(own[todo], at[others], every)
+                d[rows[todo, None] == others] = np.inf
+                best = kth(d if best is None else np.column_stack((best, d)))
+            radius[todo] = best.max(1)
+
+        def inside(dims: list[int]) -> np.ndarray:
+            count = np.ones(m, int)  # the row itself
+            which = np.flatnonzero(radius > 0)
+            if len(dims) == 1:
+                count[which] = _sorted_inside(ranked[dims[0]], own[which, dims[0]], radius[which])
+            elif len(which):
+                count[which] = 0
+                found, step = candidates(*box(which), dims), max(1, LEAF_CELLS // len(which))
+                for a in range(0, len(found), step):
+                    count[which] += np.count_nonzero(distances(own[which], at[found[a : a + step]], dims) < radius[which, None], axis=1)
+            return digamma(count)
+
+        if width == 2:
+            sums[0] += (inside([0]) + inside([1])).sum()
+        else:
+            near = inside([0, 1])
+            for j in (0, 1):
+                sums[j] += (near + inside([j, 2]) - inside([j])).sum()
+    return sums
 
 
 def joint_scores(x: np.ndarray, y: np.ndarray, k: int = 3, over: Callable[[Callable, list], Iterable] = map) -> np.ndarray:
     """Of each column the least information that it and one other column have on y together; a lone column's own.
 
-    Work grows with the square of the rows; over maps a function over blocks of rows, in this process by default.
+    A row is held against those near it only, so work grows with the 4/3 power of the rows where they are spread out.
+    over maps a function over parts (columns and a share of the rows), in this process by default.
     """
     n, m = x.shape
-    sums = list(over(partial(_joint_sums, x=x, y=y, k=k), blocks(n)))
+    shares = max(1, min(64, n // 20_000))
+    parts = [(columns, a, shares) for columns in [*combinations(range(m), 2), *((j,) for j in range(m))] for a in range(shares)]
+    alone, pair = np.zeros(m), np.zeros((m, m))
+    for (columns, *_), sums in zip(parts, over(partial(_joint_sums, x=x, y=y, k=k), parts), strict=True):
+        if len(columns) == 1:
+            alone[columns[0]] += sums[0]
+        else:
+            i, j = columns
+            pair[i, j], pair[j, i] = pair[i, j] + sums[1], pair[j, i] + sums[0]
     at_k, at_n = digamma(np.array([k, n]))
-    alone = at_k + at_n - sum(a for a, _ in sums) / n
+    alone = at_k + at_n - alone / n
     if m == 1:
         return alone
-    given = at_k - sum(p for _, p in sums) / n
+    given = at_k - pair / n
     return np.array([min(alone[j] + given[i, j] for j in range(m) if j != i) for i in range(m)])
 
 

@@ -689,8 +689,8 @@ def synthetic_samples(spark, sf):
 @query()
 def joint_information(spark, sf):
     x = _matrix(spark, sf, 7)
-    # Every row is held against all rows, which the tasks do block by block.
-    spread = lambda f, blocks: spark.sparkContext.parallelize(blocks, min(len(blocks), 200)).map(f).collect()
+    # The tasks hold shares of the rows against those near them.
+    spread = lambda f, parts: spark.sparkContext.parallelize(parts, min(len(parts), 200)).map(f).collect()
     scores_ = kernels.joint_scores(x[:, :6], x[:, 6] + x[:, 0], over=spread)
     keep = kernels.selected(np.maximum(scores_, 1e-12), 0.9)
     return spark.createDataFrame([(i, float(s), i in keep) for i, s in enumerate(scores_)], "feature int, score double, selected boolean")
