@@ -463,3 +463,36 @@ def test_joint_scores_compare_few_rows(kind, monkeypatch):
     monkeypatch.setattr(np, "partition", lambda d, *a, **k: (given.append(d.size), real(d, *a, **k))[1])
     assert kernels.joint_scores(x, y) == pytest.approx(want, abs=1e-9)
     assert kind != "spread" or sum(given) < 6 * 3_000**2 / 4
+
+
+def test_silhouette_goes_in_parts():
+    rng = np.random.default_rng(4)
+    x, labels, parts = rng.normal(size=(1_300, 3)), rng.integers(0, 4, 1_300) * 2, []
+    x[5] = x[9]
+    labels[7] = 11  # alone
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = np.stack([d[:, labels == c].mean(1) for c in np.unique(labels)], 1)
+    own = np.searchsorted(np.unique(labels), labels)
+    n = np.bincount(own)[own]
+    i = np.arange(len(x))
+    near = means[i, own] * n / np.maximum(n - 1, 1)
+    means[i, own] = np.inf
+    want = np.where(n > 1, (means.min(1) - near) / np.maximum(means.min(1), near), 0).mean()
+    assert clustering.silhouette(x, labels, lambda f, p, shared: [parts.append(q) or f(q, *shared) for q in p]) == pytest.approx(want)
+    assert len(parts) == 3
+
+
+def test_search_over_k_scores_cuts_from_sums(monkeypatch):
+    rng, calls = np.random.default_rng(5), []
+    x = rng.normal(size=(900, 5)) + rng.integers(0, 4, size=(900, 1)) * 3
+    real = clustering.calinski_harabasz
+    own = clustering.Clustering(score=lambda x, labels: calls.append(len(x)) or real(x, labels)).fit(x)
+    got = clustering.Clustering().fit(x)
+    assert got.scores == pytest.approx(own.scores) and len(calls) == len(own.scores)
+    assert (got.k, got.labels.tolist(), got.cardinality) == (own.k, own.labels.tolist(), own.cardinality)
+    monkeypatch.setitem(clustering.SCORES, "ch", real)
+    monkeypatch.setattr(clustering, "squared", lambda a, b, f=clustering.squared: (calls.append(len(a) * len(b)), f(a, b))[1])
+    monkeypatch.setattr(clustering, "AT_ONCE", 3_000)
+    assert clustering.Clustering().fit(x).labels.tolist() == own.labels.tolist() and max(calls[len(own.scores) :]) <= 3_000
+    for k, sizes in got.cardinality.items():
+        assert sum(sizes) == 900 and len(sizes) <= k

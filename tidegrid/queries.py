@@ -737,7 +737,8 @@ def hierarchical_clusters(spark, sf):
 def validity_scores(spark, sf):
     x = _matrix(spark, sf)
     labels = clustering.lloyd(x, 10)
-    return spark.createDataFrame([(n, float(f(x, labels))) for n, f in clustering.SCORES.items()], "name string, score double")
+    scored = {n: clustering.silhouette(x, labels, _spread(spark)) if n == "s" else f(x, labels) for n, f in clustering.SCORES.items()}
+    return spark.createDataFrame([(n, float(s)) for n, s in scored.items()], "name string, score double")
 
 
 @query()
