@@ -309,3 +309,31 @@ def test_scores_by_columns_equal_the_kernels(spark):
     got = samples.top_by_knee(spark.createDataFrame(rows, "k string, feature string, score double"), ["k"]).where("selected").collect()
     for k, c in curves.items():
         assert {r.feature for r in got if r.k == k} == {f"f{i:02d}" for i in kernels.selected(c.tolist())}
+
+
+def test_nearest_rows_are_sent_once_a_group(spark, monkeypatch):
+    """The same neighbours when tasks hold few wanted rows and get a share of the others; a cell goes to a group once, however many blocks visit it."""
+    from tidegrid.operators import neighbours
+
+    x = np.random.default_rng(2).normal(size=(600, 6))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    wanted = rows.select(F.col("id").alias("q"), F.lit(-1).alias("column"), "v")
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :3].tolist()
+    sent = []
+    real = neighbours._nearest_in
+
+    def seen(visits, *rest):
+        sent.append((visits.count(), visits.select("group", "cell").distinct().count()))
+        return real(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "_nearest_in", seen)
+    for held, share in ((16_384, 65_536), (100, 150)):
+        monkeypatch.setattr(neighbours, "HELD", held)
+        monkeypatch.setattr(neighbours, "SENT", share)
+        got = {}
+        for r in neighbours.nearest(wanted, rows, 3, 12).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.id)
+        assert [got[i] for i in range(600)] == want
+    assert sent[1][1] <= 12 < sent[1][0]

@@ -26,6 +26,8 @@ from . import ranges
 
 #: Pivots at most (a block's rows for each otherwise), rows of a block on average, and rows of it that are compared at a time.
 PIVOTS, BLOCK, SLICE = 4_096, 2_048, 256
+#: Wanted rows that a task holds, about, and rows that it is sent for them: what is sent in all falls with the first, what a task reads with the second.
+HELD, SENT = 16_384, 65_536
 #: What is ruled out has to be this much farther, relatively: more than rounding can do.
 SLACK = 1e-9
 
@@ -148,26 +150,35 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(self.q[at]), pa.array(self.columns[at].astype(np.int32)), pa.array(ids), pa.array(d2), pa.array(value)], names=["q", "column", "id", "d2", "value"])
 
 
-def _nearest_in(visits: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """FOUND: of each block of left the k nearest rows in the blocks of the cells it visits, one of which is held at a time."""
+def _nearest_in(visits: DataFrame, left: DataFrame, right: DataFrame, k: int, shares: int) -> DataFrame:
+    """FOUND: of each block of left the k nearest rows in the blocks of the cells it visits, one of which is held at a time.
+
+    A task holds the blocks of a group and is sent a share of the cells' blocks that any of them visits, each once.
+    """
     none = {c: F.lit(None).cast(dict((f.name, f.dataType) for f in d.schema)[c]) for c, d in (("left", left), ("right", right))}
-    begin = left.select("home", "block", F.lit(-1).alias("cell"), "left", none["right"].alias("right"))
-    goes = visits.join(right, "cell").select("home", "block", "cell", none["left"].alias("left"), "right")
+    which = F.array(F.struct("home", "block"))
+    none_of = F.lit(-1).alias("cell")
+    by = visits.groupBy("group", "cell").agg(F.collect_list(F.struct("home", "block")).alias("which"))
+    goes = by.join(right, "cell").select("group", "share", "cell", "which", none["left"].alias("left"), "right")
+    begin = left.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), none_of, which.alias("which"), "left", none["right"].alias("right"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        at, held = None, {}
         for b in batches:
-            for n, cell in enumerate(b.column("cell").to_pylist()):
+            keys = zip(b.column("group").to_pylist(), b.column("share").to_pylist(), strict=True)
+            for n, (key, cell) in enumerate(zip(keys, b.column("cell").to_pylist(), strict=True)):
+                if key != at:
+                    yield from (x.rows() for x in held.values() if len(x.found[0]))
+                    at, held = key, {}
+                own = [(w["home"], w["block"]) for w in b.column("which").slice(n, 1).to_pylist()[0]]
                 if cell < 0:
-                    if block is not None and len(block.found[0]):
-                        yield block.rows()
-                    block = _Block(b.column("left"), n)
+                    held[own[0]] = _Block(b.column("left"), n)
                 else:
-                    block.visit(b.column("right"), n, k)
-        if block is not None and len(block.found[0]):
-            yield block.rows()
+                    for o in own:
+                        held[o].visit(b.column("right"), n, k)
+        yield from (x.rows() for x in held.values() if len(x.found[0]))
 
-    return begin.unionByName(goes).repartition("home", "block").sortWithinPartitions("home", "block", "cell").mapInArrow(run, FOUND)
+    return begin.unionByName(goes).repartition("group", "share").sortWithinPartitions("group", "share", "cell").mapInArrow(run, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -182,9 +193,10 @@ def nearest(wanted: DataFrame, rows: DataFrame, k: int, pivots: int | None = Non
     first. Rows that share no column are no neighbours, so there may be fewer than k.
     """
     dealt, cells = celled(rows, pivots)
-    right = _packed(dealt, "cell", "id", "v", name="right").drop("block")
+    shares = max(1, -(-int(cells.have[:, -1].sum()) // SENT))
+    right = _packed(dealt, "cell", "id", "v", name="right").withColumn("share", F.pmod(F.xxhash64("cell", "block"), F.lit(shares)).cast("long")).drop("block")
     asked = checkpointed(_asked(wanted, cells), "wanted")
-    left = _packed(asked, "home", "q", "column", "v", name="left")
+    left = _packed(asked, "home", "q", "column", "v", name="left").join(F.broadcast(_groups(asked, cells)), "home")
 
     def visits(second: bool):
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,17 +218,33 @@ def nearest(wanted: DataFrame, rows: DataFrame, k: int, pivots: int | None = Non
 
     schema = "home int, block long, cell int"
     goes = checkpointed(asked.mapInPandas(visits(False), schema).distinct(), "visits")
-    one = _best(_nearest_in(goes, left, right, k), k)
+    grouped = lambda v: v.join(F.broadcast(_groups(asked, cells)), "home")
+    one = _best(_nearest_in(grouped(goes), left, right, k, shares), k)
     if len(cells.pivots) == 1:
         return one
     one = checkpointed(one, "nearest")
     bounds = one.groupBy("q", "column").agg(F.when(F.count("*") == k, F.max("d2")).alias("bound"))
     bounded = asked.join(bounds, ["q", "column"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     more = bounded.mapInPandas(visits(True), schema).distinct().join(goes, ["home", "block", "cell"], "left_anti")
-    two = _nearest_in(more, left, right, k)
+    two = _nearest_in(grouped(more), left, right, k, shares)
     return _best(one.drop("rank").unionByName(two), k)
 
 
+def _groups(asked: DataFrame, cells: Cells) -> DataFrame:
+    """(home, group): homes whose pivots are near each other along the line of most spread, of about HELD wanted rows together."""
+    counts = {r.home: r.n for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    p = cells.pivots - cells.pivots.mean(0)
+    line = p @ np.linalg.eigh(p.T @ p)[1][:, -1] if p.shape[1] else np.zeros(len(p))
+    rows, group, total = [], 0, 0
+    for home in np.argsort(line, kind="stable").tolist():
+        n = counts.get(home, 0)
+        if total and total + n > HELD:
+            group, total = group + 1, 0
+        total += n
+        rows.append((home, group))
+    return asked.sparkSession.createDataFrame(rows, "home int, group long")
+
+
 def _asked(wanted: DataFrame, cells: Cells) -> DataFrame:
     """wanted with its nearest cell and a block there: rows that are near each other visit the same cells."""
 
