@@ -1,9 +1,11 @@
 """Work along a series split by ranges of time against the whole series in one piece, and streams with state as a table."""
 
 import math
+from dataclasses import astuple
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidegrid.operators import autocorrelation, gapfill, kernels, neighbours, ra
 from tidegrid.operators.moments import bucket_moments
 from tidegrid.schema import ID
 from tidegrid.streaming import live
+from tidegrid.streaming import segments as stream
 from tidegrid.streaming.increments import PowerSums
 
 SERIES = "source string, value_type string, category string, ts timestamp_ntz, value double"
@@ -235,6 +238,89 @@ def test_idle_series_are_closed_by_a_timer(spark, tmp_path):
     assert open_["a", 30] == (at(2_011), at(2_020))
 
 
+def bare_segments(found):
+    return [(r, *[c[f][i].item() for f in stream.FIELDS]) for r, c in found for i in range(len(c["end"]))]
+
+
+@pytest.mark.parametrize("step", [False, True])
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_samples_in_blocks_equal_the_pass_over_each(monkeypatch, step, block):
+    """Late and repeated samples, times before 1970, a gap, a huge value, a stop at any place; pieces in blocks of any size."""
+    monkeypatch.setattr(stream, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    t = np.cumsum(rng.integers(-20, 60, 250)) * 1_000_000 + rng.integers(0, 5, 250) * 250_000 - 3_000_000_000
+    t[120:] += 9_000_000_000
+    v = rng.normal(5, 3, 250)
+    v[40] = 1e15
+    each, many = stream.SegmentState(TREE, step), stream.SegmentState(TREE, step)
+    want = [(r, *astuple(x)) for a, b in zip(t.tolist(), v.tolist(), strict=True) for r, x in each.process(a, b)]
+    cuts = [slice(0, 1), slice(1, 90), slice(90, 91), slice(91, 250)]
+    got = [x for c in cuts for x in bare_segments(many.extend(t[c], v[c]))]
+    got += [(r, *astuple(x)) for r, x in many.open.items()]
+    want += [(r, *astuple(x)) for r, x in each.open.items()]
+    assert len(got) == len(want) > 500 and many.last == each.last
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[4] == b[4]
+        assert a == pytest.approx(b, rel=1e-7, abs=1e-7)
+
+
+@pytest.mark.parametrize("far", [math.inf, 1e75])
+def test_far_values_change_their_own_segments_only(far):
+    t, v = np.arange(1, 400) * 10_000_000, np.arange(1, 400) % 7 + 1.0
+    v[100] = v[150] = far
+    each, many = stream.SegmentState(TREE), stream.SegmentState(TREE)
+    want = sorted((r, *astuple(x)) for a, b in zip(t.tolist(), v.tolist(), strict=True) for r, x in each.process(a, b))
+    got = sorted(bare_segments(many.extend(t, v)))
+    assert len(got) == len(want) and sum(math.isfinite(x[5]) and x[5] < 8 for x in got) > 200
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-7, abs=1e-7, nan_ok=True)
+
+
+class Held:
+    """What a processor's state needs, without a stream."""
+
+    def __init__(self):
+        self.held = {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = lambda self, *_: Held()  # noqa: E731, N815
+    exists = lambda self: "value" in self.held
+    get = lambda self: self.held["value"]
+    update = lambda self, value: self.held.update(value=value)
+    iterator = lambda self: iter(self.held.items())
+    removeKey = lambda self, k: self.held.pop(k)  # noqa: E731, N815
+    updateValue = lambda self, k, v: self.held.update({k: v})  # noqa: E731, N815
+
+
+@pytest.mark.parametrize("arrival", [False, True])
+def test_live_segments_have_no_step_for_each_sample(monkeypatch, arrival):
+    """A batch of a series, in several frames out of order, goes through whole columns; the samples are taken as one by one."""
+    rng = np.random.default_rng(4)
+    t, v = rng.permutation(np.arange(2_000)) * 7_000_000, rng.normal(5, 3, 2_000)
+    place = t + rng.integers(-9, 9, 2_000) * 1_000_000
+    state, want, cuts = stream.SegmentState(TREE), [], [slice(0, 900), slice(900, 2_000)]
+    for c in cuts:
+        order = np.lexsort((v[c], place[c] if arrival else t[c]))
+        want += [(r, *astuple(x)) for k in order for r, x in state.process(t[c][k].item(), v[c][k].item())]
+
+    def refuse(*_):
+        raise AssertionError("a step for one sample")
+
+    monkeypatch.setattr(stream.SegmentState, "process", refuse)
+    processor, got = live.SegmentProcessor(TREE, False, None, arrival), []
+    processor.init(Held())
+    for c in cuts:
+        rows = pd.DataFrame({"source": "a", "value_type": None, "category": "c", "us": t[c], "value": v[c], "place": place[c]})
+        for out in processor.handleInputRows(("a", None, "c"), iter([rows[:300], rows[300:]]), None):
+            assert out.columns.tolist() == [c.split()[0] for c in live.OUT.split(", ")] and set(out.value_type) == {None}
+            got += [tuple(x) for x in out[out.columns[3:]].itertuples(index=False)]
+    assert len(got) == len(want) > 400
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a == pytest.approx(b, rel=1e-7, abs=1e-7)
+
+
 def test_power_sums_count_a_batch_once(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = [(s, "V", "c", at(int(t)), float(rng.normal(3, 2))) for s in ("a", None) for t in rng.integers(0, 500, 90)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 import numpy as np
@@ -238,15 +238,14 @@ def _arriving(spark, sf, parts: int, start) -> None:
 
     rows = read(spark, sf, "events").select("ts", "event_type", "user_id", "value").where("ts is not null")
     folder = shared_folder(spark, "events")
-    us = tg.micros("ts")
-    first, last = rows.agg(F.min(us), F.max(us)).first()
-    # A stream keeps the number of partitions of its state for good, each of them a store: no more than tasks run at once, twice.
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    # A stream keeps its number of partitions for good: no more than tasks run at once, twice.
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), 2 * spark.sparkContext.defaultParallelism))
     try:
         for k in range(parts):
-            low, high = (None if first is None else first + (last + 1 - first) * i // parts for i in (k, k + 1))
-            rows.where((us >= F.lit(low)) & (us < F.lit(high))).write.mode("append").parquet(folder)
+            low, high = (F.lit(None if first is None else first + (last - first + timedelta(microseconds=1)) * i // parts).cast("timestamp_ntz") for i in (k, k + 1))
+            rows.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(folder)
             start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)

@@ -1,7 +1,8 @@
 """Segments of a stream whose state is a table: timers for idle series, open segments beside the written ones.
 
 A series' state is its last sample and a map from resolution to the segment under way, in a RocksDB state store. Only
-what a batch changes is read and written. Series that fall silent can be closed by a timer on the watermark. The state
+what a batch changes is read and written. A series' samples of a batch meet in one task, which holds their times and
+values, sorts them and cuts them by columns, a block of pieces at a time. Series that fall silent can be closed by a timer on the watermark. The state
 of the last finished batch can be read as a table, so that finished and open segments together are what the batch
 operator gives for all samples so far.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.timegrid import ResolutionTree, after, bucket, from_micros, micros
 from ..schema import ID, MOMENTS
-from .segments import Open, SegmentState
+from .segments import Open, SegmentState, frame
 
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LAST = "t long, value double"
@@ -29,8 +31,8 @@ OUT = ", ".join(f"{c} string" for c in ID) + ", resolution_s long, " + OPEN
 class SegmentProcessor(StatefulProcessor):
     """One pass over each series; see SegmentState. idle_s: seconds of event time without a sample after which its open segments are given out as they are."""
 
-    def __init__(self, tree: ResolutionTree, step: bool, idle_s: int | None):
-        self.tree, self.step, self.idle_s = tree, step, idle_s
+    def __init__(self, tree: ResolutionTree, step: bool, idle_s: int | None, arrival: bool = False):
+        self.tree, self.step, self.idle_s, self.arrival = tree, step, idle_s, arrival
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -41,6 +43,14 @@ class SegmentProcessor(StatefulProcessor):
         if found:
             yield pd.DataFrame([(*key, r, *astuple(s)) for r, s in found], columns=[c.split()[0] for c in OUT.split(", ")])
 
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+        """Times and values; of a batch's rows no more is held than what orders them."""
+        columns = ["us", "value", "place"] if self.arrival else ["us", "value"]
+        pdf = pd.concat([r[columns] for r in rows], ignore_index=True)
+        t, v = pdf.us.to_numpy(), pdf.value.to_numpy()
+        order = pdf.sort_values(["place", "value"], kind="stable").index.to_numpy() if self.arrival else np.lexsort((v, t))
+        return t[order], v[order]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = SegmentState(self.tree, self.step)
         if self.last.exists():
@@ -48,8 +58,8 @@ class SegmentProcessor(StatefulProcessor):
             s.last = (t, value)
             s.open = {k[0]: Open(*v) for k, v in self.open.iterator()}
         before = dict(s.open)
-        pdf = pd.concat(list(rows)).sort_values(["place", "value"], kind="stable")
-        found = [x for t, v in zip(pdf.us.tolist(), pdf.value.tolist(), strict=True) for x in s.process(t, v)]
+        for r, found in s.extend(*self._in_order(rows)):
+            yield frame(key, r, found)
         for r in before.keys() - s.open.keys():
             self.open.removeKey((r,))
         for r, own in s.open.items():
@@ -60,7 +70,6 @@ class SegmentProcessor(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(s.last[0] // 1000 + self.idle_s * 1000)
-        yield from self._rows(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Gives the open segments out and forgets the series: its next sample starts anew."""
@@ -86,10 +95,10 @@ def live_segments(series: DataFrame, tree: ResolutionTree, step: bool = False, a
     rows = series.where("ts is not null and value is not null and not isnan(value)")
     rows = rows.where("value <> 0") if skip_zeros else rows
     us = micros("ts")
-    rows = rows.select(*ID, us.alias("us"), "value", (F.col(arrival) if arrival else us).alias("place"), F.timestamp_micros(us).alias("at"))
+    rows = rows.select(*ID, us.alias("us"), "value", *([F.col(arrival).alias("place")] if arrival else []), F.timestamp_micros(us).alias("at"))
     timed = idle_s is not None
     rows = rows.withWatermark("at", f"{late_s} seconds") if timed else rows.drop("at")
-    out = rows.groupBy(*ID).transformWithStateInPandas(SegmentProcessor(tree, step, idle_s), OUT, "Append", "EventTime" if timed else "None")
+    out = rows.groupBy(*ID).transformWithStateInPandas(SegmentProcessor(tree, step, idle_s, arrival is not None), OUT, "Append", "EventTime" if timed else "None")
     return _shown(out)
 
 
