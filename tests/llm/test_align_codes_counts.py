@@ -161,6 +161,50 @@ def test_a_tokenizer_without_proof_takes_texts_whole(spark, tmp_path):
         token_counts.huge_counts(frame, path)
 
 
+def test_the_library_is_asked_for_each_piece_once():
+    """Of whole texts and of chunks, which were encoded anew from end to end."""
+    tokens, asked = token_counts.JsonTokens(A), Counter()
+    whole, ends = tokens.counts, token_counts.Ends(token_counts.JsonTokens(A)).before
+    own = tokens.tokenize
+    tokens.tokenize = lambda piece: asked.update([piece]) or own(piece)
+    tokens.counts = tokens.ends = None
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) + rng.choice(["", ",", ".\nNext", "###"]) for _ in range(300)]
+    texts, spans = [" ".join(rng.choices(words, k=2_000)) for _ in range(4)], [(0, 200), (3_000, 3_200)]
+    counter = token_counts.PieceCounts(tokens)
+    assert counter.counts(texts) == whole(texts)
+    assert [counter.before(t, spans) for t in texts] == [ends(t, spans) for t in texts]
+    assert set(asked.values()) == {1} and len(asked) < 1_000
+
+
+def test_pieces_of_odd_texts_equal_the_library():
+    tokens = token_counts.JsonTokens(A)
+    counter, own = token_counts.PieceCounts(tokens), random.Random(8)
+    odd = [*LETTERS, *"\x1f\u0250\u1680\u180e\u2028\u3000ªʰǅ\r\0", "<|endoftext|>", "\n <|endoftext|>", " a b", "it's 12"]
+    for k in range(3_000):
+        text = "".join(own.choices(odd if k % 2 else "ab é.\n", k=k % 40))
+        assert counter.count(text) == tokens.counts([text])[0] and counter.count(text, True) == tokens.counts([" " + text])[0]
+        spans = [(0, k % 20), (k % 7, 30)]
+        assert counter.before(text, spans) == token_counts.Ends(tokens).before(text, spans)
+
+
+def test_only_plain_byte_level_files_go_by_pieces(tmp_path):
+    """Added tokens of letters, a prefix space, and files that split or normalize in other ways."""
+    import json
+
+    with open(A, encoding="utf-8") as f:
+        j = json.load(f)
+    letters = j["added_tokens"][0] | {"id": 50257, "content": "ab", "special": False}
+    changes = {"letters": {"added_tokens": [*j["added_tokens"], letters]}, "prefix": {"pre_tokenizer": j["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}}
+    for name, change in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(j | change), encoding="utf-8")
+        tokens = token_counts.JsonTokens(str(path))
+        assert tokens.proven and tokens.level == (name == "letters")
+        texts = ["cab Abc ab\nab  xab,", "Ab", "a b\n ab"]
+        assert token_counts.counter_of(tokens).counts(texts) == tokens.counts(texts)
+    assert not any(token_counts.tokens_of(P.path(n)).level for n in ("word_bpe_49k.json", "piece_bpe_32k.model"))
+
+
 def codes(vectors, parts, entries, rounds):
     """One component at a time, in Python integers: codebooks, and (code, error) of each vector."""
     q = [[int(np.floor(4096 * float(x))) for x in v] for v in vectors]

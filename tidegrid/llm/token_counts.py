@@ -7,13 +7,18 @@ knows no token, special token or piece of the split pattern ever crosses such a
 merges stay within pieces, so the tokens on both sides of it are those of the whole text. The count of a text is the
 last chunk's tokens, plus, over all splices, the left chunk's tokens before the place minus the right chunk's.
 Where an overlap has no such place the text is cut anew with larger chunks and overlaps, in the end into one.
+
+The same places part a text's words, so that most words need not go through the library: their counts are kept during
+a task. Of byte-level BPE files, as byte_bpe_50k.json, the pieces of a word that is new are counted by the library's
+model, each once (PieceCounts); chunks are counted so too. Other known tokenizers take new words whole (WordCounts).
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -23,16 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import let_go
+from .bpe import UNEVEN
 from .common import text_of, written
+from .records import LETTERS, SPACE_LETTER
 
 #: Code points of a chunk and of what it shares with the next one, at first.
 CHUNK, OVERLAP = 16_384, 256
-#: Words whose counts a worker keeps during a task, and their length. A word takes about 150 bytes.
+#: Words whose counts a worker keeps during a task (of pieces that no space leads a third), and their length. A word takes about 150 bytes.
 KEPT, LONGEST = 600_000, 64
-TURN = regex.compile(r"(?<=\S) ")
+TURN = regex.compile(r"(?<=[^\s\x1c-\x1f]) ")
+#: White space before a space, which may be one piece of the split.
+RUNS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 
 #: The split patterns of the known tokenizers; none matches across a turn from a character that is no white space to a space.
 SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: How the library's byte-level split cuts. Only asked about characters below U+0250, whose classes no version of Unicode changes.
+LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def _normalizer_stays(n: dict | None) -> bool:
@@ -66,6 +77,10 @@ class JsonTokens:
             j = json.load(f)
         whole = all(not (a["lstrip"] or a["rstrip"] or regex.search(r"\s", a["content"])) for a in j["added_tokens"])
         self.proven = j["model"]["type"] in ("BPE", "WordPiece", "WordLevel") and whole and _normalizer_stays(j["normalizer"]) and _splitter_cuts(j["pre_tokenizer"])
+        p, self.added = j["pre_tokenizer"], [a["content"] for a in j["added_tokens"]]
+        #: Whether a text's tokens are those of its pieces by LEVEL, each by the model alone.
+        self.level = self.proven and j["model"]["type"] == "BPE" and j["normalizer"] is None and p["type"] == "ByteLevel" and p["use_regex"] and not p["add_prefix_space"] and not j["model"].get("dropout")
+        self.tokenize, self.split = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,6 +92,8 @@ class JsonTokens:
 class PieceTokens:
     """A sentencepiece file. Merges of a BPE model never cross a turn to a space if no piece holds one, and if texts are not normalized."""
 
+    level = False
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -100,7 +117,7 @@ class WordCounts:
     """Counts of whole texts, each word's once during a task: the turns from a word to a single space are proven places, so a text's count is the sum of those of its words.
 
     Each word but the first is counted with the space before it, which the sentencepiece library adds to a text by
-    itself. Texts with several spaces in a row, or a space at an end, are counted whole.
+    itself. Texts with white space before a space, or a space at an end, are counted whole.
     """
 
     def __init__(self, tokens: JsonTokens | PieceTokens):
@@ -108,7 +125,7 @@ class WordCounts:
         self.kept: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [None if t[:1] == " " or t[-1:] == " " or "  " in t or not t else t.split(" ") for t in texts]
+        cut = [None if t[:1] == " " or t[-1:] == " " or not t or any(map(t.__contains__, RUNS)) else t.split(" ") for t in texts]
         words = set()
         for own in cut:
             if own:
@@ -127,6 +144,96 @@ class WordCounts:
         return [next(rest) + (sum(map(table.__getitem__, own[1:])) if own else 0) for own in cut]
 
 
+class _Kept(dict):
+    """A word -> its tokens; new ones are counted on demand, all with the same lead before them."""
+
+    def __init__(self, count: Callable[[str], int], lead: str, most: int):
+        self.count, self.lead, self.most = count, lead, most
+
+    def __missing__(self, word: str) -> int:
+        n = self.count(self.lead + word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
+        return n
+
+
+class PieceCounts:
+    """Counts of whole texts by a byte-level BPE file: the sum over their words, of which new ones are the sum over their pieces.
+
+    Words are what lies between turns to a space. Where single spaces and line ends stand between words, the split cuts
+    before and after each line end too. A piece, counted by the library's model, is kept beside the words.
+    """
+
+    def __init__(self, tokens: JsonTokens):
+        self.tokens = tokens
+        self.spaced, self.first = _Kept(self.word, " ", KEPT), _Kept(self.word, "", KEPT // 3)
+
+    def word(self, text: str) -> int:
+        """text's tokens: by the model if it is one piece, else by its pieces, or by the library whole where it holds an added token."""
+        for token in self.tokens.added:
+            if token in text:
+                return self.tokens.counts([text])[0]
+        bare = text[1:] if text[:1] == " " else text
+        low = bare.isascii() or max(bare) < "\u0250"
+        if low and bare.isalpha():
+            return self.piece(text)
+        found = LEVEL.findall(text) if low else [text[i:j] for _, (i, j) in self.tokens.split(text)]
+        if len(found) == 1:
+            return self.piece(text)
+        return sum([self.spaced[p[1:]] if p[0] == " " else self.first[p] for p in found])
+
+    def piece(self, text: str) -> int:
+        if text.isascii() and text.isprintable():  # of these only the space has another letter
+            return len(self.tokens.tokenize(text.replace(" ", SPACE_LETTER)))
+        return len(self.tokens.tokenize(text.encode().decode("latin-1").translate(LETTERS)))
+
+    def count(self, text: str, spaced: bool = False) -> int:
+        """Tokens of text, or if spaced of a space and text."""
+        first = self.spaced if spaced else self.first
+        if not text or text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, UNEVEN)):
+            head, *rest = TURN.split(text)
+            return first[head] + sum(map(self.spaced.__getitem__, rest)) if text or spaced else 0
+        lines, n = text.split("\n"), 0
+        for line in lines:
+            head, *rest = line.split(" ")
+            n += first[head] + sum(map(self.spaced.__getitem__, rest))
+            first = self.first
+        return n + (len(lines) - 1) * self.first["\n"]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return list(map(self.count, texts))
+
+    def before(self, text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[list[int], list[int]]], int]:
+        """For each of the spans [first, until): (turns to a space in it counted from first, tokens before each); and the tokens of text."""
+        turns = sorted({m.start() for span in spans for m in TURN.finditer(text, *span)})
+        sums, at, n = [], 0, 0
+        for turn in turns:
+            n += self.count(text[at + (at > 0) : turn], at > 0)
+            sums.append(n)
+            at = turn
+        inside = [range(bisect_left(turns, first), bisect_left(turns, until)) for first, until in spans]
+        return [([turns[i] - first for i in own], [sums[i] for i in own]) for own, (first, _) in zip(inside, spans, strict=True)], n + self.count(text[at + (at > 0) :], at > 0)
+
+
+class Ends:
+    """What PieceCounts.before gives, by the ends of all tokens of the text."""
+
+    def __init__(self, tokens: JsonTokens | PieceTokens):
+        self.tokens = tokens
+
+    def before(self, text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[list[int], list[int]]], int]:
+        ends = self.tokens.ends(text)
+        return [_places(ends, text, *span) for span in spans], len(ends)
+
+
+def counter_of(tokens: JsonTokens | PieceTokens) -> JsonTokens | PieceTokens | PieceCounts | WordCounts:
+    if not tokens.proven:
+        return tokens
+    return PieceCounts(tokens) if tokens.level else WordCounts(tokens)
+
+
 @lru_cache(maxsize=2)
 def tokens_of(path: str) -> JsonTokens | PieceTokens:
     return JsonTokens(path) if path.endswith(".json") else PieceTokens(path)
@@ -169,18 +276,17 @@ def joints(chunks: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = tokens_of(path)
+        counter = PieceCounts(tokens) if tokens.level else Ends(tokens)
         for b in batches:
             rows = []
             for digest, k, last, text in zip(b.digest, b.k, b["last"], b.text, strict=True):
-                ends = tokens.ends(text)
+                spans = ([(0, overlap)] if k > 0 else []) + ([] if last else [(size, size + overlap)])
+                found, n = counter.before(text, spans)
                 if k > 0:
-                    rows.append((digest, k - 1, 1, *_places(ends, text, 0, overlap), 0))
-                if last:
-                    rows.append((digest, -1, 2, [], [], len(ends)))
-                else:
-                    rows.append((digest, k, 0, *_places(ends, text, size, size + overlap), 0))
+                    rows.append((digest, k - 1, 1, *found[0], 0))
+                rows.append((digest, -1, 2, [], [], n) if last else (digest, k, 0, *found[-1], 0))
             yield pd.DataFrame(rows, columns=["digest", "joint", "side", "places", "before", "n"])
-        del tokens
+        del tokens, counter
         forget()
 
     return chunks.mapInPandas(run, JOINTS)
@@ -219,7 +325,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
     No begin, end or other added tokens; special strings inside texts as the library takes them by default (the
     tokenizers library gives <|endoftext|> its own id). Null or empty texts have 0 of both. Repeated rows give
     repeated rows, also with a null doc_id; further columns are ignored; empty docs give no rows. Texts of up to chunk
-    code points are counted by their words (see WordCounts); where no splice is proven for a tokenizer (see proven),
+    code points are counted by their words (see PieceCounts and WordCounts); where no splice is proven for a tokenizer (see proven),
     every text is encoded whole.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
@@ -228,7 +334,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = tokens_of(path)
-        counter = WordCounts(tokens) if proven else tokens
+        counter = counter_of(tokens)
         for b in batches:
             texts = b.text.tolist()
             n = [c for k in range(0, len(texts), 256) for c in counter.counts(texts[k : k + 256])]
