@@ -447,6 +447,31 @@ def test_tree_in_rounds_is_the_same(method, monkeypatch):
     assert [g[2] for g in clustering.linkage_in_rounds(x, method, matrix_rows=9)] == pytest.approx([w[2] for w in clustering.linkage(x, method, 150)], abs=1e-6)
 
 
+@pytest.mark.parametrize("method", ["complete", "average", "weighted"])
+def test_tree_in_rounds_searches_few_rows(method):
+    """A search lists several clusters, so that most merges need no other one."""
+    x, searched = np.random.default_rng(6).normal(size=(3_000, 16)), []
+
+    def over(f, parts, shared):
+        if f.__name__ != "_pair_distances":  # of two clusters only
+            searched.extend(len(p) if len(shared) < 3 else np.isin(shared[2], p).sum() for p in parts)
+        return [f(p, *shared) for p in parts]
+
+    got, want = clustering.linkage_in_rounds(x, method, over, 300), clustering.linkage(x, method, len(x))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert sum(searched) < 12 * len(x)
+
+
+@pytest.mark.parametrize("method", ["centroid", "median"])
+def test_cluster_that_takes_the_others_needs_no_search_each_time(method, monkeypatch):
+    x, looks, row = np.random.default_rng(6).normal(size=(2_000, 32)), [], clustering._Centres.row
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    monkeypatch.setattr(clustering._Centres, "row", lambda self, i: looks.append(i) or row(self, i))
+    got, want = clustering.linkage(x, method, 0), clustering.linkage(x, method, len(x))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert len(looks) < 0.9 * len(x)
+
+
 @pytest.mark.parametrize("kind", ["spread", "copies", "few values"])
 def test_joint_scores_compare_few_rows(kind, monkeypatch):
     """Equal to the sums over all pairs of rows, of which most are never compared."""
